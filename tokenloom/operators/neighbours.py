@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tokenloom.functions.vectors import edge_weight, l2_normalize, stack_rows
+from tokenloom.functions.vectors import edge_weight, l2_normalize, stack_rows, vector_mean
 from tokenloom.operators.evaluate import NOISE, vector_blocks
-from tokenloom.operators.skew import lookup_join
+from tokenloom.operators.skew import lookup_join, running_total
 from tokenloom.session import materialize
 
 QUADRATIC_ROWS = 50_000
@@ -107,7 +107,7 @@ def approximate_neighbours(
     unit = l2_normalize(embedding) if metric == "cosine" else F.col(embedding).cast("array<double>")
     points = materialize(vectors.select(F.col(key).cast("bigint").alias("src"), unit.alias("vector")), "points")
     rows = points.count()
-    center = points.agg(_mean_vector()).first()[0]
+    center = points.agg(vector_mean("vector")).first()[0]
     bits = int(max(1, min(24, np.ceil(np.log2(max(2, rows / max(1, block_rows / 4)))))))
     partitions = int(max(1, -(-rows // block_rows)))
 
@@ -152,12 +152,6 @@ def approximate_neighbours(
     return merged.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _mean_vector():
-    from tokenloom.functions.vectors import vector_mean
-
-    return vector_mean("vector")
-
-
 def neighbour_graph(
     vectors: DataFrame,
     n_neighbors: int,
@@ -202,19 +196,19 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
     links = edges.select("src", "dst").filter("src <> dst")
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("low"))
-        low = low.select("src", F.least("src", "low").alias("low"), F.lit(1).alias("w"))
+        low = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("w"))
+        low = low.withColumn("low", F.least("src", "low"))
         large = (
-            lookup_join(both.filter("dst > src"), low.select("src", "low", "w"), {"src": "src"}, weight="w")
+            lookup_join(both.filter("dst > src"), low, {"src": "src"}, weight="w")
             .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
             .filter("src <> dst")
             .distinct()
         )
         # Every edge now points from a node to a smaller one.
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        least = down.groupBy("src").agg(F.min("dst").alias("low"))
+        least = down.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("w"))
         small = (
-            down.join(least, "src")
+            lookup_join(down, least, {"src": "src"}, weight="w")
             .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
             .filter("src <> dst")
             .unionByName(least.select("src", F.col("low").alias("dst")))
@@ -266,9 +260,13 @@ def density_clusters(
         near.withColumn("_rank", rank)
         .filter(F.col("_rank") <= max(1, min_samples - 1))
         .groupBy("src")
-        .agg(F.max("distance").alias("core"), F.lit(1).alias("w"))
+        .agg(F.max("distance").alias("core"))
+    )
+    # Copies share their nearest ids, so a row may be the neighbour of very many others.
+    popularity = near.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("w"))
+    core = materialize(
+        core.join(popularity, "src", "left").withColumn("w", F.coalesce("w", F.lit(0))), "core"
     )
-    core = materialize(core, "core")
     cut = epsilon if epsilon > 0 else core.agg(F.percentile_approx("core", 0.5)).first()[0]
     nodes = vectors.select(F.col(key).cast("bigint").alias("node"))
     if cut is None:
@@ -290,8 +288,6 @@ def density_clusters(
 
 def dense_ids(table: DataFrame, column: str) -> DataFrame:
     """Number the distinct values of ``column`` from 0 in order, as column ``dense``."""
-    from tokenloom.operators.skew import running_total
-
     return running_total(table, F.lit(1).cast("bigint"), [column], total="dense")
 
 
@@ -319,7 +315,7 @@ def modularity(edges: DataFrame, labels: DataFrame, *, resolution: float = 1.0)
 
 
 def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int) -> DataFrame:
-    """Label moves that raise modularity: ``node, community`` for the nodes of ``edges``."""
+    """Label moves that raise modularity: ``node, community`` and strength ``k`` for the nodes of ``edges``."""
     both = edges.select("src", "dst", "weight").unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
@@ -328,7 +324,7 @@ def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int)
     double_m = strength.agg(F.sum("k")).first()[0] or 0.0
     labels = strength.select(F.col("src").alias("node"), F.col("src").alias("community"), "k")
     if not double_m:
-        return labels.select("node", "community")
+        return labels
     outside = both.filter("src <> dst")
     quiet = 0
     for turn in range(rounds):
@@ -342,7 +338,7 @@ def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int)
         stay = labels.select(F.col("node").alias("src"), F.col("community").alias("to"), F.lit(0.0).alias("w"))
         options = links.unionByName(stay).groupBy("src", "to").agg(F.sum("w").alias("w"))
         own = labels.select(F.col("node").alias("src"), F.col("community").alias("from"), "k")
-        options = options.join(own, "src")
+        options = lookup_join(options, own, {"src": "src"}, weight="k")
         options = lookup_join(options, totals, {"to": "community"}, weight="members")
         others = F.col("total") - F.when(F.col("to") == F.col("from"), F.col("k")).otherwise(0.0)
         gain = F.col("w") - F.lit(resolution) * F.col("k") * others / double_m
@@ -367,7 +363,7 @@ def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int)
         quiet = quiet + 1 if count == 0 else 0
         if quiet == 2:
             break
-    return labels.select("node", "community")
+    return labels
 
 
 def communities(
@@ -388,16 +384,17 @@ def communities(
     mapping = nodes.select("node", F.col("node").alias("community"))
     for level in range(levels):
         moved = _move_nodes(current, resolution=resolution, rounds=rounds, seed=seed + 1000 * level)
-        step = materialize(moved, "moves").select(F.col("node").alias("community"), F.col("community").alias("to"))
-        sized = step.withColumn("w", F.lit(1))
+        step = materialize(moved, "moves").select(
+            F.col("node").alias("community"), F.col("community").alias("to"), F.col("k").alias("w")
+        )
         mapping = materialize(
-            lookup_join(mapping, sized, {"community": "community"}, weight="w").select(
+            lookup_join(mapping, step, {"community": "community"}, weight="w").select(
                 "node", F.coalesce("to", "community").alias("community")
             ),
             "mapping",
         )
-        near = step.select(F.col("community").alias("src"), F.col("to").alias("a"), F.lit(1).alias("w"))
-        far = step.select(F.col("community").alias("dst"), F.col("to").alias("b"), F.lit(1).alias("w"))
+        near = step.select(F.col("community").alias("src"), F.col("to").alias("a"), "w")
+        far = step.select(F.col("community").alias("dst"), F.col("to").alias("b"), "w")
         placed = lookup_join(current, near, {"src": "src"}, weight="w").drop("w")
         placed = lookup_join(placed, far, {"dst": "dst"}, weight="w").drop("w")
         merged = placed.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(
@@ -409,8 +406,6 @@ def communities(
         current = following
     sizes = mapping.groupBy("community").agg(F.count("*").alias("n"))
     ranked = sizes.select("community", "n", (-F.col("n")).alias("_size"))
-    from tokenloom.operators.skew import running_total
-
     place = running_total(ranked, F.lit(1).cast("bigint"), ["_size", "community"], total="cluster")
     return lookup_join(
         mapping, place.select("community", "n", "cluster"), {"community": "community"}, weight="n"
