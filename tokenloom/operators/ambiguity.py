@@ -279,7 +279,7 @@ def run_overview(forms: DataFrame, *, by: list[str]) -> DataFrame:
 
 
 def form_examples(
-    rows: DataFrame, forms: DataFrame, *, order: list[str], max_examples: int = 300, examples_per_form: int = 6
+    rows: DataFrame, forms: DataFrame, *, order: list[str], max_examples: int = 200, examples_per_form: int = 4
 ) -> DataFrame:
     """Example tokens of one run: the first forms in report order, a few rows per label, at most ``max_examples``.
 
