@@ -28,6 +28,7 @@ from tokenloom.operators.partitioning import (
     fit_minibatch_kmeans,
     prepared,
 )
+from tokenloom.operators.skew import running_total
 from tokenloom.operators.summary import annotate_tokens, label_cluster_map, summarize_clusters
 from tokenloom.session import materialize
 from tokenloom.sources.tables import run_table, write_artifact
@@ -136,7 +137,10 @@ def _fit_centroids(vectors: DataFrame, config: RunConfig, key: list[str], embedd
 
 
 def _with_node(vectors: DataFrame, key: list[str]) -> DataFrame:
-    return vectors.withColumn("node", F.xxhash64(*key))
+    """Graph node numbers: a single integer key serves as it is, others are numbered in key order."""
+    if len(key) == 1 and vectors.schema[key[0]].dataType.simpleString() in ("int", "bigint"):
+        return vectors.withColumn("node", F.col(key[0]).cast("bigint"))
+    return running_total(vectors, F.lit(1).cast("bigint"), key, total="node")
 
 
 def fit_predict(vectors: DataFrame, config: RunConfig, *, key: list[str], embedding: str = "embedding") -> DataFrame:
@@ -155,7 +159,7 @@ def fit_predict(vectors: DataFrame, config: RunConfig, *, key: list[str], embedd
             seed=config.random_state,
         )
         return assign_micro_clusters(rows, micro, embedding=embedding).drop(embedding)
-    noded = _with_node(rows, key)
+    noded = materialize(_with_node(rows, key), "nodes")
     if config.algorithm in DENSITY:
         found = density_clusters(
             noded,
