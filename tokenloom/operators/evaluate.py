@@ -19,7 +19,7 @@ from tokenloom.operators.skew import lookup_join
 EXACT = -1
 NOISE = -1
 SILHOUETTE_ROWS = 10_000
-BLOCK_BYTES = 256 * 1024 * 1024
+BLOCK_BYTES = 64 * 1024 * 1024
 EXTERNAL_METRICS = [
     "adjusted_rand",
     "normalized_mutual_info",
@@ -256,6 +256,22 @@ def vector_blocks(vectors: DataFrame, key: str, vector: str, *extra: str, limit_
             yield frame[key].to_numpy(), stack_rows(frame[vector]), frame[list(extra)]
 
 
+def _spread_ratios(matrix: np.ndarray, spreads: np.ndarray):
+    """Column function: largest ``(s_i + s_j) / d_ij`` against one block of centroids, and largest distance."""
+
+    @F.pandas_udf("worst double, apart double")
+    def against(vectors: pd.Series, own: pd.Series) -> pd.DataFrame:
+        here = stack_rows(vectors)
+        squares = (here**2).sum(1)[:, None] - 2 * here @ matrix.T + (matrix**2).sum(1)[None, :]
+        scale = (here**2).sum(1)[:, None] + (matrix**2).sum(1)[None, :]
+        distance = np.sqrt(np.where(squares > 1e-14 * scale, squares, 0.0))
+        both = own.to_numpy()[:, None] + spreads[None, :]
+        ratio = np.divide(both, distance, out=np.zeros_like(both), where=distance > 0)
+        return pd.DataFrame({"worst": ratio.max(1), "apart": distance.max(1)})
+
+    return against
+
+
 def davies_bouldin(rows: DataFrame, *, cluster: str = "cluster", embedding: str = "embedding") -> DataFrame:
     """One row with the Davies-Bouldin index of the non-noise rows."""
     kept = rows.filter(F.col(cluster) != NOISE)
@@ -270,18 +286,7 @@ def davies_bouldin(rows: DataFrame, *, cluster: str = "cluster", embedding: str
     apart = F.lit(0.0)
     for _, matrix, extra in vector_blocks(table, cluster, "centroid", "spread"):
         spreads = extra["spread"].to_numpy(dtype=float)
-
-        @F.pandas_udf("worst double, apart double")
-        def against(vectors: pd.Series, own: pd.Series, matrix=matrix, spreads=spreads) -> pd.DataFrame:
-            here = stack_rows(vectors)
-            squares = (here**2).sum(1)[:, None] - 2 * here @ matrix.T + (matrix**2).sum(1)[None, :]
-            scale = (here**2).sum(1)[:, None] + (matrix**2).sum(1)[None, :]
-            distance = np.sqrt(np.where(squares > 1e-14 * scale, squares, 0.0))
-            both = own.to_numpy()[:, None] + spreads[None, :]
-            ratio = np.divide(both, distance, out=np.zeros_like(both), where=distance > 0)
-            return pd.DataFrame({"worst": ratio.max(1), "apart": distance.max(1)})
-
-        found = against(F.col("centroid"), F.col("spread"))
+        found = _spread_ratios(matrix, spreads)(F.col("centroid"), F.col("spread"))
         worst, apart = F.greatest(worst, found["worst"]), F.greatest(apart, found["apart"])
     scored = table.select("spread", worst.alias("worst"), apart.alias("apart"))
     flat = (F.max("spread") <= 1e-8) | (F.max("apart") <= 1e-8)

@@ -49,6 +49,38 @@ def _smallest(distance: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) ->
     return out
 
 
+def _nearest_in_block(ids: np.ndarray, matrix: np.ndarray, metric: str, k: int):
+    """Column function: the ``k`` nearest other ids of each row within one block of vectors."""
+
+    @F.pandas_udf(NEIGHBOURS)
+    def near(own: pd.Series, batch: pd.Series) -> pd.Series:
+        here, names = stack_rows(batch), own.to_numpy()
+        rows: list = []
+        for start in range(0, len(here), 256):
+            part = _distances(here[start : start + 256], matrix, metric)
+            rows += _smallest(part, ids, names[start : start + 256], k)
+        return pd.Series([[{"distance": d, "dst": i} for d, i in row] for row in rows])
+
+    return near
+
+
+def _side_code(planes: np.ndarray, center: np.ndarray):
+    """Column function: Gray code of the plane sides a vector lies on, and its place along one more direction."""
+
+    @F.pandas_udf("code bigint, place double")
+    def coded(batch: pd.Series) -> pd.DataFrame:
+        scores = (stack_rows(batch) - center) @ planes.T
+        code = np.zeros(len(scores), dtype=np.int64)
+        side = np.zeros(len(scores), dtype=np.int64)
+        for plane in range(len(planes) - 1):
+            # Neighbouring codes differ by the side of one plane only.
+            side = side ^ (scores[:, plane] > 0).astype(np.int64)
+            code = code * 2 + side
+        return pd.DataFrame({"code": code, "place": scores[:, -1]})
+
+    return coded
+
+
 def exact_neighbours(
     vectors: DataFrame,
     k: int,
@@ -69,17 +101,7 @@ def exact_neighbours(
     points = vectors.select(F.col(key).cast("bigint").alias("src"), unit.alias("vector"))
     best = None
     for ids, matrix, _ in vector_blocks(points, "src", "vector"):
-
-        @F.pandas_udf(NEIGHBOURS)
-        def near(own: pd.Series, batch: pd.Series, ids=ids, matrix=matrix) -> pd.Series:
-            here, names = stack_rows(batch), own.to_numpy()
-            rows: list = []
-            for start in range(0, len(here), 256):
-                part = _distances(here[start : start + 256], matrix, metric)
-                rows += _smallest(part, ids, names[start : start + 256], k)
-            return pd.Series([[{"distance": d, "dst": i} for d, i in row] for row in rows])
-
-        found = near(F.col("src"), F.col("vector"))
+        found = _nearest_in_block(ids, matrix, metric, k)(F.col("src"), F.col("vector"))
         best = found if best is None else F.slice(F.array_sort(F.concat(best, found)), 1, k)
     if best is None:
         return vectors.sparkSession.createDataFrame([], "src bigint, dst bigint, distance double")
@@ -125,18 +147,7 @@ def approximate_neighbours(
     found = None
     for ordering in range(max(1, orderings)):
         planes = np.random.default_rng(seed + ordering).normal(size=(bits + 1, width))
-
-        @F.pandas_udf("code bigint, place double")
-        def coded(batch: pd.Series, planes=planes) -> pd.DataFrame:
-            scores = (stack_rows(batch) - np.asarray(center)) @ planes.T
-            code = np.zeros(len(scores), dtype=np.int64)
-            last = np.zeros(len(scores), dtype=np.int64)
-            for bit in range(bits):
-                # Gray code: neighbouring codes differ by one side of one plane.
-                last = last ^ (scores[:, bit] > 0).astype(np.int64)
-                code = code * 2 + last
-            return pd.DataFrame({"code": code, "place": scores[:, bits]})
-
+        coded = _side_code(planes, np.asarray(center))
         sort_keys = ["code", "place", "src"]
         sorted_rows = (
             points.withColumn("_code", coded("vector"))
@@ -186,6 +197,17 @@ def undirected(near: DataFrame, *, metric: str) -> DataFrame:
     ).agg(F.max(edge_weight("distance", metric=metric)).alias("weight"))
 
 
+def _fingerprint(links: DataFrame) -> tuple:
+    """Row count and order-free hash sums of an edge table: equal tables give equal values."""
+    both = F.xxhash64("src", "dst")
+    spread = F.xxhash64("dst", "src", F.lit(7))
+    return tuple(
+        links.agg(
+            F.count("*"), F.sum(both.cast("decimal(20,0)")), F.sum(spread.cast("decimal(20,0)"))
+        ).first()
+    )
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 50) -> DataFrame:
     """Component (smallest node id) of every node: ``node, component``.
 
@@ -193,13 +215,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
     number of rounds grows with the logarithm of the path lengths. The edge table is rewritten each round and
     kept as a written table. Hub nodes are pre-aggregated; no neighbour list is collected.
     """
-    links = edges.select("src", "dst").filter("src <> dst")
+    links = materialize(edges.select("src", "dst").filter("src <> dst"), "links")
     for _ in range(max_rounds):
+        size = {"lookup_rows": 2 * links.count()}
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("w"))
         low = low.withColumn("low", F.least("src", "low"))
         large = (
-            lookup_join(both.filter("dst > src"), low, {"src": "src"}, weight="w")
+            lookup_join(both.filter("dst > src"), low, {"src": "src"}, weight="w", **size)
             .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
             .filter("src <> dst")
             .distinct()
@@ -208,18 +231,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         least = down.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("w"))
         small = (
-            lookup_join(down, least, {"src": "src"}, weight="w")
+            lookup_join(down, least, {"src": "src"}, weight="w", **size)
             .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
             .filter("src <> dst")
             .unionByName(least.select("src", F.col("low").alias("dst")))
             .distinct()
         )
         following = materialize(small, "links")
-        changed = not (
-            following.exceptAll(links).isEmpty() and links.exceptAll(following).isEmpty()
-        )
+        before, after = _fingerprint(links), _fingerprint(following)
         links = following
-        if not changed:
+        if before == after:
             break
     roots = links.groupBy("src").agg(F.min("dst").alias("component"))
     return nodes.join(roots, nodes["node"] == roots["src"], "left").select(
@@ -267,6 +288,7 @@ def density_clusters(
     core = materialize(
         core.join(popularity, "src", "left").withColumn("w", F.coalesce("w", F.lit(0))), "core"
     )
+    size = {"lookup_rows": core.count()}
     cut = epsilon if epsilon > 0 else core.agg(F.percentile_approx("core", 0.5)).first()[0]
     nodes = vectors.select(F.col(key).cast("bigint").alias("node"))
     if cut is None:
@@ -274,14 +296,14 @@ def density_clusters(
     close = near.filter(F.col("distance") <= cut)
     for end in ("src", "dst"):
         reach = core.filter(F.col("core") <= cut).select(F.col("src").alias(end), "w")
-        close = lookup_join(close, reach, {end: end}, weight="w", how="inner").drop("w")
-    components = connected_components(nodes, close)
+        close = lookup_join(close, reach, {end: end}, weight="w", how="inner", **size).drop("w")
+    components = materialize(connected_components(nodes, close), "components")
     sizes = components.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= min_cluster_size)
     total = sizes.count()
     if total == 1 and not allow_single_cluster and sizes.first()["n"] == nodes.count():
         sizes = sizes.limit(0)
     place = dense_ids(sizes.select("component", "n"), "component")
-    return lookup_join(components, place, {"component": "component"}, weight="n").select(
+    return lookup_join(components, place, {"component": "component"}, weight="n", lookup_rows=total).select(
         F.col("node").alias(key), F.coalesce("dense", F.lit(NOISE)).cast("bigint").alias("cluster")
     )
 
@@ -325,21 +347,22 @@ def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int)
     labels = strength.select(F.col("src").alias("node"), F.col("src").alias("community"), "k")
     if not double_m:
         return labels
+    size = {"lookup_rows": strength.count()}
     outside = both.filter("src <> dst")
     quiet = 0
     for turn in range(rounds):
         totals = labels.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
         far = labels.select(F.col("node").alias("dst"), F.col("community").alias("to"), F.col("k").alias("k_dst"))
         links = (
-            lookup_join(outside, far, {"dst": "dst"}, weight="k_dst")
+            lookup_join(outside, far, {"dst": "dst"}, weight="k_dst", **size)
             .groupBy("src", "to")
             .agg(F.sum("weight").alias("w"))
         )
         stay = labels.select(F.col("node").alias("src"), F.col("community").alias("to"), F.lit(0.0).alias("w"))
         options = links.unionByName(stay).groupBy("src", "to").agg(F.sum("w").alias("w"))
         own = labels.select(F.col("node").alias("src"), F.col("community").alias("from"), "k")
-        options = lookup_join(options, own, {"src": "src"}, weight="k")
-        options = lookup_join(options, totals, {"to": "community"}, weight="members")
+        options = lookup_join(options, own, {"src": "src"}, weight="k", **size)
+        options = lookup_join(options, totals, {"to": "community"}, weight="members", **size)
         others = F.col("total") - F.when(F.col("to") == F.col("from"), F.col("k")).otherwise(0.0)
         gain = F.col("w") - F.lit(resolution) * F.col("k") * others / double_m
         best = options.groupBy("src").agg(
@@ -387,16 +410,17 @@ def communities(
         step = materialize(moved, "moves").select(
             F.col("node").alias("community"), F.col("community").alias("to"), F.col("k").alias("w")
         )
+        size = {"lookup_rows": step.count()}
         mapping = materialize(
-            lookup_join(mapping, step, {"community": "community"}, weight="w").select(
+            lookup_join(mapping, step, {"community": "community"}, weight="w", **size).select(
                 "node", F.coalesce("to", "community").alias("community")
             ),
             "mapping",
         )
         near = step.select(F.col("community").alias("src"), F.col("to").alias("a"), "w")
         far = step.select(F.col("community").alias("dst"), F.col("to").alias("b"), "w")
-        placed = lookup_join(current, near, {"src": "src"}, weight="w").drop("w")
-        placed = lookup_join(placed, far, {"dst": "dst"}, weight="w").drop("w")
+        placed = lookup_join(current, near, {"src": "src"}, weight="w", **size).drop("w")
+        placed = lookup_join(placed, far, {"dst": "dst"}, weight="w", **size).drop("w")
         merged = placed.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(
             F.sum("weight").alias("weight")
         )

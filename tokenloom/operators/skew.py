@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenloom.session import materialize
 
 HOT_KEYS = 1_000
+SMALL_ROWS = 100_000
 SPREAD = 1_024
 
 
@@ -20,16 +21,27 @@ def lookup_join(
     weight: str,
     spread_by: list[str] | None = None,
     how: str = "left",
+    lookup_rows: int | None = None,
 ) -> DataFrame:
     """Attach the columns of ``lookup`` (unique per key) to ``facts`` without a hot shuffle key.
 
     The ``HOT_KEYS`` lookup rows of largest ``weight`` are broadcast: that side is bounded by the constant, not
     by the data. What is left goes through an ordinary shuffle join in which no key weighs more than
     ``1 / HOT_KEYS`` of the total; rows already served are spread over ``SPREAD`` dummy keys. ``on`` maps fact
-    columns to lookup columns; ``how`` is ``left`` or ``inner``.
+    columns to lookup columns; ``how`` is ``left`` or ``inner``. A caller that has counted the lookup passes
+    ``lookup_rows``: up to ``SMALL_ROWS`` (narrow) rows are broadcast whole.
     """
     keys = list(on.values())
     values = [name for name in lookup.columns if name not in keys]
+    if lookup_rows is not None and lookup_rows <= SMALL_ROWS:
+        small = lookup.select(
+            *[F.col(key).alias(f"_small_{key}") for key in keys],
+            *[F.col(name).alias(f"_value_{name}") for name in values],
+        )
+        joined = facts.join(
+            F.broadcast(small), on=[F.col(fact) == F.col(f"_small_{key}") for fact, key in on.items()], how=how
+        )
+        return joined.select(*facts.columns, *[F.col(f"_value_{name}").alias(name) for name in values])
     hot = lookup.orderBy(F.col(weight).desc(), *keys).limit(HOT_KEYS).select(
         *[F.col(key).alias(f"_hot_{key}") for key in keys],
         F.struct(*values).alias("_hot"),

@@ -263,7 +263,7 @@ def neighbour_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "edge_weights",
-    f"""WITH {VECTORS}, d AS (SELECT vec_id, list_distance(e, list_transform(e, x -> 0.0)) AS d FROM vt)
+    f"""WITH {VECTORS}, d AS (SELECT vec_id, list_distance(e, list_transform(e, lambda x: 0.0)) AS d FROM vt)
       SELECT vec_id, {sql_round('1 / (1 + d)')} AS euclidean, {sql_round('greatest(0, 1 - d)')} AS cosine FROM d""",
 )
 def edge_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -292,9 +292,9 @@ def graph_communities(spark: SparkSession, folder: str) -> DataFrame:
     "connected_components",
     """WITH RECURSIVE first AS (SELECT min(o_custkey) AS lo, o_orderdate FROM orders GROUP BY o_orderdate),
       edges AS (SELECT DISTINCT lo AS a, o_custkey AS b FROM orders JOIN first USING (o_orderdate) WHERE lo <> o_custkey AND o_custkey % 3 = 0),
-      both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+      links AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
       reach AS (SELECT o_custkey AS node, o_custkey AS root FROM orders GROUP BY 1
-        UNION SELECT both.b, reach.root FROM reach JOIN both ON both.a = reach.node WHERE reach.root < both.b)
+        UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node WHERE reach.root < links.b)
       SELECT node, min(root) AS component FROM reach GROUP BY node""",
 )
 def connected_components(spark: SparkSession, folder: str) -> DataFrame:
