@@ -37,9 +37,8 @@ def casefold(text: Column | str) -> Column:
 
 
 def lower_all(terms: Column) -> Column:
-    """Lower-case every element of a space-free string array in one string call."""
-    joined = F.lower(F.array_join(terms, " "))
-    return F.when(F.size(terms) > 0, F.split(joined, " ")).otherwise(F.array().cast("array<string>"))
+    """Lower-case every element of a string array in one string call; elements are not empty and hold no tabs."""
+    return F.array_remove(F.split(F.lower(F.array_join(terms, "\t")), "\t"), "")
 
 
 def clean_cell(value: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.labels import require_columns
 from tokenloom.operators.skew import lookup_join, running_total
+from tokenloom.session import materialize
 
 MEASURES = ["raw_freq", "pmi", "likelihood_ratio", "student_t", "chi_sq"]
 SORT_COLUMNS = ["frequency", *MEASURES]
@@ -70,6 +71,14 @@ def gram_counts(
     return counted.filter(whole).select(*by, "kind", *WORDS, "n")
 
 
+def stored_counts(
+    documents: DataFrame, *, by: tuple[str, ...] = (), terms: str = "terms", ngram_sizes: tuple[int, ...] = (2, 3)
+) -> DataFrame:
+    """:func:`gram_counts` written once: scoring reads the counts several times with different filters, and the
+    text is tokenised only once."""
+    return materialize(gram_counts(documents, by=by, terms=terms, ngram_sizes=ngram_sizes), "counts")
+
+
 def _bigram_cells(n: Column, f: Column, c1: Column, c2: Column) -> list[tuple[Column, Column]]:
     """Observed and expected cells of the 2 x 2 table."""
     observed = [f, c1 - f, c2 - f, n - c1 - c2 + f]
@@ -136,7 +145,8 @@ def score_grams(
     """Scored n-grams seen at least ``min_freq`` times: ``by…, ngram_size, ngram, parts, frequency`` and measures.
 
     The frequency filter touches n-grams only; totals and marginals stay whole. Each n-gram asks for all its
-    marginals in one join against the counts and is put together again by one aggregate.
+    marginals in one join against the counts and is put together again by one aggregate. Every marginal of an
+    n-gram is at least as frequent as the n-gram, so rarer counts never enter the join.
     """
     grams = counts.filter(
         F.col("kind").isin([str(size) for size in ngram_sizes]) & (F.col("n") >= min_freq)
@@ -160,7 +170,8 @@ def score_grams(
         F.col("n").alias("frequency"),
         F.inline(F.when(F.col("kind") == BIGRAM, F.array(*two)).otherwise(F.array(*three))),
     )
-    marginals = counts.filter(F.col("kind") != TRIGRAM).select(
+    kinds = [UNIGRAM, BIGRAM, SKIP] if 3 in ngram_sizes else [UNIGRAM]
+    marginals = counts.filter(F.col("kind").isin(kinds) & (F.col("n") >= min_freq)).select(
         *by, "kind", F.col("w1").alias("k1"), F.coalesce("w2", "w3", F.lit("")).alias("k2"), "n"
     )
     keys = [*by, "kind", "k1", "k2"]
@@ -206,7 +217,7 @@ def collocation_table(
     """Scored, ranked collocations of one n-gram size from term documents."""
     check_settings((ngram_size,), min_freq, sort_by, max_rows)
     require_columns(documents, [terms], "documents")
-    counts = gram_counts(documents, terms=terms, ngram_sizes=(ngram_size,))
+    counts = stored_counts(documents, terms=terms, ngram_sizes=(ngram_size,))
     scored = score_grams(counts, ngram_sizes=(ngram_size,), min_freq=min_freq)
     ranked = scored.orderBy(*ranking(sort_by))
     return ranked.limit(max_rows) if max_rows is not None else ranked
@@ -228,7 +239,7 @@ def collocation_tables(
     """
     check_settings(ngram_sizes, min_freq, sort_by, max_rows)
     by = ("token_basis",)
-    counts = gram_counts(
+    counts = stored_counts(
         documents.filter(F.col("token_basis").isin(list(token_bases))), by=by, terms=terms, ngram_sizes=ngram_sizes
     )
     scored = score_grams(counts, by=by, ngram_sizes=ngram_sizes, min_freq=min_freq)

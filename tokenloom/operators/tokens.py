@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.labels import (
+    MISSING_TERMS,
     is_empty_node,
     is_multiword,
     is_punctuation,
     require_columns,
-    term_text,
 )
-from tokenloom.functions.text import is_word, tokenize
+from tokenloom.functions.text import is_word, lower_all, tokenize
 
 # Column names of the annotated format, in file order.
 ANNOTATED_COLUMNS = [
@@ -104,27 +104,47 @@ def corpus_counts(tokens: DataFrame, key: list[str]) -> DataFrame:
 
 
 def sentence_terms(
-    sentences: DataFrame, *, bases: list[str] = ["lemma"], lowercase: bool = True  # noqa: B006
+    sentences: DataFrame,
+    *,
+    bases: list[str] = ["lemma"],  # noqa: B006
+    lowercase: bool = True,
+    drop_empty: bool = True,
 ) -> DataFrame:
     """Term documents: per sentence and basis, the ordered target terms; neighbours close up over blanks.
 
     Works inside each sentence row, so it needs no shuffle. Adds ``token_basis``, ``terms`` and ``term_tokens``
-    (the token structs behind the terms).
+    (the token structs behind the terms). Sentences without terms are dropped; counting pipelines switch that off,
+    since an empty document counts for nothing and the filter would build every array twice.
     """
     column = {"lemma": "LEMMA", "form": "FORM"}
     unknown = sorted(set(bases) - set(column))
     if unknown:
         raise ValueError(f"token_bases must contain only 'lemma' and/or 'form', got: {unknown}")
-    targets = _surface(F.col("tokens"), include_punctuation=False)
-
-    def documents(basis: str) -> Column:
-        kept = F.filter(targets, lambda token: term_text(token[column[basis]]).isNotNull())
-        terms = F.transform(kept, lambda token: term_text(token[column[basis]], lowercase=lowercase))
-        return F.struct(F.lit(basis).alias("token_basis"), terms.alias("terms"), kept.alias("term_tokens"))
-
-    stacked = F.inline(F.array(*[documents(basis) for basis in bases]))
     passed = [name for name in sentences.columns if name not in ("tokens", "comments")]
-    return sentences.select(*passed, stacked).filter(F.size("terms") > 0)
+    # Each step is a column of its own, so that no array is built twice.
+    stages = sentences.withColumn("_targets", _surface(F.col("tokens"), include_punctuation=False))
+    for basis in bases:
+        name = column[basis]
+        stages = stages.withColumn(
+            f"_kept_{basis}", F.filter("_targets", lambda token: ~token[name].isin(MISSING_TERMS))  # noqa: B023
+        )
+        forms = F.transform(f"_kept_{basis}", lambda token: token[name])  # noqa: B023
+        stages = stages.withColumn(f"_terms_{basis}", lower_all(forms) if lowercase else forms)
+    if len(bases) == 1:
+        stacked = stages.withColumn("token_basis", F.lit(bases[0]))
+    else:
+        stacked = stages.withColumn("token_basis", F.explode(F.array(*map(F.lit, bases))))
+
+    def of_basis(kind: str) -> Column:
+        chosen = F.col(f"_{kind}_{bases[-1]}")
+        for basis in bases[:-1]:
+            chosen = F.when(F.col("token_basis") == basis, F.col(f"_{kind}_{basis}")).otherwise(chosen)
+        return chosen
+
+    documents = stacked.select(
+        *passed, "token_basis", of_basis("terms").alias("terms"), of_basis("kept").alias("term_tokens")
+    )
+    return documents.filter(F.size("terms") > 0) if drop_empty else documents
 
 
 def tokens_from_text(lines: DataFrame, *, text: str = "text", label: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ def collocation_experiment(
     lowercase: bool = True,
 ) -> dict[str, DataFrame]:
     """Collocation tables of a sentence table and their metadata."""
-    documents = sentence_terms(sentences, bases=list(token_bases), lowercase=lowercase)
+    documents = sentence_terms(sentences, bases=list(token_bases), lowercase=lowercase, drop_empty=False)
     tables = materialize(
         collocate.collocation_tables(
             documents,
@@ -63,7 +63,10 @@ def collocation_cluster_experiment(
 ) -> dict[str, DataFrame]:
     """Lemma collocations against the clusters of every run. The frequency floor is at least five."""
     documents = sentence_terms(
-        sentences.withColumn("context_text", sentence_text(sentences)), bases=["lemma"], lowercase=lowercase
+        sentences.withColumn("context_text", sentence_text(sentences)),
+        bases=["lemma"],
+        lowercase=lowercase,
+        drop_empty=False,
     )
     tables = materialize(
         collocate.collocation_tables(
@@ -78,7 +81,10 @@ def collocation_cluster_experiment(
     )
     chosen = collocate.select_for_clusters(tables, sort_by=sort_by)
     found = materialize(
-        occurrences.occurrences(documents, tables, sentence_key=sentence_key, ngram_sizes=ngram_sizes), "occurrences"
+        occurrences.occurrences(
+            documents, tables, sentence_key=sentence_key, ngram_sizes=ngram_sizes, selected_rows=tables.count()
+        ),
+        "occurrences",
     )
     table = occurrences.collocation_cluster_table(
         chosen,

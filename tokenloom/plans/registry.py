@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.text import TOKEN_PATTERN, WORD_PATTERN
 from tokenloom.operators.tokens import tokens_from_text
+from tokenloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,8 +50,13 @@ def _quoted(text: str) -> str:
 # --- text tables: one sentence per line of a document, tokens by the raw-text pattern, language as the label
 
 
+def text_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with enough partitions for per-row text work."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = text_documents(spark, folder)
     return documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 

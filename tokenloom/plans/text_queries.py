@@ -23,13 +23,17 @@ from tokenloom.plans.registry import (
     table,
     text_cluster,
     text_cluster_sql,
+    text_documents,
     text_sentences,
     text_tokens,
 )
+from tokenloom.session import materialize
 
 
 def documents_of(spark: SparkSession, folder: str, bases: tuple[str, ...] = ("lemma",), lowercase: bool = True) -> DataFrame:
-    return tokens.sentence_terms(text_sentences(spark, folder), bases=list(bases), lowercase=lowercase)
+    return tokens.sentence_terms(
+        text_sentences(spark, folder), bases=list(bases), lowercase=lowercase, drop_empty=False
+    )
 
 
 @query(
@@ -196,7 +200,7 @@ def clean_cells(spark: SparkSession, folder: str) -> DataFrame:
       FROM terms GROUP BY doc_id, line""",
 )
 def term_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return documents_of(spark, folder).select(
+    return tokens.sentence_terms(text_sentences(spark, folder)).select(
         "doc_id",
         F.col("line").cast("bigint").alias("line"),
         F.size("terms").cast("bigint").alias("n_terms"),
@@ -256,7 +260,7 @@ def _chunk_report(found: DataFrame) -> DataFrame:
 
 @query("text_chunks", _CHUNK_ROWS)
 def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return _chunk_report(contexts.chunk_raw_text(table(spark, folder, "documents"), document_index="doc_id"))
+    return _chunk_report(contexts.chunk_raw_text(text_documents(spark, folder), document_index="doc_id"))
 
 
 _SENTENCE_CHUNKS = f"""WITH RECURSIVE {TOKENS}, units AS (
@@ -287,7 +291,7 @@ def sentence_chunks(spark: SparkSession, folder: str) -> DataFrame:
      FROM kept, budget WHERE before < b""",
 )
 def target_budget(spark: SparkSession, folder: str) -> DataFrame:
-    found = contexts.chunk_raw_text(table(spark, folder, "documents"), document_index="doc_id")
+    found = contexts.chunk_raw_text(text_documents(spark, folder), document_index="doc_id")
     total = found.agg(F.sum(F.size("target_indices"))).first()[0]
     kept = contexts.take_target_budget(found, total // 2 + 1)
     return _chunk_report(kept).select("document_index", "chunk_index", "n_targets")
@@ -305,7 +309,7 @@ def first_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("piece_safe_chunks")
 def piece_safe_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    found = contexts.chunk_raw_text(table(spark, folder, "documents"), document_index="doc_id")
+    found = contexts.chunk_raw_text(text_documents(spark, folder), document_index="doc_id")
     longest = found.agg(F.max(F.array_max(F.transform("tokens", F.length)))).first()[0]
     pieces = lambda words: [-(-len(word) // 4) for word in words]
     split = contexts.split_by_pieces(found, pieces, max_length=max(66, longest), special_tokens=2)
@@ -500,7 +504,9 @@ _CHOSEN = f"""{_SETS}, scored AS (
 
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     documents = documents_of(spark, folder)
-    found = collocate.collocation_tables(documents, token_bases=("lemma",), min_freq=FLOOR, sort_by="frequency")
+    found = materialize(
+        collocate.collocation_tables(documents, token_bases=("lemma",), min_freq=FLOOR, sort_by="frequency"), "tables"
+    )
     return documents, found, collocate.select_for_clusters(found, sort_by="frequency")
 
 
@@ -513,6 +519,10 @@ def cluster_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return _tables(spark, folder)[2].select("ngram_size", "ngram", "frequency", "source_sheet", "source_rank")
 
 
+def _found(documents: DataFrame, found: DataFrame) -> DataFrame:
+    return occurrences.occurrences(documents, found, sentence_key=SENTENCE, selected_rows=found.count())
+
+
 _OCCURRENCES = f"""{_CHOSEN}, occ AS (
   SELECT 2 AS size, g.w1 || ' ' || g.w2 AS ngram, doc_id, line, token_index AS k1, t2 AS k2, CAST(NULL AS BIGINT) AS k3
   FROM grams g JOIN (SELECT w1, w2 FROM scored WHERE size = 2) AS x ON g.w1 = x.w1 AND g.w2 = x.w2
@@ -527,8 +537,7 @@ _OCCURRENCES = f"""{_CHOSEN}, occ AS (
       k1 || ',' || k2 || coalesce(',' || k3, '') AS places FROM occ""",
 )
 def collocation_occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    documents, found, _ = _tables(spark, folder)
-    rows = occurrences.occurrences(documents, found, sentence_key=SENTENCE)
+    rows = _found(*_tables(spark, folder)[:2])
     places = F.array_join(F.transform("part_tokens", lambda token: token["token_index"].cast("string")), ",")
     return rows.select(
         "ngram_size",
@@ -545,21 +554,24 @@ def collocation_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {_OCCURRENCES} SELECT CAST(size AS INTEGER) AS ngram_size, ngram, count(*) AS n_occurrences FROM occ GROUP BY ALL",
 )
 def occurrence_index(spark: SparkSession, folder: str) -> DataFrame:
-    documents, found, _ = _tables(spark, folder)
-    index = occurrences.occurrence_index(
-        occurrences.occurrences(documents, found, sentence_key=SENTENCE), segment=64
-    )
+    index = occurrences.occurrence_index(materialize(_found(*_tables(spark, folder)[:2]), "occurrences"), segment=64)
     return index.groupBy("ngram_size", "ngram").agg(F.sum(F.size("occurrence_ids")).alias("n_occurrences"))
 
 
 def annotated_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Word tokens of the documents with the clusters of two runs."""
-    words = tokens.keep_tokens(text_tokens(spark, folder))
-    runs = [
-        words.withColumns({"run_id": F.lit(f"run_{run}"), "cluster": text_cluster(run)}) for run in (1, 2)
-    ]
-    both = runs[0].unionByName(runs[1])
-    return both.withColumn("AUTO_SEMCLASS", F.concat(F.lit("cluster_"), F.col("cluster").cast("string")))
+    words = tokens.keep_tokens(text_tokens(spark, folder)).drop("ID", "UPOS", "source", "lang")
+    run = lambda number: F.struct(
+        F.lit(f"run_{number}").alias("run_id"),
+        text_cluster(number).alias("cluster"),
+        F.concat(F.lit("cluster_"), text_cluster(number).cast("string")).alias("AUTO_SEMCLASS"),
+    )
+    return words.select("*", F.inline(F.array(run(1), run(2))))
+
+
+def stored_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The annotated runs as a stored artifact, for reports that read them several times."""
+    return materialize(annotated_runs(spark, folder), "annotated")
 
 
 _ANNOTATED = "annotated AS (" + " UNION ALL ".join(
@@ -592,9 +604,9 @@ _INSIDE = f"""{_TERM_TABLES},
 
 
 def _matched(spark: SparkSession, folder: str) -> DataFrame:
-    documents, found, _ = _tables(spark, folder)
-    rows = occurrences.occurrences(documents, found, sentence_key=SENTENCE)
-    return occurrences.matched_parts(rows, annotated_runs(spark, folder), sentence_key=SENTENCE, by=["run_id"])
+    rows = _found(*_tables(spark, folder)[:2])
+    runs = spark.createDataFrame([("run_1",), ("run_2",)], "run_id string")
+    return occurrences.matched_parts(rows, annotated_runs(spark, folder), sentence_key=SENTENCE, by=["run_id"], runs=runs)
 
 
 @query(
@@ -631,9 +643,9 @@ _CLUSTER_TABLE = f"""{_OCCURRENCES}, {_INSIDE},
 )
 def collocation_cluster_table(spark: SparkSession, folder: str) -> DataFrame:
     documents, found, chosen = _tables(spark, folder)
-    rows = occurrences.occurrences(documents, found, sentence_key=SENTENCE)
+    rows = _found(documents, found)
     report = occurrences.collocation_cluster_table(
-        chosen, rows, annotated_runs(spark, folder), sentence_key=SENTENCE, by=["run_id"], order=TOKEN
+        chosen, rows, stored_runs(spark, folder), sentence_key=SENTENCE, by=["run_id"], order=TOKEN
     )
     return report.select("run_id", *occurrences.TABLE_COLUMNS)
 
@@ -700,7 +712,7 @@ def marginal_cluster_metrics(spark: SparkSession, folder: str) -> DataFrame:
        AS shared_clusters FROM top WHERE r <= 12 GROUP BY run_id, ngram""",
 )
 def shared_cluster_texts(spark: SparkSession, folder: str) -> DataFrame:
-    annotated = annotated_runs(spark, folder)
+    annotated = stored_runs(spark, folder)
     return occurrences.shared_cluster_text(
         _tables(spark, folder)[2],
         occurrences.term_cluster_counts(annotated, by=["run_id"]),
@@ -724,7 +736,7 @@ def shared_cluster_texts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def part_statistics(spark: SparkSession, folder: str) -> DataFrame:
     found = occurrences.part_statistics(
-        _tables(spark, folder)[2], annotated_runs(spark, folder), by=["run_id"], order=TOKEN
+        _tables(spark, folder)[2], stored_runs(spark, folder), by=["run_id"], order=TOKEN
     )
     return found.select("run_id", "ngram", "part", "term", "token_count", "cluster_count", "clusters", "semclasses")
 

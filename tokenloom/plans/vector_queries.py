@@ -838,7 +838,7 @@ def collocation_overview(spark: SparkSession, folder: str) -> DataFrame:
     )
     found = experiments.collocation_cluster_experiment(
         text_sentences(spark, folder),
-        text_queries.annotated_runs(spark, folder),
+        text_queries.stored_runs(spark, folder),
         runs,
         sentence_key=["doc_id", "line"],
         min_freq=text_queries.FLOOR,

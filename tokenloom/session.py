@@ -60,6 +60,18 @@ def materialize(df: DataFrame, name: str = "table", *, partition_by: list[str] |
     return spark.read.schema(_stored_schema(df, partition_by)).parquet(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core; larger scans stay as they are.
+
+    Small files arrive in one or two splits, which would leave tokenising and vector work to as many cores. On
+    large data the scan has more splits than cores and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *key)
+
+
 def _stored_schema(df: DataFrame, partition_by: list[str] | None):
     schema = df.schema
     if not partition_by:
