@@ -80,7 +80,7 @@ def stored_counts(
 
 
 def _bigram_cells(n: Column, f: Column, c1: Column, c2: Column) -> list[tuple[Column, Column]]:
-    """Observed and expected cells of the 2 x 2 table."""
+    """Observed cells of the 2 x 2 table with the product of their row and column totals."""
     observed = [f, c1 - f, c2 - f, n - c1 - c2 + f]
     sides = [(c1, c2), (c1, n - c2), (n - c1, c2), (n - c1, n - c2)]
     return [(seen, left * right / n) for seen, (left, right) in zip(observed, sides, strict=True)]
@@ -113,30 +113,37 @@ def _trigram_cells(
     return cells
 
 
-def _measures(size: int) -> dict[str, Column]:
-    n, f = F.col("total").cast("double"), F.col("frequency").cast("double")
-    singles = [F.col(f"c{place}").cast("double") for place in range(1, size + 1)]
-    product = reduce(lambda a, b: a * b, singles)
-    chance = product / (n if size == 2 else n * n)
+def _with_measures(rows: DataFrame, size: int) -> DataFrame:
+    """Add the measures. The contingency cells are columns of their own first, so no formula repeats them."""
+    n, f = F.col("_n"), F.col("_f")
+    singles = [F.col(f"_c{place}") for place in range(1, size + 1)]
+    pairs = {name: F.col(f"_c{name}") for name in ("12", "13", "23")}
+    names = {"_n": "total", "_f": "frequency", **{f"_c{place}": f"c{place}" for place in range(1, size + 1)}}
+    if size == 3:
+        names |= {f"_c{name}": f"c{name}" for name in pairs}
+    based = rows.withColumns({name: F.col(source).cast("double") for name, source in names.items()})
+    cells = _bigram_cells(n, f, *singles) if size == 2 else _trigram_cells(n, f, singles, pairs)
+    staged = based.withColumns(
+        {f"_seen{at}": seen for at, (seen, _) in enumerate(cells)}
+        | {f"_due{at}": due for at, (_, due) in enumerate(cells)}
+        | {"_product": reduce(lambda a, b: a * b, singles), "_scale": n if size == 2 else n * n}
+    )
+    seen_due = [(F.col(f"_seen{at}"), F.col(f"_due{at}")) for at in range(len(cells))]
     if size == 2:
-        cells = _bigram_cells(n, f, *singles)
-        (ii, _), (io, _), (oi, _), (oo, _) = cells
-        cross = ii * oo - io * oi
-        below = (ii + io) * (ii + oi) * (io + oo) * (oi + oo)
+        ii, io, oi, oo = (seen for seen, _ in seen_due)
+        cross, below = ii * oo - io * oi, (ii + io) * (ii + oi) * (io + oo) * (oi + oo)
         chi = F.when(below != 0, n * cross * cross / below)
     else:
-        pairs = {name: F.col(f"c{name}").cast("double") for name in ("12", "13", "23")}
-        cells = _trigram_cells(n, f, singles, pairs)
-        chi = sum(((seen - due) * (seen - due) / (due + SMALL) for seen, due in cells), F.lit(0.0))
-    likelihood = sum((seen * F.ln(seen / (due + SMALL) + SMALL) for seen, due in cells), F.lit(0.0))
-    scale = n if size == 2 else n * n
-    return {
+        chi = sum(((seen - due) * (seen - due) / (due + SMALL) for seen, due in seen_due), F.lit(0.0))
+    likelihood = sum((seen * F.ln(seen / (due + SMALL) + SMALL) for seen, due in seen_due), F.lit(0.0))
+    measures = {
         "raw_freq": f / n,
-        "pmi": F.log2(f * scale) - F.log2(product),
+        "pmi": F.log2(f * F.col("_scale")) - F.log2("_product"),
         "likelihood_ratio": 2.0 * likelihood,
-        "student_t": (f - chance) / F.sqrt(f + SMALL),
+        "student_t": (f - F.col("_product") / F.col("_scale")) / F.sqrt(f + SMALL),
         "chi_sq": chi,
     }
+    return staged.select(*rows.columns, *[value.alias(name) for name, value in measures.items()])
 
 
 def score_grams(
@@ -185,17 +192,13 @@ def score_grams(
         gathered = gathered.join(totals, list(by))
     else:
         gathered = gathered.join(F.broadcast(totals))
-    parts = F.array_compact(F.array(*WORDS))
     tables = []
     for size in ngram_sizes:
+        parts = F.array(*WORDS[:size])
+        scored = _with_measures(gathered.filter(F.col("ngram_size") == size), size)
         tables.append(
-            gathered.filter(F.col("ngram_size") == size).select(
-                *by,
-                "ngram_size",
-                F.array_join(parts, " ").alias("ngram"),
-                parts.alias("parts"),
-                "frequency",
-                *[value.alias(name) for name, value in _measures(size).items()],
+            scored.select(
+                *by, "ngram_size", F.array_join(parts, " ").alias("ngram"), parts.alias("parts"), "frequency", *MEASURES
             )
         )
     return reduce(DataFrame.unionByName, tables)

@@ -128,7 +128,7 @@ def external_scores(cells: DataFrame, *, by: list[str]) -> DataFrame:
         F.count_if(row).alias("golds"),
         F.count_if(column).alias("clusters"),
         total(column, F.col("largest")).alias("hits"),
-    )
+    ).filter(F.col("n").isNotNull())
     n = F.col("n").cast("double")
     entropy = {
         side: F.when(F.col(size) == 1, F.lit(0.0)).otherwise(F.greatest(F.ln(n) - F.col(f"log_{side}") / n, F.lit(0.0)))
