@@ -205,7 +205,8 @@ def score_grams(
 
 
 def ranking(sort_by: str = "pmi") -> list[Column]:
-    return [F.desc_nulls_last(sort_by), F.desc("frequency"), F.asc("ngram")]
+    """Report order. Scores are compared to ten digits, so that equal scores tie whatever their last bits."""
+    return [F.round(sort_by, 10).desc_nulls_last(), F.desc("frequency"), F.asc("ngram")]
 
 
 def collocation_table(
@@ -290,7 +291,7 @@ def select_for_clusters(tables: DataFrame, *, sort_by: str = "pmi") -> DataFrame
     lemma = tables.filter(F.col("token_basis") == "lemma").withColumn(
         "source_sheet", F.when(F.col("ngram_size") == 2, "lemma_bigrams").otherwise("lemma_trigrams")
     )
-    order = {"source_sheet": F.col("source_sheet"), "_score": -F.coalesce(sort_by, F.lit(float("-inf")))}
+    order = {"source_sheet": F.col("source_sheet"), "_score": -F.coalesce(F.round(sort_by, 10), F.lit(float("-inf")))}
     keyed = lemma.withColumns({**order, "_frequency": -F.col("frequency")})
     ranked = running_total(
         keyed, F.lit(1).cast("bigint"), ["source_sheet", "_score", "_frequency", "ngram"], total="_place"
@@ -308,5 +309,5 @@ def select_for_clusters(tables: DataFrame, *, sort_by: str = "pmi") -> DataFrame
     bigrams = ranked.filter(F.col("ngram_size") == 2).join(inside, "parts", "left_anti")
     kept = trigrams.unionByName(bigrams.select(*trigrams.columns))
     return kept.drop("_score", "_frequency", "_place", "_start").orderBy(
-        F.desc("frequency"), F.desc("ngram_size"), F.desc_nulls_last("pmi"), "ngram"
+        F.desc("frequency"), F.desc("ngram_size"), F.round("pmi", 10).desc_nulls_last(), "ngram"
     )
