@@ -1,3 +1,10 @@
 """Corpus analytics on Spark: annotated tokens, vectors, clusters and collocations as DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

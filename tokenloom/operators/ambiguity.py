@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.labels import has_valid_label, require_columns
+from tokenloom.functions.order import first_seen
 from tokenloom.functions.text import casefold
 from tokenloom.functions.vectors import dot, l2_normalize, squared_norm, vector_sum
 from tokenloom.operators.labels import counts_text
@@ -187,14 +188,14 @@ def form_summary(rows: DataFrame, parts: DataFrame, *, by: list[str], order: lis
         vector_sum("vector_sum").alias("form_sum"),
     )
     cells = rows.groupBy(*key, F.col("cluster").cast("bigint").alias("cluster")).agg(
-        F.count("*").alias("m"), F.min(F.struct(*order)).alias("first")
+        F.count("*").alias("m"), first_seen(rows, order).alias("first")
     )
     clusters = cells.groupBy(*key).agg(
         F.count("*").alias("cluster_count"), F.sum(_pair_count(F.col("m"))).cast(PAIRS).alias("all_same")
     )
     text = lambda value, name: counts_text(
         rows.groupBy(*key, F.col(value).cast("string").alias("value")).agg(
-            F.count("*").alias("count"), F.min(F.struct(*order)).alias("first")
+            F.count("*").alias("count"), first_seen(rows, order).alias("first")
         ),
         key,
         name=name,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.labels import MISSING_LABELS, has_valid_label, require_columns
 from tokenloom.functions.naming import metric_note
+from tokenloom.functions.order import first_seen
 from tokenloom.functions.vectors import squared_norm, stack_rows, vector_sum
 from tokenloom.operators.skew import lookup_join
 
@@ -40,7 +41,7 @@ def contingency(
         *by,
         F.coalesce(F.col(gold).cast("string"), F.lit("None")).alias("gold"),
         F.col(cluster).cast("bigint").alias("cluster"),
-    ).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    ).agg(F.count("*").alias("n"), first_seen(labelled, order).alias("first"))
 
 
 def ancestor_labels(hierarchy: DataFrame, depths: list[int]) -> DataFrame:

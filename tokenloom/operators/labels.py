@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.labels import has_valid_label, has_valid_text, require_columns
+from tokenloom.functions.order import first_seen
 
 
 def label_counts(tokens: DataFrame, *, label: str = "SEMCLASS", order: list[str] | None = None) -> DataFrame:
     """Label frequencies in descending order; ties by first appearance when ``order`` is given."""
     require_columns(tokens, [label], "tokens")
-    first = F.min(F.struct(*order)) if order else F.min(F.col(label).cast("string"))
+    first = first_seen(tokens, order) if order else F.min(F.col(label).cast("string"))
     counts = (
         tokens.filter(has_valid_label(label))
         .groupBy(F.col(label).cast("string").alias("semclass"))
@@ -74,7 +75,7 @@ def value_counts(
     """Counts per group and value with the first appearance: ``by…, value, count, first``."""
     rows = df.filter(keep) if keep is not None else df
     return rows.groupBy(*by, F.col(value).cast("string").alias("value")).agg(
-        F.count("*").alias("count"), F.min(F.struct(*order)).alias("first")
+        F.count("*").alias("count"), first_seen(rows, order).alias("first")
     )
 
 

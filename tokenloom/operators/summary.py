@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.labels import has_valid_text, require_columns
+from tokenloom.functions.order import first_seen
 from tokenloom.functions.text import clean_name
 from tokenloom.operators.evaluate import NOISE, centroids_of, own_centroid_distance
 from tokenloom.operators.labels import counts_text, value_counts
@@ -54,7 +55,7 @@ def label_lemma_examples(
     lemmas = (
         labelled.filter(has_valid_text("LEMMA"))
         .groupBy("cluster", F.col("SEMCLASS").cast("string").alias("label"), F.col("LEMMA").cast("string").alias("lemma"))
-        .agg(F.min(F.struct(*order)).alias("seen"))
+        .agg(first_seen(labelled, order).alias("seen"))
         .withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), "lemma")))
     )
     sizes = lemmas.groupBy("cluster", "label").agg(F.count("*").alias("distinct"))
