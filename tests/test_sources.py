@@ -143,7 +143,7 @@ def test_hierarchy_file(spark, tmp_path):
     folder = tmp_path / "nested" / "deep"
     folder.mkdir(parents=True)
     text = "1,,0,ROOT,x\n2,1,1,ENTITY\n\n3,NULL,1,\"A, B\"\n"
-    write(folder / "hyperonims_hierarchy.csv", text)
+    write(folder / "label_hierarchy.csv", text)
     rows = read_hierarchy(spark, str(tmp_path)).orderBy("class_id").collect()
     assert [tuple(r) for r in rows] == [("1", None, 0, "ROOT"), ("2", "1", 1, "ENTITY"), ("3", None, 1, "A, B")]
     short = write(tmp_path / "short.csv", "1,2\n")

@@ -1,17 +1,17 @@
 from pyspark.sql import functions as F
 
 from tokenloom.operators.contexts import chunk_raw_text
-from tokenloom.streaming import pipelines
+from tokenloom.streaming import streams
 
 
 def test_stream_matches_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     records = spark.createDataFrame([(i, "слово, " * (i % 7)) for i in range(30)], "id bigint, text string")
     records.repartition(3).write.parquet(source)
-    stream = pipelines.stream_table(spark, source, records.schema, maxFilesPerTrigger="1")
+    stream = streams.stream_table(spark, source, records.schema, maxFilesPerTrigger="1")
     out = str(tmp_path / "out")
-    chunks = pipelines.stream_contexts(stream, document_index="id", max_context_tokens=5)
-    pipelines.write_stream(chunks, out, str(tmp_path / "log")).awaitTermination()
+    chunks = streams.stream_contexts(stream, document_index="id", max_context_tokens=5)
+    streams.write_stream(chunks, out, str(tmp_path / "log")).awaitTermination()
     expected = chunk_raw_text(records, document_index="id", max_context_tokens=5)
     assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, expected.collect()))
 
@@ -20,11 +20,11 @@ def test_online_kmeans_counts_every_row_once(spark, tmp_path):
     source = str(tmp_path / "in")
     points = spark.range(60).select(F.array((F.col("id") % 2 * 10).cast("double"), F.lit(1.0)).alias("embedding"))
     points.repartition(4).write.parquet(source)
-    stream = pipelines.stream_table(spark, source, points.schema, maxFilesPerTrigger="1")
+    stream = streams.stream_table(spark, source, points.schema, maxFilesPerTrigger="1")
     state = str(tmp_path / "state")
-    pipelines.stream_minibatch_kmeans(stream, 2, state, str(tmp_path / "log"), normalize=False).awaitTermination()
-    centers = pipelines.read_centroids(spark, f"{state}/versions").collect()
+    streams.stream_minibatch_kmeans(stream, 2, state, str(tmp_path / "log"), normalize=False).awaitTermination()
+    centers = streams.read_centroids(spark, f"{state}/versions").collect()
     assert sum(r["n"] for r in centers) == 60
     assert sorted(round(r["centroid"][0], 6) for r in centers) == [0.0, 10.0]
-    assigned = pipelines.stream_assignments(points, pipelines.read_centroids(spark, f"{state}/versions"))
+    assigned = streams.stream_assignments(points, streams.read_centroids(spark, f"{state}/versions"))
     assert assigned.groupBy("cluster").count().count() == 2

@@ -189,7 +189,7 @@ def score_grams(
     )
     totals = counts.filter(F.col("kind") == UNIGRAM).groupBy(*by).agg(F.sum("n").alias("total"))
     if by:
-        gathered = gathered.join(totals, list(by))
+        gathered = lookup_join(gathered, totals, {name: name for name in by}, weight="total")
     else:
         gathered = gathered.join(F.broadcast(totals))
     tables = []

@@ -384,7 +384,7 @@ def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int)
         count = moved.filter("moved").count()
         labels = moved.drop("moved")
         # A handful of late moves cannot change the partition much; both halves must be that quiet.
-        quiet = quiet + 1 if count * 1000 <= size["lookup_rows"] else 0
+        quiet = quiet + 1 if count * 100 <= size["lookup_rows"] else 0
         if quiet == 2:
             break
     return labels

@@ -94,6 +94,7 @@ def collocation_cluster_experiment(
         by=by,
         order=[*sentence_key, "token_index"],
         lowercase=lowercase,
+        runs=runs,
     )
     return {
         "collocations": table,

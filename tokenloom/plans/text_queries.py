@@ -519,6 +519,10 @@ def cluster_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return _tables(spark, folder)[2].select("ngram_size", "ngram", "frequency", "source_sheet", "source_rank")
 
 
+def _runs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("run_1",), ("run_2",)], "run_id string")
+
+
 def _found(documents: DataFrame, found: DataFrame) -> DataFrame:
     return occurrences.occurrences(documents, found, sentence_key=SENTENCE, selected_rows=found.count())
 
@@ -605,8 +609,9 @@ _INSIDE = f"""{_TERM_TABLES},
 
 def _matched(spark: SparkSession, folder: str) -> DataFrame:
     rows = _found(*_tables(spark, folder)[:2])
-    runs = spark.createDataFrame([("run_1",), ("run_2",)], "run_id string")
-    return occurrences.matched_parts(rows, annotated_runs(spark, folder), sentence_key=SENTENCE, by=["run_id"], runs=runs)
+    return occurrences.matched_parts(
+        rows, annotated_runs(spark, folder), sentence_key=SENTENCE, by=["run_id"], runs=_runs(spark)
+    )
 
 
 @query(
@@ -645,7 +650,13 @@ def collocation_cluster_table(spark: SparkSession, folder: str) -> DataFrame:
     documents, found, chosen = _tables(spark, folder)
     rows = _found(documents, found)
     report = occurrences.collocation_cluster_table(
-        chosen, rows, stored_runs(spark, folder), sentence_key=SENTENCE, by=["run_id"], order=TOKEN
+        chosen,
+        rows,
+        stored_runs(spark, folder),
+        sentence_key=SENTENCE,
+        by=["run_id"],
+        order=TOKEN,
+        runs=_runs(spark),
     )
     return report.select("run_id", *occurrences.TABLE_COLUMNS)
 
@@ -692,10 +703,10 @@ def marginal_cluster_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return occurrences.marginal_metrics(chosen, clusters, by=["run_id"]).select(
         "run_id",
         "ngram",
-        "pair_total_1_2",
-        "same_1_2",
+        F.col("pair_total_1_2").cast("double").alias("pair_total_1_2"),
+        F.col("same_1_2").cast("double").alias("same_1_2"),
         rounded("pair_rate_1_2").alias("pair_rate_1_2"),
-        "all_parts_same_count",
+        F.col("all_parts_same_count").cast("double").alias("all_parts_same_count"),
         "shared_cluster_count",
     )
 

@@ -34,7 +34,7 @@ from tokenloom.plans.registry import (
 from tokenloom.session import materialize, shared_folder
 from tokenloom.sources import annotated as files
 from tokenloom.sources import tables as sinks
-from tokenloom.streaming import pipelines
+from tokenloom.streaming import streams
 
 KEY = ["vec_id"]
 
@@ -922,10 +922,10 @@ def artifact_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("streamed_contexts", text_queries._CHUNK_ROWS)
 def streamed_contexts(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "documents").schema
-    records = pipelines.stream_table(spark, folder, schema, pathGlobFilter="documents.parquet")
+    records = streams.stream_table(spark, folder, schema, pathGlobFilter="documents.parquet")
     path = _scratch(spark, "stream")
-    chunks = pipelines.stream_contexts(records, document_index="doc_id")
-    pipelines.write_stream(chunks, path, f"{path}-log").awaitTermination()
+    chunks = streams.stream_contexts(records, document_index="doc_id")
+    streams.write_stream(chunks, path, f"{path}-log").awaitTermination()
     return text_queries._chunk_report(spark.read.parquet(path))
 
 
@@ -933,19 +933,19 @@ def streamed_contexts(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_assignments(spark: SparkSession, folder: str) -> DataFrame:
     centers = materialize(evaluate.centroids_of(_by_label(spark, folder)), "centers")
     source = table(spark, folder, "embeddings")
-    rows = pipelines.stream_table(spark, folder, source.schema, pathGlobFilter="embeddings.parquet")
+    rows = streams.stream_table(spark, folder, source.schema, pathGlobFilter="embeddings.parquet")
     path = _scratch(spark, "stream")
-    found = pipelines.stream_assignments(rows.select("vec_id", "embedding"), centers)
-    pipelines.write_stream(found.select("vec_id", "cluster"), path, f"{path}-log").awaitTermination()
+    found = streams.stream_assignments(rows.select("vec_id", "embedding"), centers)
+    streams.write_stream(found.select("vec_id", "cluster"), path, f"{path}-log").awaitTermination()
     return spark.read.parquet(path)
 
 
 @query("streamed_kmeans")
 def streamed_kmeans(spark: SparkSession, folder: str) -> DataFrame:
     source = table(spark, folder, "embeddings")
-    rows = pipelines.stream_table(spark, folder, source.schema, pathGlobFilter="embeddings.parquet")
+    rows = streams.stream_table(spark, folder, source.schema, pathGlobFilter="embeddings.parquet")
     state = _scratch(spark, "state")
     k = _label_count(spark, folder)
-    pipelines.stream_minibatch_kmeans(rows, k, state, f"{state}-log").awaitTermination()
-    centers = pipelines.read_centroids(spark, f"{state}/versions")
+    streams.stream_minibatch_kmeans(rows, k, state, f"{state}-log").awaitTermination()
+    centers = streams.read_centroids(spark, f"{state}/versions")
     return nearest_centroid(partitioning.prepared(embeddings(spark, folder)), centers).select("vec_id", "cluster")

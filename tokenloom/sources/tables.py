@@ -12,7 +12,7 @@ ARTIFACT_TABLES = ["runs", "annotated_tokens", "summary", "scores", "hierarchy_a
 MISSING_FIELD = "\u0001"
 
 
-def read_hierarchy(spark: SparkSession, path: str, *, file_name: str = "hyperonims_hierarchy.csv") -> DataFrame:
+def read_hierarchy(spark: SparkSession, path: str, *, file_name: str = "*hierarchy.csv") -> DataFrame:
     """Label hierarchy from a headerless CSV file, or from that file anywhere below a folder.
 
     The first four columns count; an empty or ``NULL`` parent is null.
