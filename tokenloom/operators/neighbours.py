@@ -396,7 +396,7 @@ def communities(
     *,
     resolution: float = 1.0,
     levels: int = 3,
-    rounds: int = 10,
+    rounds: int = 6,
     seed: int = 42,
 ) -> DataFrame:
     """Communities of a weighted graph by modularity moves and super-node merging: ``node, cluster``.
