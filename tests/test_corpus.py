@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.operators import ambiguity, collocate, embed, occurrences
+from tokenloom.operators import collocate, embed, occurrences
 from tokenloom.operators.tokens import sentence_terms
 from tokenloom.plans import experiments
 from tokenloom.sources.tables import run_table
