@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokenloom.llm import quality, toxicity
+from tokenloom.llm import quality, simhash, toxicity
 from tokenloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     weights = toxicity.train_toxicity(documents, table(spark, folder, "labels"))
@@ -25,6 +31,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
     "op6_toxicity": op6_toxicity,
     "op9_quality": op9_quality,
 }
