@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import quality, simhash, toxicity
+from tokenloom.llm import chat, quality, simhash, toxicity, warc_zip
 from tokenloom.llm.common import table
+from tokenloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,32 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(documents, weights).select("doc_id", "held_out", "score", "predicted")
 
 
+#: Conversation -7: a user, then an assistant, both saying the template's own control strings.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    return chat.read_back(chat.format_turns(conversations.unionByName(control)))
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    archives = f"{shared_folder(spark).rstrip('/')}/tokenloom/warc-{uuid.uuid4().hex}"
+    manifest = warc_zip.write_archives(warc_zip.plan_records(table(spark, folder, "pages")), archives)
+    places = warc_zip.read_index(manifest.repartition(partitions, "path"))
+    dealt = places.repartition(partitions, "path", F.floor(F.col("offset") / (8 << 20)))
+    return warc_zip.read_records(dealt, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     weights = quality.train_quality(documents, table(spark, folder, "labels"))
@@ -33,7 +61,48 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_chat": op7_chat,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+_CHAT_SQL = r'''
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+    14 + length(role) + length(text)
+      + 2 * (length(role) + length(text)) - length(replace(role, '\', '')) - length(replace(text, '\', ''))
+      - (length(role) + length(text))
+      + (length(role) + length(text) - length(replace(role, '</turn>', '')) - length(replace(text, '</turn>', ''))) // 7
+      + length(role) + length(text) - length(regexp_replace(role, '#+', '#', 'g')) - length(regexp_replace(text, '#+', '#', 'g'))
+      + length(role) - length(replace(role, ':', '')) AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), grown AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS so_far FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(so_far) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
+FROM grown GROUP BY conv_id
+'''
+
+_WARC_SQL = '''
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), kept AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper, count(*) OVER (PARTITION BY payload_digest) AS n
+  FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id <> keeper THEN keeper END AS refers_to
+FROM kept
+'''
+
+ORACLES: dict[str, str] = {"op7_chat": _CHAT_SQL, "op8_warc": _WARC_SQL}
