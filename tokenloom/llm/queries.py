@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import chat, quality, simhash, toxicity, warc_zip
+from tokenloom.llm import chat, decontaminate, quality, simhash, toxicity, warc_zip
 from tokenloom.llm.common import table
 from tokenloom.session import shared_folder
 
@@ -20,6 +20,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     weights = toxicity.train_toxicity(documents, table(spark, folder, "labels"))
@@ -60,6 +65,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op4_decontamination": op4_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
@@ -105,4 +111,39 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM kept
 '''
 
-ORACLES: dict[str, str] = {"op7_chat": _CHAT_SQL, "op8_warc": _WARC_SQL}
+_DECONTAMINATION_SQL = r'''
+WITH doc_words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents
+), item_words AS (
+  SELECT item_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, len(words) AS n, array_to_string(list_slice(words, s, s + 12), ' ') AS phrase,
+    least(13, len(words)) AS size
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(words) - 12, 1))) AS s FROM item_words WHERE len(words) > 0)
+), lengths AS (SELECT DISTINCT size FROM windows
+), runs AS (
+  SELECT doc_id, s, size, array_to_string(list_slice(words, s, s + size - 1), ' ') AS phrase
+  FROM (SELECT doc_id, words, size, unnest(generate_series(1, len(words) - size + 1)) AS s
+        FROM doc_words, lengths WHERE len(words) >= size)
+), met AS (SELECT doc_id, s, r.size, item_id FROM runs r JOIN windows w ON r.phrase = w.phrase AND r.size = w.size
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM met) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS found
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(found, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(words) AS contaminated
+FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+'''
+
+ORACLES: dict[str, str] = {
+    "op4_decontamination": _DECONTAMINATION_SQL,
+    "op7_chat": _CHAT_SQL, "op8_warc": _WARC_SQL}
