@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import chat, decontaminate, quality, simhash, toxicity, warc_zip
+from tokenloom.llm import chat, decontaminate, html_crf, quality, simhash, toxicity, warc_zip
 from tokenloom.llm.common import table
 from tokenloom.session import shared_folder
 
@@ -63,6 +63,11 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(documents, weights).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_crf.extract_text(pages, html_crf.train_extractor(pages)).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op4_decontamination": op4_decontamination,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
+    "op10_html": op10_html,
 }
 
 _CHAT_SQL = r'''
