@@ -1,9 +1,10 @@
 """Document fingerprints by one-permutation MinHash, with DataFrame functions only.
 
 Every shingle of five words is hashed once. The high bits of a hash choose one of ``BINS`` bins, and a bin keeps its
-smallest hash. An empty bin takes the value of a filled one: the first filled bin in a random order of all bins that
-is drawn for the empty bin (optimal densification), so two texts borrow alike as far as they share bins. Of every bin
-the low ``BITS`` bits are stored, packed into longs. Two unrelated bins agree by chance once in ``2**BITS``; likeness
+smallest hash. An empty bin takes the value of a filled one: bins are drawn at random for it until one is filled
+(optimal densification; after ``DRAWS`` misses, as in very short texts, the filled bins are ranked by a hash instead),
+so two texts borrow alike as far as they share bins. Of every bin
+``BITS`` low bits are stored, packed into longs. Two unrelated bins agree by chance once in ``2**BITS``; likeness
 takes that share out.
 
 Words are lower-cased and split at ASCII white space. A text of fewer than five words is one shingle. A null or empty
@@ -23,6 +24,7 @@ from tokenloom.llm.common import SPACES, or_empty
 BINS = 256
 BITS = 4
 SHINGLE = 5
+DRAWS = 12
 _REST = 63 - BINS.bit_length() + 1
 _FULL = (1 << _REST) - 1
 _PER_LONG = 64 // BITS
@@ -35,16 +37,13 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _shingles(words: Column) -> Column:
+    """Hashes of the shingles of at least one word."""
+
     def of_many(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(hashes) - (SHINGLE - 1))
-        return F.transform(starts, lambda at: F.xxhash64(*[F.element_at(hashes, at + i) for i in range(SHINGLE)]))
-
-    hashed = F.transform(words, lambda word: F.xxhash64(word))
-    return (
-        F.when(F.size(words) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(words) < SHINGLE, F.array(F.xxhash64(F.array_join(words, " "))))
-        .otherwise(bound(hashed, of_many))
-    )
+        starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - (SHINGLE - 1), F.lit(1)))
+        return F.transform(starts, lambda at: F.xxhash64(F.slice(hashes, at, F.lit(SHINGLE))))
+
+    return bound(F.transform(words, lambda word: F.xxhash64(word)), of_many)
 
 
 def _bin(value: Column) -> Column:
@@ -66,14 +65,21 @@ def _packed(shingles: Column) -> Column:
             ordered, lambda value, at: F.coalesce(_bin(value) != _bin(F.get(ordered, at - 1)), F.lit(True))
         )
 
-    def densified(bins: Column, filled: Column) -> Column:
+    def densified(bins: Column, held: Column) -> Column:
         def borrowed(value: Column) -> Column:
+            draws = [F.get(held, F.pmod(F.xxhash64(value, F.lit(at)), F.lit(BINS)).cast("int")) for at in range(DRAWS)]
             order = F.transform(
-                filled, lambda other: F.struct(F.xxhash64(_bin(value), _bin(other)).alias("turn"), other.alias("value"))
+                F.filter(held, lambda other: other.isNotNull()),
+                lambda other: F.struct(F.xxhash64(value, _bin(other)).alias("turn"), other.alias("value")),
             )
-            return F.array_min(order)["value"]
+            return F.coalesce(*draws, F.array_min(order)["value"])
 
-        return F.transform(bins, lambda value: F.when(_empty(value), borrowed(value)).otherwise(value))
+        def stored_bits(value: Column, at: Column) -> Column:
+            # which of a hash's bits are stored goes by the bin, so texts of few shingles do not agree by one chance in all bins
+            chosen = F.when(_empty(value), borrowed(value)).otherwise(value)
+            return F.call_function("shiftright", chosen, F.pmod(at, F.lit(_REST // BITS)) * BITS)
+
+        return F.transform(bins, stored_bits)
 
     def pack(bins: Column) -> Column:
         def one(group: Column) -> Column:
@@ -85,22 +91,18 @@ def _packed(shingles: Column) -> Column:
 
         return F.transform(F.sequence(F.lit(0), F.lit(_LONGS - 1)), one)
 
-    return bound(
-        bound(F.sort_array(F.concat(hashes, marks)), firsts),
-        lambda bins: bound(
-            F.filter(bins, lambda value: ~_empty(value)), lambda filled: bound(densified(bins, filled), pack)
-        ),
-    )
+    def filled(bins: Column) -> Column:
+        held = F.transform(bins, lambda value: F.when(~_empty(value), value))
+        return bound(held, lambda held: bound(densified(bins, held), pack))
+
+    return bound(bound(F.sort_array(F.concat(hashes, marks)), firsts), filled)
 
 
 def fingerprint(text: str | Column) -> Column:
     """Fingerprint of a text as an array of longs; empty for a text without words."""
-    words = F.filter(F.split(F.lower(or_empty(text)), SPACES), lambda word: word != "")
-    return bound(
-        words,
-        lambda found: F.when(F.size(found) == 0, F.array().cast("array<bigint>")).otherwise(
-            bound(_shingles(found), _packed)
-        ),
+    trimmed = F.trim(F.lower(or_empty(text)), F.lit(" \t\n\r\x0b\x0c"))
+    return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(
+        bound(_shingles(F.split(trimmed, SPACES)), _packed)
     )
 
 
@@ -134,8 +136,10 @@ def likeness(left: Column, right: Column) -> Column:
 # --- each document beside the next one, in the order of their ids
 
 
-def with_next(documents: DataFrame, columns: list[str], *, buckets: int | None = None) -> DataFrame:
-    """Add ``next_<column>`` of the next document by doc_id; the first follows the last.
+def with_next(
+    documents: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, *, buckets: int | None = None
+) -> DataFrame:
+    """Add ``next_<column>`` of the next document by doc_id; the first follows the last. ``derived`` columns are added first.
 
     Ranges of ids (from approximate percentiles, so of about equal size) are ordered each by itself, with a copy of the
     following range's first row behind its last. Null ids come first; rows of one id are ordered by a hash of their text.
@@ -162,7 +166,7 @@ def with_next(documents: DataFrame, columns: list[str], *, buckets: int | None =
     # one row per range of ids, their number is a parameter
     firsts = ordered.groupBy("_bucket").agg(F.min(F.struct("doc_id", "_hash")).alias("f")).orderBy("_bucket").collect()
     if not firsts:
-        return documents.select("*", *[F.col(name).alias(f"next_{name}") for name in columns])
+        return documents.withColumns(derived or {}).select("*", *[F.col(name).alias(f"next_{name}") for name in columns])
     followers = [
         F.struct(
             F.lit(row._bucket).alias("_behind"),
@@ -176,6 +180,7 @@ def with_next(documents: DataFrame, columns: list[str], *, buckets: int | None =
         F.broadcast(listed), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_first"))
     ).select(*[F.col("_behind").alias("_bucket") if name == "_bucket" else F.col(name) for name in ordered.columns])
     every = ordered.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
+    every = every.withColumns(derived or {})
     order = Window.partitionBy("_bucket").orderBy("_copy", F.col("doc_id").asc_nulls_first(), "_hash")
     beside = every.select("*", *[F.lead(name).over(order).alias(f"next_{name}") for name in columns])
     return beside.where(~F.col("_copy")).drop("_copy", "_bucket", "_hash")
@@ -183,8 +188,8 @@ def with_next(documents: DataFrame, columns: list[str], *, buckets: int | None =
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter is the start of the next document."""
-    marked = documents.select("doc_id", or_empty("text").alias("text")).withColumn("packed", fingerprint("text"))
-    beside = with_next(marked, ["text", "packed"])
+    texts = documents.select("doc_id", or_empty("text").alias("text"))
+    beside = with_next(texts, ["text", "packed"], {"packed": fingerprint("text")})
     count = F.length("text")
     moved = F.floor(count / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), count - moved), F.substring("next_text", F.lit(1), moved))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, quality, simhash, toxicity, warc_zip
+from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, quality, simhash, toxicity, warc_zip
 from tokenloom.llm.common import table
 from tokenloom.session import shared_folder
 
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_lm.held_out_scores(table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     weights = toxicity.train_toxicity(documents, table(spark, folder, "labels"))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
     "op4_decontamination": op4_decontamination,
+    "op5_perplexity": op5_perplexity,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
