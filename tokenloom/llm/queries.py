@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, quality, simhash, toxicity, warc_zip
+from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, pieces, quality, simhash, toxicity, warc_zip
 from tokenloom.llm.common import table
 from tokenloom.session import shared_folder
 
@@ -24,6 +24,10 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
 
 
+def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_and_sample(table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -79,6 +83,7 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
+    "op3_pieces": op3_pieces,
     "op4_decontamination": op4_decontamination,
     "op5_perplexity": op5_perplexity,
     "op6_toxicity": op6_toxicity,
