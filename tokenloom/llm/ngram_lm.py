@@ -34,7 +34,7 @@ from tokenloom.session import shared_folder
 
 MODULUS, HELD_OUT = 5, 1
 _START, _END = b" start", b" end"
-_BATCH_TOKENS = 4_000_000
+_BATCH_TOKENS = 2_000_000
 
 
 def save(folder: str, array: np.ndarray) -> str:
@@ -125,47 +125,43 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]]:
-    """(sorted hashes of the distinct tokens, tokens as places in them, text of each token, rows) per batch.
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(sorted hashes of the distinct tokens, tokens as places in them, text of each token, row keys) per batch.
 
-    The start mark of each text is -1 in the token array.
+    The start mark of each text is -1 in the token array. A batch ends with the text that fills it; the words of a text
+    are turned into numbers at once.
     """
 
-    def batch(rows: list, words: list[list[bytes]]):
+    def empty() -> tuple[dict[bytes, int], list, list[np.ndarray], int]:
         local: dict[bytes, int] = defaultdict()
         local.default_factory = local.__len__
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        flat = np.empty(int(lengths.sum()), np.int64)
-        end, at = local[_END], 0
-        for found in words:
-            flat[at] = -1
-            at += 1
-            flat[at : at + len(found)] = np.fromiter(map(local.__getitem__, found), np.int64, len(found))
-            at += len(found)
-            flat[at] = end
-            at += 1
+        return local, [], [], 0
+
+    def packed(local: dict[bytes, int], keys: list, parts: list[np.ndarray]):
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.concatenate(parts)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
         order = np.argsort(hashes)
-        turn = np.empty(len(order) + 1, np.int64)
+        turn = np.empty(len(order) + 1, np.int32)
         turn[order] = np.arange(len(order))
         turn[-1] = -1
-        return hashes[order], turn[flat], np.repeat(np.arange(len(words)), lengths), pd.concat(rows)
+        return hashes[order], turn[flat], np.repeat(np.arange(len(parts), dtype=np.int32), lengths), keys
 
-    rows, words, total = [], [], 0
+    local, keys, parts, total = empty()
     for frame in frames:
-        begin = 0
-        for at, text in enumerate(frame.text):
-            found = _words(text)
-            words.append(found)
-            total += len(found)
+        for key, text in frame.itertuples(index=False):
+            words = _words(text)
+            part = np.empty(len(words) + 2, np.int32)
+            part[0], part[-1] = -1, local[_END]
+            part[1:-1] = np.fromiter(map(local.__getitem__, words), np.int32, len(words))
+            keys.append(key)
+            parts.append(part)
+            total += len(part)
             if total >= _BATCH_TOKENS:
-                rows.append(frame.iloc[begin : at + 1])
-                yield batch(rows, words)
-                rows, words, total, begin = [], [], 0, at + 1
-        if begin < len(frame):
-            rows.append(frame.iloc[begin:])
-    if words:
-        yield batch(rows, words)
+                yield packed(local, keys, parts)
+                local, keys, parts, total = empty()
+    if parts:
+        yield packed(local, keys, parts)
 
 
 def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> list[tuple]:
@@ -214,7 +210,7 @@ def train(training: DataFrame, *, bits: int | None = None) -> Model | None:
     bits = bits or int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()
     shards = 1 << bits
     folder = f"{shared_folder(spark).rstrip('/')}/tokenloom/lm-{uuid.uuid4().hex}"
-    texts = training.select(or_empty("text").alias("text"))
+    texts = training.select(F.lit(0).alias("key"), or_empty("text").alias("text"))
 
     def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for hashes, flat, _, rows in _batches(frames):
@@ -438,7 +434,7 @@ def score(documents: DataFrame, model: Model | None, *, id_column: str = "doc_id
         for hashes, flat, owner, rows in _batches(frames):
             count = len(rows)
             token = flat >= 0
-            out = pd.DataFrame({id_column: rows[id_column].to_numpy()})
+            out = pd.DataFrame({id_column: pd.array([None if key is None else int(key) for key in rows], dtype="Int64")})
             out["n_tokens"] = np.bincount(owner[token], minlength=count)
             if known is None:
                 out["n_known"], out["base_score"], out["score"] = 0, 0.0, 0.0
@@ -459,7 +455,7 @@ def score(documents: DataFrame, model: Model | None, *, id_column: str = "doc_id
             out["score"] = np.bincount(owner[1:][kept], weights=_pair_scores(known, before, after)[back], minlength=count)
             yield out
 
-    texts = documents.select(F.col(id_column).cast("bigint").alias(id_column), or_empty("text").alias("text"))
+    texts = documents.select(F.col(id_column).cast("string").alias(id_column), or_empty("text").alias("text"))
     return texts.mapInPandas(scored, schema)
 
 
