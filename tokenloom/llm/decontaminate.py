@@ -170,8 +170,10 @@ def contamination(documents: DataFrame, items: DataFrame, *, window: int = WINDO
     """``documents`` with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     A document is contaminated if it has hit words and they are at least one in ``share``. Null item ids count as the
-    empty id. Rows with a null id or text are kept.
+    empty id. Rows with a null id or text are kept; columns that have one of the new names are replaced.
     """
+    fresh = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "key", "found"]
+    documents = documents.drop(*fresh)
     words = stored(item_words(items), "benchmark-words")
     index = build_index(documents.select("doc_id", "text"), words)
     matches = phrase_matches(index, words, window=window)

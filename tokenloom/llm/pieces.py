@@ -38,7 +38,7 @@ from tokenloom.llm.common import or_empty
 
 SAMPLES = 2
 SPACE = "▁"
-_BATCH_CHARS = 3_000_000
+_BATCH_CHARS = 1_200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,8 +158,10 @@ class Lattice:
             on = known & (left[at] > reach)
             at, value = at[on], value[on]
         start, reaches, ids, log_prob = (np.concatenate(column) for column in zip(*arcs, strict=True)) if arcs else [np.zeros(0, np.int64)] * 4
-        order = np.argsort(start, kind="stable")
-        start, self.end, self.ids, log_prob = start[order], (start + reaches)[order], ids[order], log_prob[order]
+        del arcs, at, value
+        start, end, ids = start.astype(np.int32), (start + reaches).astype(np.int32), ids.astype(np.int32)
+        order = np.argsort(start, kind="stable").astype(np.int32)
+        start, self.end, self.ids, log_prob = start[order], end[order], ids[order], log_prob[order]
         self.first = np.searchsorted(start, np.arange(size + 1))
         self.mass = np.zeros(size)
         distance = left[start]
@@ -171,8 +173,7 @@ class Lattice:
             self.mass[start[arc][border]] = np.logaddexp.reduceat(log_prob[arc] + self.mass[self.end[arc]], border)
         self.prob = np.exp(log_prob + self.mass[self.end] - self.mass[start])
         total = np.cumsum(self.prob)
-        before = np.concatenate([[0.0], total])[self.first[start]]
-        self.upto = total - before
+        self.upto = total - np.concatenate([[0.0], total])[self.first[start]]
         self.unit_ends = ends
 
     def choose(self, at: np.ndarray, chance: np.ndarray) -> np.ndarray:
@@ -218,9 +219,11 @@ class _Paths:
         self.unit = np.repeat(np.arange(len(counts)), counts)
         begin = np.cumsum(counts) - counts
         self.level = np.arange(len(arcs)) - np.repeat(begin, counts)
-        total = np.concatenate([[0.0], np.cumsum(np.log(lattice.prob[arcs]))])
-        self.share = total[:-1] - np.repeat(total[first[:-1]], np.diff(first))  # before the step
-        self.whole = total[first[1:]] - total[first[:-1]]
+        logs = np.log(lattice.prob[arcs])
+        # summed text by text, so that a text's sums do not depend on its batch
+        sums = [np.cumsum(logs[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.share = (np.concatenate(sums) if sums else logs) - logs  # before the step
+        self.whole = np.array([part[-1] if len(part) else 0.0 for part in sums])
 
 
 def sample(lattice: Lattice, units: np.ndarray, first_unit: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple]]:

@@ -184,11 +184,13 @@ def fingerprint_text(column: str = "simhash") -> Column:
 
 # --- looser copies: wide fingerprints on a sampled grid
 
-WIDE = 4
-WIDE_RADIUS = 48
-WIDE_BOUND = 56
-GRIDS, GRID_SEGMENTS = 64, 14
-_NAMES = [f"{kind}{at}" for kind in ("near", "wide") for at in range(WIDE)]
+#: Longs of the fingerprint that decides and of the one that meets; differing bits of 1024 that stand for a likeness of
+#: 0.8; Manhattan bound on the 256 bits of the other.
+WIDE, MEET = 16, 4
+WIDE_RADIUS = 172
+MEET_BOUND = 56
+GRIDS, GRID_SEGMENTS = 96, 14
+_NAMES = [f"near{at}" for at in range(MEET)] + [f"wide{at}" for at in range(WIDE)]
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -198,16 +200,16 @@ def _mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(31))
 
 
-def wide_fingerprint(words: list[bytes], shingle: int) -> list[int]:
+def wide_fingerprint(words: list[bytes], shingle: int, longs: int) -> list[int]:
     """Signed longs of a SimHash of 64 bits each over the distinct shingles; zeros without words."""
     if not words:
-        return [0] * WIDE
+        return [0] * longs
     count = max(len(words) - shingle, 0) + 1
     digest = xxhash.xxh64_intdigest
     rows = zip(*(words[at : at + count] for at in range(min(shingle, len(words)))), strict=True)
     hashes = np.array(list({digest(b" ".join(row), SEED) for row in rows}), np.uint64)
     found = []
-    for at in range(WIDE):
+    for at in range(longs):
         ones = np.zeros(64, np.int64)
         for begin in range(0, len(hashes), _CHUNK):
             mixed = _mixed(hashes[begin : begin + _CHUNK] + np.uint64(at * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
@@ -217,27 +219,28 @@ def wide_fingerprint(words: list[bytes], shingle: int) -> list[int]:
 
 
 def _wide_prints(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``node``, a hash of the lower-cased words, and both wide fingerprints of each text."""
-    schema = "node bigint, " + ", ".join(f"{name} bigint" for name in _NAMES)
+    """Each row as ``row``, with ``node``, a hash of its lower-cased words, and both wide fingerprints of its text."""
+    names = ["node", *_NAMES]
 
-    @F.pandas_udf(f"struct<{schema.replace(' bigint', ': bigint')}>")
+    @F.pandas_udf(f"struct<{', '.join(f'{name}: bigint' for name in names)}>")
     def hashed(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             words = text.encode("utf-8", "replace").lower().split()
             node = np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64)
-            rows.append([int(node), *wide_fingerprint(words, 2), *wide_fingerprint(words, 5)])
-        return pd.DataFrame(rows, columns=["node", *_NAMES], dtype="int64")
+            rows.append([int(node), *wide_fingerprint(words, 2, MEET), *wide_fingerprint(words, 5, WIDE)])
+        return pd.DataFrame(rows, columns=names, dtype="int64")
 
-    return documents.withColumn("_prints", hashed(or_empty("text")))
+    packed = documents.select(F.struct(*[documents[name] for name in documents.columns]).alias("row"))
+    return packed.withColumn("prints", hashed(or_empty("row.text"))).select("row", "prints.*")
 
 
-def _distance(left: str, right: str, kind: str, counts: bool = False) -> Column:
+def _distance(left: str, right: str, kind: str, longs: int, counts: bool = False) -> Column:
     def at(side: str, place: int) -> Column:
         value = F.col(f"{side}.{kind}{place}")
         return segment_counts(value) if counts else value
 
-    return sum(F.bit_count(at(left, place).bitwiseXOR(at(right, place))) for place in range(WIDE))
+    return sum(F.bit_count(at(left, place).bitwiseXOR(at(right, place))) for place in range(longs))
 
 
 def _grids(grids: int, segments: int, seed: int = 11) -> Column:
@@ -245,8 +248,8 @@ def _grids(grids: int, segments: int, seed: int = 11) -> Column:
     generator = np.random.default_rng(seed)
     rows = []
     for number in range(grids):
-        masks = [0] * WIDE
-        for segment in generator.choice(32 * WIDE, segments, replace=False).tolist():
+        masks = [0] * MEET
+        for segment in generator.choice(32 * MEET, segments, replace=False).tolist():
             masks[segment // 32] |= 3 << (2 * (segment % 32))
         parts = [F.lit(_signed(mask)).alias(f"m{at}") for at, mask in enumerate(masks)]
         rows.append(F.struct(F.lit(number).alias("number"), *parts))
@@ -256,32 +259,34 @@ def _grids(grids: int, segments: int, seed: int = 11) -> Column:
 def loose_copies(
     documents: DataFrame, *, radius: int = WIDE_RADIUS, grids: int = GRIDS, segments: int = GRID_SEGMENTS
 ) -> DataFrame:
-    """``documents`` with ``copy_group``, equal for near copies: about 0.8 or more of their five-word shingles.
+    """Each row as ``row`` with ``copy_group``, equal for near copies: about 0.8 or more of their five-word shingles.
 
     Radius 4 of 64 bits means a likeness near 0.95, and no grid that must find every link reaches 0.8. So texts are
     linked by the bits of a wide fingerprint of their five-word shingles, at a radius that stands for 0.8, and met on
     grids of sampled segments of a second one, of two-word shingles, which near copies change less. Texts of likeness
-    0.8 meet on one of the grids with probability 0.98, closer ones almost surely. Equal texts are one node.
+    0.8 meet on one of the grids with probability of about 0.95, closer ones almost surely. Equal texts are one node.
 
     Within a cell each node is first compared with the cell's least; pairs are formed only between nodes that no
     chain of such links joins. Null and empty texts are one group; repeated rows stay and are of one group.
     """
-    prints = stored(_wide_prints(documents).select("*", "_prints.*").drop("_prints"), "copies-prints")
+    prints = stored(_wide_prints(documents), "copies-prints")
     nodes = stored(prints.groupBy("node").agg(*[F.first(name).alias(name) for name in _NAMES]), "copies-nodes")
-    near = [segment_counts(F.col(f"near{at}")).alias(f"near{at}") for at in range(WIDE)]
+    near = [segment_counts(F.col(f"near{at}")).alias(f"near{at}") for at in range(MEET)]
     cells = (
         nodes.select("node", *near)
         .select("*", F.explode(_grids(grids, segments)).alias("grid"))
         .select(
             "node",
-            F.xxhash64("grid.number", *[F.col(f"near{at}").bitwiseAND(F.col(f"grid.m{at}")) for at in range(WIDE)]).alias("cell"),
+            F.xxhash64("grid.number", *[F.col(f"near{at}").bitwiseAND(F.col(f"grid.m{at}")) for at in range(MEET)]).alias("cell"),
         )
     )
     shared = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     met = stored(cells.join(shared.select("cell", "least"), "cell"), "copies-cells")
 
     def linked(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-        close = (_distance("a", "b", "near", counts=True) <= WIDE_BOUND) & (_distance("a", "b", "wide") <= radius)
+        close = (_distance("a", "b", "near", MEET, counts=True) <= MEET_BOUND) & (
+            _distance("a", "b", "wide", WIDE) <= radius
+        )
         return a.alias("a").join(b.alias("b"), on & close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
     stars = met.where("node <> least").select("node", "least").distinct()
@@ -293,17 +298,13 @@ def loose_copies(
     rest = stored(marked.join(mixed.select("cell"), "cell", "left_semi").join(nodes, "node"), "copies-rest")
     apart = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
     groups = connected(first.union(linked(rest, rest, apart).distinct()))
-    return (
-        prints.drop(*_NAMES)
-        .join(groups, "node", "left")
-        .withColumn("copy_group", F.coalesce("component", "node"))
-        .drop("node", "component")
-    )
+    grouped = prints.select("row", "node").join(groups, "node", "left")
+    return grouped.select("row", F.coalesce("component", "node").alias("copy_group"))
 
 
 def keep_one(documents: DataFrame, **settings) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id (null only where a group has no ids)."""
     grouped = stored(loose_copies(documents, **settings), "copies-grouped")
-    least = grouped.groupBy("copy_group").agg(F.min("doc_id").alias("_least"))
-    kept = grouped.join(least, "copy_group").where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    return kept.dropDuplicates(["copy_group"]).select(*documents.columns)
+    least = grouped.groupBy("copy_group").agg(F.min("row.doc_id").alias("least"))
+    kept = grouped.join(least, "copy_group").where(F.col("row.doc_id").eqNullSafe(F.col("least")))
+    return kept.dropDuplicates(["copy_group"]).select("row.*")
