@@ -34,7 +34,7 @@ from tokenloom.session import shared_folder
 
 MODULUS, HELD_OUT = 5, 1
 _START, _END = b" start", b" end"
-_BATCH_TOKENS = 2_000_000
+_BATCH_TOKENS = 1_000_000
 
 
 def save(folder: str, array: np.ndarray) -> str:
@@ -158,10 +158,14 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
             parts.append(part)
             total += len(part)
             if total >= _BATCH_TOKENS:
-                yield packed(local, keys, parts)
-                local, keys, parts, total = empty()
+                made = packed(local, keys, parts)
+                local, keys, parts, total = empty()  # the words are let go before the batch is worked on
+                yield made
+                del made
     if parts:
-        yield packed(local, keys, parts)
+        made = packed(local, keys, parts)
+        local, keys, parts, total = empty()
+        yield made
 
 
 def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> list[tuple]:
