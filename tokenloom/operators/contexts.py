@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -200,63 +200,72 @@ def split_by_pieces(
     max_length: int,
     special_tokens: int = 0,
 ) -> DataFrame:
-    """Split contexts so that the subword pieces of each part fit ``max_length``; no target may be lost.
+    """Cut contexts into parts whose subword pieces fit ``max_length``; parts without a target are left out.
 
-    ``piece_lengths`` maps the tokens of one context to their piece counts and runs inside the tasks. A target
-    without pieces or longer than the budget is an error; an over-long non-target is dropped and splits.
-    Adds ``part_index``.
+    ``piece_lengths`` maps the tokens of one context to their piece counts and is all that runs outside Spark's own
+    expressions. Parts are filled from the left. In a context that does not fit as a whole, a token longer than the
+    room ends its part and belongs to none; if it is a target, or a target has no pieces, that is an error, as no
+    target may be lost. Adds ``part_index``.
     """
-    if max_length < 1:
-        raise ValueError("max_length must be positive")
-    budget = max_length - special_tokens
-    if budget < 1:
-        raise ValueError("max_length leaves no room for text tokens after special tokens")
-    has_lemmas = "lemmas" in contexts.columns
-
-    def bounds(lengths: list[int], targets: set[int], row) -> list[tuple[int, int]]:
-        if sum(lengths) <= budget:
-            return [(0, len(lengths))]
-        spans, start, used = [], 0, 0
-        for index, pieces in enumerate(lengths):
-            if index in targets and not 0 < pieces <= budget:
-                raise ValueError(
-                    f"target token {row.tokens[index]!r} has {pieces} pieces for a budget of {budget} in "
-                    f"document {row.document_index}, chunk {row.chunk_index}"
-                )
-            if pieces > budget:
-                spans.append((start, index))
-                start, used = index + 1, 0
-            elif index > start and used + pieces > budget:
-                spans.append((start, index))
-                start, used = index, pieces
-            else:
-                used += pieces
-        return [*spans, (start, len(lengths))]
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                targets = [int(index) for index in row.target_indices]
-                part = 0
-                for start, stop in bounds(piece_lengths(list(row.tokens)), set(targets), row):
-                    inside = [index - start for index in targets if start <= index < stop]
-                    if not inside:
-                        continue
-                    record = [row.document_index, row.chunk_index, part, list(row.tokens[start:stop]), inside]
-                    rows.append(record + ([list(row.lemmas[start:stop])] if has_lemmas else []))
-                    part += 1
-            yield pd.DataFrame(rows, columns=names)
-
-    schema = (
-        "document_index bigint, chunk_index bigint, part_index int, tokens array<string>, "
-        "target_indices array<int>" + (", lemmas array<string>" if has_lemmas else "")
+    room = max_length - special_tokens
+    if max_length < 1 or room < 1:
+        raise ValueError(f"max_length={max_length} with {special_tokens} special tokens has no room for text")
+
+    @F.pandas_udf("array<int>")
+    def counted(batch: pd.Series) -> pd.Series:
+        return pd.Series([list(piece_lengths(list(tokens))) for tokens in batch])
+
+    # The fold numbers the part of every token: ``filled`` is the room used in the open part, -1 marks a token of no part.
+    opening = F.struct(
+        F.lit(0).alias("part"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("parts")
+    )
+
+    def place(held: Column, pieces: Column) -> Column:
+        next_part = (held.filled + pieces > room).cast("int")  # behind a token that is too long, a new part is open
+        part = held.part + next_part
+        too_long = pieces > room
+        return F.struct(
+            part.alias("part"),
+            F.when(too_long, F.lit(0)).when(next_part == 1, pieces).otherwise(held.filled + pieces).alias("filled"),
+            F.concat(held.parts, F.array(F.when(too_long, F.lit(-1)).otherwise(part))).alias("parts"),
+        )
+
+    measured = contexts.withColumn("_pieces", counted("tokens"))
+    total = F.aggregate("_pieces", F.lit(0), lambda held, one: held + one)
+    misfit = F.filter(
+        "target_indices", lambda at: ~F.get("_pieces", at).between(1, room)
+    )
+    message = F.concat(
+        F.lit("document "),
+        F.col("document_index").cast("string"),
+        F.lit(", chunk "),
+        F.col("chunk_index").cast("string"),
+        F.lit(": no part can hold target "),
+        F.get("tokens", F.get(misfit, F.lit(0))),
+        F.lit(f"; there is a budget of {room} pieces"),
+    )
+    numbered = measured.withColumn(
+        "_parts",
+        F.when(total <= room, F.transform("tokens", lambda _: F.lit(0)))
+        .when(F.size(misfit) > 0, F.raise_error(message).cast("array<int>"))
+        .otherwise(F.aggregate("_pieces", opening, place, lambda held: held.parts)),
+    )
+    wanted = F.array_sort(F.array_distinct(F.transform("target_indices", lambda at: F.get("_parts", at))))
+    parts = numbered.select("*", F.posexplode(wanted).alias("part_index", "_part"))
+
+    def of_part(column: str) -> Column:
+        return F.filter(column, lambda _, at: F.get("_parts", at) == F.col("_part"))
+
+    before = F.array_position("_parts", F.col("_part")).cast("int") - 1
+    inside = F.filter("target_indices", lambda at: F.get("_parts", at) == F.col("_part"))
+    return parts.select(
+        F.col("document_index").cast("bigint").alias("document_index"),
+        F.col("chunk_index").cast("bigint").alias("chunk_index"),
+        "part_index",
+        of_part("tokens").alias("tokens"),
+        F.transform(inside, lambda at: (at - before).cast("int")).alias("target_indices"),
+        *([of_part("lemmas").alias("lemmas")] if "lemmas" in contexts.columns else []),
     )
-    names = [field.strip().split(" ")[0] for field in schema.split(", ")]
-    kept = ["document_index", "chunk_index", "tokens", "target_indices"] + (["lemmas"] if has_lemmas else [])
-    return contexts.select(
-        F.col("document_index").cast("bigint"), F.col("chunk_index").cast("bigint"), *kept[2:]
-    ).mapInPandas(split, schema)
 
 
 def check_target_count(before: DataFrame, after: DataFrame) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.labels import MISSING_LABELS, has_valid_label, require_columns
 from tokenloom.functions.naming import metric_note
 from tokenloom.functions.order import first_seen
-from tokenloom.functions.vectors import squared_norm, stack_rows, vector_sum
+from tokenloom.functions.vectors import squared_norm, stack_rows, vector_mean, vector_sum
 from tokenloom.operators.skew import lookup_join
 
 EXACT = -1
@@ -295,9 +295,16 @@ def davies_bouldin(rows: DataFrame, *, cluster: str = "cluster", embedding: str
 
 
 def calinski_harabasz(rows: DataFrame, *, cluster: str = "cluster", embedding: str = "embedding") -> DataFrame:
-    """One row with the Calinski-Harabasz index, from per-cluster sums in a single pass."""
-    kept = rows.filter(F.col(cluster) != NOISE)
-    moments = cluster_moments(kept, cluster=cluster, embedding=embedding)
+    """One row with the Calinski-Harabasz index, from per-cluster sums of the gaps to the overall mean.
+
+    Taking the mean out first keeps the sums of squares from cancelling where all vectors lie far from the origin.
+    """
+    kept = rows.filter(F.col(cluster) != NOISE).select(cluster, F.col(embedding).cast("array<double>").alias(embedding))
+    middle = kept.agg(vector_mean(embedding).alias("_middle"))  # one row
+    gaps = kept.join(F.broadcast(middle)).withColumn(
+        embedding, F.zip_with(embedding, "_middle", lambda x, m: x - m)
+    )
+    moments = cluster_moments(gaps, cluster=cluster, embedding=embedding)
     total = moments.agg(
         F.sum("n").alias("n"),
         F.count("*").alias("k"),

@@ -170,18 +170,16 @@ def neighbour_graph(
     key: str,
     metric: str = "cosine",
     embedding: str = "embedding",
-    exact: bool | None = None,
+    exact: bool = False,
     seed: int = 42,
     max_rows: int = QUADRATIC_ROWS,
 ) -> DataFrame:
     """Undirected neighbour graph ``src < dst, weight``; of doubled edges the largest weight stays.
 
-    ``exact=None`` searches exactly up to ``max_rows`` rows and approximately beyond.
+    The search is approximate unless the caller asks for the exact one, at every size.
     """
     if n_neighbors < 1:
         raise ValueError("graph_n_neighbors must be positive")
-    if exact is None:
-        exact = vectors.count() <= max_rows
     if exact:
         near = exact_neighbours(
             vectors, n_neighbors, key=key, metric=metric, embedding=embedding, max_rows=max_rows
@@ -208,15 +206,21 @@ def _fingerprint(links: DataFrame) -> tuple:
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int | None = None) -> DataFrame:
     """Component (smallest node id) of every node: ``node, component``.
 
+    Runs until nothing changes; with ``max_rounds`` a search that is still unfinished then is an error.
+
     Alternates linking every node's neighbours to the smallest known node (large-star / small-star), so the
     number of rounds grows with the logarithm of the path lengths. The edge table is rewritten each round and
     kept as a written table. Hub nodes are pre-aggregated; no neighbour list is collected.
     """
     links = materialize(edges.select("src", "dst").filter("src <> dst"), "links")
-    for _ in range(max_rounds):
+    turn = 0
+    while True:
+        if turn == max_rounds:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
+        turn += 1
         size = {"lookup_rows": 2 * links.count()}
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("w"))
@@ -254,11 +258,11 @@ def density_clusters(
     key: str,
     min_cluster_size: int = 10,
     min_samples: int = 10,
-    epsilon: float = 0.0,
+    epsilon: float,
     allow_single_cluster: bool = False,
     metric: str = "euclidean",
     embedding: str = "embedding",
-    exact: bool | None = None,
+    exact: bool = False,
     seed: int = 42,
     max_rows: int = QUADRATIC_ROWS,
 ) -> DataFrame:
@@ -266,11 +270,12 @@ def density_clusters(
 
     Core distance is the distance to the ``min_samples``-th neighbour (a row counts itself); edges weigh the
     larger of both core distances and their own length; components of the edges within ``epsilon`` with at
-    least ``min_cluster_size`` rows are clusters. ``epsilon=0`` takes the median core distance.
+    least ``min_cluster_size`` rows are clusters. The level must be given: no share of the rows is noise by
+    construction.
     """
+    if epsilon <= 0:
+        raise ValueError("density clusters need a positive distance level (cluster_selection_epsilon)")
     neighbours = max(min_samples, 2)
-    if exact is None:
-        exact = vectors.count() <= max_rows
     search = exact_neighbours if exact else approximate_neighbours
     extra = {"max_rows": max_rows} if exact else {"seed": seed}
     near = materialize(
@@ -289,10 +294,8 @@ def density_clusters(
         core.join(popularity, "src", "left").withColumn("w", F.coalesce("w", F.lit(0))), "core"
     )
     size = {"lookup_rows": core.count()}
-    cut = epsilon if epsilon > 0 else core.agg(F.percentile_approx("core", 0.5)).first()[0]
+    cut = epsilon
     nodes = vectors.select(F.col(key).cast("bigint").alias("node"))
-    if cut is None:
-        return nodes.select(F.col("node").alias(key), F.lit(NOISE).cast("bigint").alias("cluster"))
     close = near.filter(F.col("distance") <= cut)
     for end in ("src", "dst"):
         reach = core.filter(F.col("core") <= cut).select(F.col("src").alias(end), "w")
@@ -336,8 +339,13 @@ def modularity(edges: DataFrame, labels: DataFrame, *, resolution: float = 1.0)
     return (inside["inside"] or 0.0) / m - resolution * strength / (4.0 * m * m)
 
 
-def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int) -> DataFrame:
-    """Label moves that raise modularity: ``node, community`` and strength ``k`` for the nodes of ``edges``."""
+def _move_nodes(edges: DataFrame, *, resolution: float, tolerance: float, max_rounds: int, seed: int) -> DataFrame:
+    """Label moves that raise modularity: ``node, community`` and strength ``k`` for the nodes of ``edges``.
+
+    Each round one hashed class of the nodes may move. The search ends when every class in turn had at most
+    ``tolerance`` of the nodes to move (none, by default). Moves of one class are made at the same time and may
+    undo one another, so the classes become smaller, hence moves more nearly single, the longer it takes.
+    """
     both = edges.select("src", "dst", "weight").unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
@@ -349,8 +357,8 @@ def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int)
         return labels
     size = {"lookup_rows": strength.count()}
     outside = both.filter("src <> dst")
-    quiet = 0
-    for turn in range(rounds):
+    quiet, classes = 0, 2
+    for turn in range(max_rounds):
         totals = labels.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
         far = labels.select(F.col("node").alias("dst"), F.col("community").alias("to"), F.col("k").alias("k_dst"))
         links = (
@@ -371,8 +379,8 @@ def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int)
             F.first("from").alias("from"),
             F.first("k").alias("k"),
         )
-        # Only one hashed half moves per round, so that two neighbours cannot keep swapping labels.
-        awake = F.pmod(F.xxhash64(F.lit(seed + turn), F.col("src")), F.lit(2)) == 0
+        # Only one hashed class moves per round, so that two neighbours cannot keep swapping labels.
+        awake = F.pmod(F.xxhash64(F.lit(seed), F.col("src")), F.lit(classes)) == turn % classes
         moves = awake & (F.col("best.gain") > F.col("stay") + 1e-12)
         moved = best.select(
             F.col("src").alias("node"),
@@ -383,11 +391,12 @@ def _move_nodes(edges: DataFrame, *, resolution: float, rounds: int, seed: int)
         moved = materialize(moved, "labels")
         count = moved.filter("moved").count()
         labels = moved.drop("moved")
-        # A handful of late moves cannot change the partition much; both halves must be that quiet.
-        quiet = quiet + 1 if count * 100 <= size["lookup_rows"] else 0
-        if quiet == 2:
-            break
-    return labels
+        quiet = quiet + 1 if count <= tolerance * size["lookup_rows"] else 0
+        if quiet == classes:
+            return labels
+        if (turn + 1) % 12 == 0:
+            classes, quiet = classes + 2, 0
+    raise RuntimeError(f"communities still change after {max_rounds} rounds")
 
 
 def communities(
@@ -395,19 +404,24 @@ def communities(
     edges: DataFrame,
     *,
     resolution: float = 1.0,
-    levels: int = 3,
-    rounds: int = 6,
+    tolerance: float = 0.0,
+    max_rounds: int = 500,
     seed: int = 42,
 ) -> DataFrame:
     """Communities of a weighted graph by modularity moves and super-node merging: ``node, cluster``.
 
-    Every level moves labels in a few DataFrame rounds, then merges communities to nodes of a smaller graph.
+    Every level moves labels until no move raises modularity (more than ``tolerance`` of the nodes), then merges
+    communities to nodes of a smaller graph, until none merge. A level unfinished after ``max_rounds`` is an error.
     Isolated nodes keep a community of their own. Labels number the communities by size, largest first.
     """
     current = materialize(edges.select("src", "dst", "weight"), "graph")
     mapping = nodes.select("node", F.col("node").alias("community"))
-    for level in range(levels):
-        moved = _move_nodes(current, resolution=resolution, rounds=rounds, seed=seed + 1000 * level)
+    level = 0
+    while True:
+        moved = _move_nodes(
+            current, resolution=resolution, tolerance=tolerance, max_rounds=max_rounds, seed=seed + 1000 * level
+        )
+        level += 1
         step = materialize(moved, "moves").select(
             F.col("node").alias("community"), F.col("community").alias("to"), F.col("k").alias("w")
         )

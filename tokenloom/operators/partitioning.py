@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,13 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.vectors import as_vector, l2_normalize, stack_rows
+from tokenloom.functions.vectors import as_vector, l2_normalize, stack_rows, vector_sum
 from tokenloom.operators.assign import nearest_centroid
 from tokenloom.operators.evaluate import cluster_moments
 from tokenloom.session import materialize
 
-MAX_BATCHES = 64
-MAX_MICRO_CLUSTERS = 2_000
+MAX_ITER = 100
+MICRO_CLUSTERS = 2_000
 CENTROIDS = "cluster bigint, n double, centroid array<double>"
 
 
@@ -44,6 +45,18 @@ def _check_size(vectors: DataFrame, k: int) -> int:
     return rows
 
 
+def _mean_centroid(vectors: DataFrame, embedding: str, weight: str | None = None) -> DataFrame:
+    """The centroid table of one cluster."""
+    share = F.col(weight) if weight else F.lit(1.0)
+    scaled = vectors.select(F.transform(embedding, lambda x: x * share).alias("scaled"), share.alias("share"))
+    total = scaled.agg(vector_sum("scaled").alias("total"), F.sum("share").alias("n")).where("n > 0")
+    return total.select(
+        F.lit(0).cast("bigint").alias("cluster"),
+        F.col("n").cast("double").alias("n"),
+        F.transform("total", lambda x: x / F.col("n")).alias("centroid"),
+    )
+
+
 def fit_kmeans(
     vectors: DataFrame,
     k: int,
@@ -51,14 +64,17 @@ def fit_kmeans(
     embedding: str = "embedding",
     seed: int = 42,
     n_init: int = 1,
-    max_iter: int = 20,
+    max_iter: int = MAX_ITER,
+    tolerance: float = 1e-4,
     weight: str | None = None,
 ) -> DataFrame:
-    """Centroid table of the best of ``n_init`` k-means fits."""
+    """Centroid table of the best of ``n_init`` k-means fits; one centroid is the (weighted) mean of all rows."""
+    if k == 1:
+        return _mean_centroid(vectors, embedding, weight)
     featured = _featured(vectors, embedding)
     best = None
     for attempt in range(max(1, n_init)):
-        estimator = KMeans(k=k, seed=seed + attempt, maxIter=max_iter)
+        estimator = KMeans(k=k, seed=seed + attempt, maxIter=max_iter, tol=tolerance)
         if weight:
             estimator = estimator.setWeightCol(weight)
         model = estimator.fit(featured)
@@ -68,9 +84,11 @@ def fit_kmeans(
 
 
 def fit_bisecting(
-    vectors: DataFrame, k: int, *, embedding: str = "embedding", seed: int = 42, max_iter: int = 20
+    vectors: DataFrame, k: int, *, embedding: str = "embedding", seed: int = 42, max_iter: int = MAX_ITER
 ) -> DataFrame:
     """Centroid table of bisecting k-means; larger clusters are split first."""
+    if k == 1:
+        return _mean_centroid(vectors, embedding)
     model = BisectingKMeans(k=k, seed=seed, maxIter=max_iter).fit(_featured(vectors, embedding))
     return _centers(vectors.sparkSession, model.clusterCenters())
 
@@ -94,17 +112,19 @@ def fit_minibatch_kmeans(
     *,
     key: list[str],
     batch_size: int = 4096,
-    max_batches: int = MAX_BATCHES,
+    n_init: int = 1,
     embedding: str = "embedding",
     seed: int = 42,
 ) -> DataFrame:
-    """Mini-batch k-means: every row takes part in exactly one batch.
+    """Mini-batch k-means: every row takes part in exactly one batch of about ``batch_size`` rows.
 
-    The batch grows with the data so that there are at most ``max_batches`` of them. Rows are stored once,
-    partitioned by batch, so a step reads its own files only. The first batch seeds the centroids.
+    Rows are stored once, partitioned by batch, so a step reads its own files only. The first batch seeds the
+    centroids; of ``n_init`` seeds the model of the least cost over all rows is kept.
     """
     rows = _check_size(vectors, k)
-    batches = max(1, min(max_batches, -(-rows // max(batch_size, k))))
+    if k == 1:
+        return _mean_centroid(vectors, embedding)
+    batches = max(1, -(-rows // max(batch_size, k)))
     number = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(batches)).cast("int")
     if batches == 1:
         stored = vectors.select(embedding, F.lit(0).alias("batch"))
@@ -115,15 +135,38 @@ def fit_minibatch_kmeans(
     first = stored.filter(F.col("batch") == 0)
     if batches > 1 and first.count() < k:
         first = stored
+    best, least = None, None
+    for attempt in range(max(1, n_init)):
+        found = _minibatch_run(stored, first, k, batches, embedding=embedding, seed=seed + attempt)
+        if n_init <= 1:
+            return found
+        cost = _cost(stored.select(embedding), found, embedding)
+        if least is None or cost < least:
+            best, least = found, cost
+    return best
+
+
+def _minibatch_run(
+    stored: DataFrame, first: DataFrame, k: int, batches: int, *, embedding: str, seed: int
+) -> DataFrame:
     centroids = fit_kmeans(first, k, embedding=embedding, seed=seed, max_iter=1)
-    spark = vectors.sparkSession
     for batch in range(batches):
         moved = minibatch_step(centroids, stored.filter(F.col("batch") == batch), embedding=embedding)
         # The model (k x d) is what a fitted estimator keeps on the driver; bringing it back cuts the lineage.
-        centroids = spark.createDataFrame(moved.toPandas(), CENTROIDS)
+        centroids = stored.sparkSession.createDataFrame(moved.toPandas(), CENTROIDS)
     return centroids
 
 
+def _cost(rows: DataFrame, centroids: DataFrame, embedding: str) -> float:
+    """Sum of squared distances of all rows to their nearest centroid."""
+    assigned = nearest_centroid(rows, centroids, embedding=embedding)
+    near = assigned.join(F.broadcast(centroids.select("cluster", "centroid")), "cluster")
+    gaps = F.aggregate(
+        F.zip_with(embedding, "centroid", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda total, one: total + one
+    )
+    return near.agg(F.sum(gaps)).first()[0]
+
+
 def cluster_features(
     vectors: DataFrame,
     *,
@@ -134,8 +177,8 @@ def cluster_features(
     """Cluster features ``n, centroid, radius`` formed inside each task.
 
     A row joins its nearest feature when the merged radius stays within the threshold, else it opens one. A
-    task keeps at most ``branching_factor ** 2`` features: beyond that it doubles its threshold and merges its
-    own features, so memory is bounded and every row stays counted.
+    task that holds ``branching_factor ** 2`` features hands them on and begins anew with the same threshold, so
+    memory is bounded, every row stays counted and the threshold holds everywhere.
     """
     limit = max(4, branching_factor**2)
 
@@ -155,22 +198,23 @@ def cluster_features(
             state["s"] = np.vstack([state["s"], total]) if size else total[None, :].copy()
             state["q"] = np.append(state["q"], squares)
 
+    def table(state: dict[str, np.ndarray]) -> pd.DataFrame:
+        means = state["s"] / state["n"][:, None]
+        spread = np.maximum(state["q"] / state["n"] - (means**2).sum(1), 0.0)
+        return pd.DataFrame({"n": state["n"], "centroid": list(means), "radius": np.sqrt(spread)})
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = {"n": np.zeros(0), "s": np.zeros((0, 0)), "q": np.zeros(0)}
-        bound = threshold
         for batch in batches:
             matrix = stack_rows(batch[embedding])
             for start in range(0, len(matrix), 1024):
                 part = matrix[start : start + 1024]
-                absorb(state, np.ones(len(part)), part, (part**2).sum(1), bound)
-                while len(state["n"]) > limit:
-                    bound *= 2
-                    old, state = state, {"n": np.zeros(0), "s": np.zeros((0, 0)), "q": np.zeros(0)}
-                    absorb(state, old["n"], old["s"], old["q"], bound)
+                absorb(state, np.ones(len(part)), part, (part**2).sum(1), threshold)
+                if len(state["n"]) > limit:
+                    yield table(state)
+                    state = {"n": np.zeros(0), "s": np.zeros((0, 0)), "q": np.zeros(0)}
         if len(state["n"]):
-            means = state["s"] / state["n"][:, None]
-            spread = np.maximum(state["q"] / state["n"] - (means**2).sum(1), 0.0)
-            yield pd.DataFrame({"n": state["n"], "centroid": list(means), "radius": np.sqrt(spread)})
+            yield table(state)
 
     return vectors.select(embedding).mapInPandas(build, "n double, centroid array<double>, radius double")
 
@@ -190,13 +234,15 @@ def fit_cluster_features(
         "features",
     )
     found = features.count()
+    if found < k:
+        warnings.warn(f"{found} cluster features are fewer than the {k} clusters asked for; lower the threshold", stacklevel=2)
     return fit_kmeans(
         features.withColumn("weight", F.col("n")), min(k, found), embedding="centroid", seed=seed, weight="weight"
     )
 
 
 def _merge_bottom_up(means: np.ndarray, sizes: np.ndarray, k: int, linkage: str, metric: str) -> np.ndarray:
-    """Labels of at most ``MAX_MICRO_CLUSTERS`` weighted points after merging the closest pair down to ``k``."""
+    """Labels of weighted points after merging the closest pair down to ``k``."""
     points = means
     if metric == "cosine":
         norms = np.linalg.norm(means, axis=1, keepdims=True)
@@ -241,18 +287,19 @@ def fit_agglomerative(
     *,
     linkage: str = "ward",
     metric: str = "euclidean",
-    micro_clusters: int = MAX_MICRO_CLUSTERS,
+    micro_clusters: int = MICRO_CLUSTERS,
+    max_iter: int = MAX_ITER,
     embedding: str = "embedding",
     seed: int = 42,
 ) -> DataFrame:
     """Micro-cluster table ``micro, cluster, centroid``: k-means micro-clusters merged bottom-up to ``k``.
 
-    The merge sees micro-clusters only, at most ``MAX_MICRO_CLUSTERS`` of them whatever the row count; rows
-    take the label of their nearest micro-cluster.
+    The merge sees ``micro_clusters`` of them (a parameter, not a function of the row count) and holds their
+    distances in the driver; rows take the label of their nearest micro-cluster.
     """
     rows = _check_size(vectors, k)
-    wanted = min(max(k, min(micro_clusters, MAX_MICRO_CLUSTERS)), rows)
-    centers = fit_kmeans(vectors, wanted, embedding=embedding, seed=seed, max_iter=5)
+    wanted = min(max(k, micro_clusters), rows)
+    centers = fit_kmeans(vectors, wanted, embedding=embedding, seed=seed, max_iter=max_iter)
     sized = cluster_moments(nearest_centroid(vectors, centers, embedding=embedding), embedding=embedding)
     frame = sized.select("cluster", "n", F.transform("vector_sum", lambda x: x / F.col("n")).alias("mean")).toPandas()
     means = stack_rows(frame["mean"])

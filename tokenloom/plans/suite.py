@@ -124,7 +124,9 @@ def _fit_centroids(vectors: DataFrame, config: RunConfig, key: list[str], embedd
     if config.algorithm == "kmeans":
         return fit_kmeans(vectors, config.n_clusters, n_init=config.n_init, **common)
     if config.algorithm == "minibatch_kmeans":
-        return fit_minibatch_kmeans(vectors, config.n_clusters, key=key, batch_size=config.batch_size, **common)
+        return fit_minibatch_kmeans(
+            vectors, config.n_clusters, key=key, batch_size=config.batch_size, n_init=config.n_init, **common
+        )
     if config.algorithm == "bisecting_kmeans":
         return fit_bisecting(vectors, config.n_clusters, **common)
     return fit_cluster_features(
