@@ -255,9 +255,9 @@ def test_components_on_a_long_path(spark):
 
 def test_cluster_features_keep_every_row(spark):
     data = blobs(spark)
-    found = partitioning.cluster_features(data.coalesce(1), threshold=0.01, branching_factor=2)
-    total = found.agg(F.sum("n"), F.count("*")).first()
-    assert total[0] == 160 and total[1] <= 4
+    found = partitioning.cluster_features(data.coalesce(1), threshold=0.5, branching_factor=2)
+    total = found.agg(F.sum("n"), F.count("*"), F.max("radius")).first()
+    assert total[0] == 160 and total[1] < 160 and total[2] <= 0.5
 
 
 def test_grid_and_guard(spark, rows):
@@ -278,3 +278,49 @@ def test_suite_tables(spark, rows, hierarchy, tmp_path):
     assert scores["semclass_exact_purity"] == 1.0 and scores["semclass_depth_2_n_labeled"] == 4.0
     assert scores["semclass_depth_1_purity"] == 1.0
     suite.write_suite(found, str(tmp_path / "artifact"))
+
+
+def test_one_cluster_is_the_mean(spark):
+    data = blobs(spark)
+    rows = data.collect()
+    mean = np.mean([row["embedding"] for row in rows], axis=0)
+    fits = [
+        partitioning.fit_kmeans(data, 1),
+        partitioning.fit_bisecting(data, 1),
+        partitioning.fit_minibatch_kmeans(data, 1, key=data.columns[:1], batch_size=16),
+        partitioning.fit_cluster_features(data, 1, threshold=0.5),
+    ]
+    for fitted in fits:
+        (row,) = fitted.collect()
+        assert row["cluster"] == 0 and np.allclose(row["centroid"], mean)
+
+
+def test_minibatch_keeps_the_best_of_several_seeds(spark):
+    data = blobs(spark)
+    key = data.columns[:1]
+    single = partitioning.fit_minibatch_kmeans(data, 4, key=key, batch_size=40)
+    best = partitioning.fit_minibatch_kmeans(data, 4, key=key, batch_size=40, n_init=3)
+    costs = [partitioning._cost(data, found, "embedding") for found in (best, single)]
+    assert costs[0] <= costs[1]
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(2100).selectExpr("(id * 7919) % 2100 AS src").selectExpr("src", "src + 1 AS dst")
+    nodes = spark.range(2102).withColumnRenamed("id", "node")
+    found = neighbours.connected_components(nodes, edges)
+    assert {(row[0], row[1]) for row in found.groupBy("component").count().collect()} == {(0, 2101), (2101, 1)}
+    with pytest.raises(RuntimeError, match="still change"):
+        neighbours.connected_components(nodes, edges, max_rounds=1)
+
+
+def test_density_needs_a_level(spark):
+    with pytest.raises(ValueError, match="distance level"):
+        neighbours.density_clusters(blobs(spark), key="id", epsilon=0.0)
+
+
+def test_index_does_not_depend_on_the_origin(spark):
+    data = blobs(spark)
+    rows = data.withColumn("cluster", F.pmod(F.xxhash64(*data.columns[:1]), F.lit(3)))
+    moved = rows.withColumn("embedding", F.transform("embedding", lambda x: x + 1e6))
+    near = evaluate.calinski_harabasz(rows).first()[0]
+    assert evaluate.calinski_harabasz(moved).first()[0] == pytest.approx(near, rel=1e-3)

@@ -92,6 +92,42 @@ def test_piece_safe_split(spark):
     assert [r["tokens"] for r in split] == [["кошка"], ["банк"]]
 
 
+def test_split_against_filling_by_hand(spark):
+    chance = random.Random(3)
+    rows = [
+        (at, 0, [f"t{at}_{i}" for i in range(n)], sorted(chance.sample(range(n), min(n, 3))))
+        for at, n in enumerate([1, 2, 5, 9, 30, 30, 30])
+    ]
+    sizes = {token: chance.choice((1, 1, 2, 3)) for _, _, tokens, _ in rows for token in tokens}
+    for _, _, tokens, targets in rows:
+        for i, token in enumerate(tokens):
+            if i not in targets and chance.random() < 0.15:
+                sizes[token] = chance.choice((0, 9))
+    frame = spark.createDataFrame(
+        rows, "document_index bigint, chunk_index bigint, tokens array<string>, target_indices array<int>"
+    )
+    found = split_by_pieces(frame, lambda words: [sizes[word] for word in words], max_length=7, special_tokens=2)
+    got = sorted((r.document_index, r.part_index, r.tokens, r.target_indices) for r in found.collect())
+    wanted = []
+    for at, _, tokens, targets in rows:
+        whole = sum(sizes[token] for token in tokens) <= 5
+        parts, room = [[]], 5
+        for i, token in enumerate(tokens):
+            if not whole and sizes[token] > 5:
+                parts, room = [*parts, []], 5
+            elif not whole and sizes[token] > room:
+                parts, room = [*parts, [i]], 5 - sizes[token]
+            else:
+                parts[-1].append(i)
+                room -= sizes[token]
+        kept = [part for part in parts if set(part) & set(targets)]
+        wanted += [
+            (at, number, [tokens[i] for i in part], [part.index(i) for i in targets if i in part])
+            for number, part in enumerate(kept)
+        ]
+    assert got == sorted(wanted)
+
+
 def test_first_documents_count_blank_ones(spark):
     documents = texts(spark, "a", "", "b", "c")
     assert {r["id"] for r in first_documents(documents, ["id"], 3).collect()} == {0, 1, 2}
