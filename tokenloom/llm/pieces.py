@@ -38,7 +38,8 @@ from tokenloom.llm.common import or_empty
 
 SAMPLES = 2
 SPACE = "▁"
-_BATCH_CHARS = 1_200_000
+_BATCH_CHARS = 2_000_000
+_KEPT_UNITS = 250_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,12 +58,12 @@ def _mixed(value: np.ndarray) -> np.ndarray:
         return value ^ (value >> np.uint64(31))
 
 
-def _uniform(key: np.ndarray, *places) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the key and the places only."""
+def _uniform(key: np.ndarray, turn: int, place=0, step=0) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the key, the turn, the unit's place in the text and the step in the unit only."""
     with np.errstate(over="ignore"):
-        for place in places:
-            key = _mixed(key * _PRIME + np.asarray(place, np.uint64) + np.uint64(1))
-    return ((key >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        number = (np.asarray(place, np.uint64) << np.uint64(24)) + np.asarray(step, np.uint64)
+        mixed = _mixed(key + (number + np.uint64(turn) * np.uint64(0xD1342543DE82EF95)) * _PRIME)
+    return ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
 class Vocabulary:
@@ -80,18 +81,18 @@ class Vocabulary:
         self.byte_log_prob = float(self.log_prob.min())
         self.surface = [model.id_to_piece(at) for at in range(count)]
         self.is_bytes = [model.is_byte(at) for at in range(count)]
+        self.known: dict[str, tuple[list[int], bool]] = {}
         joined = set()
         for at in range(count):
             piece = self.surface[at]
             if model.is_byte(at):
                 self.bytes[int(piece[3:5], 16)] = at
             elif not (model.is_control(at) or model.is_unknown(at) or model.is_unused(at)):
-                codes = np.array([ord(char) for char in piece], np.uint64)
-                value = np.uint64(0)
-                for code in codes:
-                    value = self._extend(value, code)
-                    prefixes.setdefault(int(value), -1)
-                whole[int(value)] = at
+                value = 0
+                for char in piece:
+                    value = (value + ord(char) + 1) * int(_PRIME) & 0xFFFFFFFFFFFFFFFF
+                    prefixes.setdefault(value, -1)
+                whole[value] = at
                 if len(piece) > 1:
                     joined.update(piece)
                 if SPACE in piece.lstrip(SPACE):
@@ -111,11 +112,23 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """The model's own pieces of each unit, read off behind a line feed, over which no piece reaches."""
+    def encode_units(self, units: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """The model's own pieces of each unit, and whether they decode to it.
+
+        Units are read off behind a line feed, over which no piece reaches. What was found is kept for later batches,
+        up to ``_KEPT_UNITS`` units.
+        """
+        known = self.known
+        fresh = [unit for unit in units if unit not in known]
+        if len(known) + len(fresh) > _KEPT_UNITS:
+            known.clear()
+            fresh = units
         lead = len(self.processor.encode("\n"))
-        made = self.processor.encode(["\n" + unit.replace(SPACE, " ") for unit in units], num_threads=1)
-        return [ids[lead:] for ids in made]
+        made = self.processor.encode(["\n" + unit.replace(SPACE, " ") for unit in fresh], num_threads=1) if fresh else []
+        made = [ids[lead:] for ids in made]
+        known.update(zip(fresh, zip(made, self.decodes(fresh, made), strict=True), strict=True))
+        found = [known[unit] for unit in units]
+        return [ids for ids, _ in found], [same for _, same in found]
 
     def decodes(self, units: list[str], encoded: list[list[int]]) -> list[bool]:
         """Whether each unit is what its pieces spell; units with byte pieces are left to the model's decoder."""
@@ -162,7 +175,7 @@ class Lattice:
         start, end, ids = start.astype(np.int32), (start + reaches).astype(np.int32), ids.astype(np.int32)
         order = np.argsort(start, kind="stable").astype(np.int32)
         start, self.end, self.ids, log_prob = start[order], end[order], ids[order], log_prob[order]
-        self.first = np.searchsorted(start, np.arange(size + 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=size))])
         self.mass = np.zeros(size)
         distance = left[start]
         by_left = np.argsort(distance.astype(np.uint16) if left.max(initial=0) < 65536 else distance, kind="stable")
@@ -175,6 +188,10 @@ class Lattice:
         total = np.cumsum(self.prob)
         self.upto = total - np.concatenate([[0.0], total])[self.first[start]]
         self.unit_ends = ends
+        rest = 1.0 - self.prob
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(np.where(rest > 1e-12, rest, 0.0))
+            self.log_share = np.log(self.prob)
 
     def choose(self, at: np.ndarray, chance: np.ndarray) -> np.ndarray:
         """One arc from each position by its probability."""
@@ -206,8 +223,9 @@ class Lattice:
 
 def _truncated(mass: np.ndarray, bound: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Gumbel variables of the given log masses below the given bounds."""
+    # -log(e^-bound + e^-mass * E) with E = -log(chance); an empty mass gives minus infinity
     with np.errstate(divide="ignore"):
-        return np.where(np.isfinite(mass), -np.logaddexp(-bound, np.log(-np.log(chance)) - mass), -np.inf)
+        return -np.logaddexp(-bound, np.log(-np.log(chance)) - mass)
 
 
 class _Paths:
@@ -219,7 +237,7 @@ class _Paths:
         self.unit = np.repeat(np.arange(len(counts)), counts)
         begin = np.cumsum(counts) - counts
         self.level = np.arange(len(arcs)) - np.repeat(begin, counts)
-        logs = np.log(lattice.prob[arcs])
+        logs = lattice.log_share[arcs]
         # summed text by text, so that a text's sums do not depend on its batch
         sums = [np.cumsum(logs[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         self.share = (np.concatenate(sums) if sums else logs) - logs  # before the step
@@ -243,10 +261,7 @@ def sample(lattice: Lattice, units: np.ndarray, first_unit: np.ndarray, keys: np
         for t, (arcs, unit, level, share), bound in zip(text, steps, value, strict=True):
             if not len(arcs):
                 continue
-            rest = 1.0 - lattice.prob[arcs]
-            with np.errstate(divide="ignore"):
-                mass = share + np.log(np.where(rest > 1e-12, rest, 0.0))
-            perturbed = _truncated(mass, bound, _uniform(np.full(len(arcs), keys[t]), 1000 + turn, unit, level))
+            perturbed = _truncated(share + lattice.log_rest[arcs], bound, _uniform(keys[t], 1000 + turn, unit, level))
             best = np.argpartition(-perturbed, min(k, len(arcs) - 1))[:k] if len(arcs) > k else np.arange(len(arcs))
             for at in best.tolist():
                 if np.isfinite(perturbed[at]):
@@ -309,7 +324,7 @@ def sample(lattice: Lattice, units: np.ndarray, first_unit: np.ndarray, keys: np
             level = np.concatenate(
                 [old[2][at] + np.arange(len(head)), np.arange(len(tail)) - np.repeat(np.cumsum(tail_counts) - tail_counts, tail_counts)]
             )
-            logs = np.log(lattice.prob[new_arcs])
+            logs = lattice.log_share[new_arcs]
             share = old[3][at] + np.cumsum(logs) - logs
             whole = tuple(np.concatenate([x[:at], y]) for x, y in zip(old, (new_arcs, unit, level, share), strict=True))
             stored_paths[t][turn] = whole
@@ -383,12 +398,12 @@ def _batch(vocabulary: Vocabulary, ids: pa.Array, texts: list[str], k: int, seed
     units = np.fromiter(map(local.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
     first = np.concatenate([[0], np.cumsum([len(part) for part in split])]).astype(np.int64)
     names = list(local)
-    encoded = vocabulary.encode_units(names) if names else []
+    encoded, faithful = vocabulary.encode_units(names)
     pieces = [list(chain.from_iterable(map(encoded.__getitem__, units[a:b].tolist()))) for a, b in zip(first[:-1], first[1:], strict=True)]
-    faithful = np.array(vocabulary.decodes(names, encoded), bool)
+    faithful = np.array(faithful, bool)
     unfaithful = np.concatenate([[0], np.cumsum(~faithful[units])]) if len(units) else np.zeros(len(units) + 1, np.int64)
     exact = unfaithful[first[1:]] == unfaithful[first[:-1]]
-    keys = np.array([xxhash.xxh64_intdigest(str(key).encode(), seed) for key in ids.to_pylist()], np.uint64)
+    keys = _mixed(np.array([xxhash.xxh64_intdigest(str(key).encode(), seed) for key in ids.to_pylist()], np.uint64))
     lattice = Lattice(vocabulary, names)
     arcs, numbers, counts = [], [], []
     for *samples, threshold in sample(lattice, units, first, keys, k):
