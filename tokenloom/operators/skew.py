@@ -25,11 +25,11 @@ def lookup_join(
 ) -> DataFrame:
     """Attach the columns of ``lookup`` (unique per key) to ``facts`` without a hot shuffle key.
 
-    The ``HOT_KEYS`` lookup rows of largest ``weight`` are broadcast: that side is bounded by the constant, not
-    by the data. What is left goes through an ordinary shuffle join in which no key weighs more than
-    ``1 / HOT_KEYS`` of the total; rows already served are spread over ``SPREAD`` dummy keys. ``on`` maps fact
-    columns to lookup columns; ``how`` is ``left`` or ``inner``. A caller that has counted the lookup passes
-    ``lookup_rows``: up to ``SMALL_ROWS`` (narrow) rows are broadcast whole.
+    The lookup rows that hold at least ``1 / HOT_KEYS`` of the total ``weight`` are broadcast; by arithmetic there
+    are at most ``HOT_KEYS`` of them. What is left goes through an ordinary shuffle join; rows already served are
+    spread over ``SPREAD`` dummy keys. The lookup is stored once, as it is read twice. ``on`` maps fact columns to
+    lookup columns; ``how`` is ``left`` or ``inner``. A caller that has counted the lookup passes ``lookup_rows``:
+    up to ``SMALL_ROWS`` (narrow) rows are broadcast whole.
     """
     keys = list(on.values())
     values = [name for name in lookup.columns if name not in keys]
@@ -42,7 +42,10 @@ def lookup_join(
             F.broadcast(small), on=[F.col(fact) == F.col(f"_small_{key}") for fact, key in on.items()], how=how
         )
         return joined.select(*facts.columns, *[F.col(f"_value_{name}").alias(name) for name in values])
-    hot = lookup.orderBy(F.col(weight).desc(), *keys).limit(HOT_KEYS).select(
+    lookup = materialize(lookup, "lookup")
+    # The weights of one lookup are all counts or all shares, never negative; the total is a single value.
+    total = lookup.agg(F.sum(F.col(weight).cast("double"))).first()[0] or 0.0
+    hot = lookup.where(F.col(weight).cast("double") * HOT_KEYS >= F.greatest(F.lit(total), F.lit(1e-300))).select(
         *[F.col(key).alias(f"_hot_{key}") for key in keys],
         F.struct(*values).alias("_hot"),
     )
