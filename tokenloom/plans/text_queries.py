@@ -307,7 +307,19 @@ def first_documents(spark: SparkSession, folder: str) -> DataFrame:
     return contexts.first_documents(documents, ["doc_id"], documents.count() // 3 + 1)
 
 
-@query("piece_safe_chunks")
+# A part number and the room used in it fold into one number: the words hold fewer than 10,000 pieces each.
+@query(
+    "piece_safe_chunks",
+    f"""{_CHUNKS}, words AS (SELECT document_index, step, n_targets, string_split(tokens, ' ') AS w FROM chunks WHERE n_targets > 0),
+      room AS (SELECT greatest(66, max(list_max(list_transform(w, lambda x: length(x))))) - 2 AS room FROM words)
+      SELECT document_index, CAST(step AS BIGINT) AS chunk_index,
+        CAST(len(list_distinct(list_filter(list_transform(list_zip(w, folded[2:]),
+          lambda z: CASE WHEN regexp_matches(z[1], '[\\p{{L}}\\p{{N}}]') THEN z[2] // 10000 END), lambda part: part IS NOT NULL))) AS BIGINT) AS n_parts,
+        CAST(n_targets AS BIGINT) AS n_targets
+      FROM (SELECT *, list_reduce(list_transform(w, lambda x: (length(x) + 3) // 4), lambda held, x: list_append(held,
+        CASE WHEN held[-1] % 10000 + x > room THEN (held[-1] // 10000 + 1) * 10000 + x ELSE held[-1] + x END), [0]) AS folded
+        FROM words, room) AS f""",
+)
 def piece_safe_chunks(spark: SparkSession, folder: str) -> DataFrame:
     found = contexts.chunk_raw_text(text_documents(spark, folder), document_index="doc_id")
     longest = found.agg(F.max(F.array_max(F.transform("tokens", F.length)))).first()[0]

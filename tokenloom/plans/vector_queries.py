@@ -454,11 +454,18 @@ def silhouette(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(rounded("silhouette").alias("silhouette"))
 
 
-@query("silhouette_squared")
+@query(
+    "silhouette_squared",
+    f"""WITH {_MOMENTS}, sizes AS (SELECT cluster, count(*) AS s FROM kept GROUP BY cluster),
+      sums AS (SELECT a.vec_id, a.cluster AS own, b.cluster AS other, sum(list_distance(a.e, b.e) ** 2) AS d FROM kept a, kept b GROUP BY ALL),
+      per AS (SELECT vec_id, own, max(CASE WHEN other = own THEN d / greatest(s - 1, 1) END) AS a,
+        min(CASE WHEN other <> own THEN d / s END) AS b, max(CASE WHEN other = own THEN s END) AS size FROM sums JOIN sizes ON sizes.cluster = other GROUP BY ALL)
+      SELECT {sql_round('avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)', 5)} AS silhouette_squared FROM per""",
+)
 def silhouette_squared(spark: SparkSession, folder: str) -> DataFrame:
     rows = vector_tokens(spark, folder)
     value = evaluate.silhouette_squared(rows)
-    return rows.limit(1).select(rounded(F.lit(value)).alias("silhouette_squared"))
+    return rows.limit(1).select(rounded(F.lit(value), 5).alias("silhouette_squared"))
 
 
 @query(
