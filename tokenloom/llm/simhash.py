@@ -200,6 +200,9 @@ def _mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(31))
 
 
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
 def wide_fingerprint(words: list[bytes], shingle: int, longs: int) -> list[int]:
     """Signed longs of a SimHash of 64 bits each over the distinct shingles; zeros without words."""
     if not words:
@@ -208,14 +211,15 @@ def wide_fingerprint(words: list[bytes], shingle: int, longs: int) -> list[int]:
     digest = xxhash.xxh64_intdigest
     rows = zip(*(words[at : at + count] for at in range(min(shingle, len(words)))), strict=True)
     hashes = np.array(list({digest(b" ".join(row), SEED) for row in rows}), np.uint64)
-    found = []
-    for at in range(longs):
-        ones = np.zeros(64, np.int64)
-        for begin in range(0, len(hashes), _CHUNK):
-            mixed = _mixed(hashes[begin : begin + _CHUNK] + np.uint64(at * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
-            ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        found.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]))
-    return found
+    steps = np.arange(longs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    places = np.arange(8 * longs) * 256
+    counts = np.zeros((8 * longs, 256))
+    for begin in range(0, len(hashes), _CHUNK):
+        mixed = _mixed(hashes[begin : begin + _CHUNK, None] + steps)
+        bytes_ = mixed.view(np.uint8).reshape(len(mixed), -1) + places
+        counts += np.bincount(bytes_.ravel(), minlength=counts.size).reshape(counts.shape)
+    ones = counts @ _BITS_OF_BYTE  # how often each bit is set, from how often each byte occurs
+    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").view(np.int64).tolist()
 
 
 def _wide_prints(documents: DataFrame) -> DataFrame:
