@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -61,13 +59,3 @@ def stack_rows(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
     return np.vstack([np.asarray(row, dtype=np.float64) for row in series])
-
-
-def batch_map(function: Callable[[np.ndarray], pd.DataFrame], returns: str) -> Callable[[Column], Column]:
-    """Column function over Arrow batches of vectors; only the vector crosses into Python."""
-
-    @F.pandas_udf(returns)
-    def mapped(vectors: pd.Series) -> pd.DataFrame:
-        return function(stack_rows(vectors))
-
-    return mapped

@@ -22,14 +22,14 @@ WORDS = ["w1", "w2", "w3"]
 
 def check_settings(ngram_sizes: tuple[int, ...], min_freq: int, sort_by: str, max_rows: int | None) -> None:
     if min_freq < 1:
-        raise ValueError("min_freq must be positive")
+        raise ValueError(f"a frequency floor starts at 1, not {min_freq}")
     if max_rows is not None and max_rows < 1:
-        raise ValueError("max_rows must be positive when provided")
+        raise ValueError(f"a report of {max_rows} rows is empty; leave max_rows out for all rows")
     if sort_by not in SORT_COLUMNS:
-        raise ValueError(f"sort_by must be one of: {', '.join(sorted(SORT_COLUMNS))}")
+        raise ValueError(f"no ranking by {sort_by!r}; known are {', '.join(sorted(SORT_COLUMNS))}")
     unsupported = sorted(set(ngram_sizes) - {2, 3})
     if unsupported:
-        raise ValueError(f"only 2-grams and 3-grams are supported, got: {unsupported}")
+        raise ValueError(f"grams of two or three words can be counted, not of {unsupported}")
 
 
 def _shifted(terms: str, step: int) -> Column:

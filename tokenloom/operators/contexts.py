@@ -19,7 +19,7 @@ MAX_CONTEXT_WORDS = 128
 def _chunk_starts(flags: Column, *, max_tokens: int, max_targets: int) -> Column:
     """Start offsets of the greedy chunks over an array of target flags, as one in-row fold."""
     if max_tokens < 1 or max_targets < 1:
-        raise ValueError("context limits must be positive")
+        raise ValueError("a context needs room for at least one token")
     empty = F.struct(
         F.lit(0).alias("position"),
         F.lit(0).alias("size"),

@@ -31,7 +31,7 @@ def threshold_table(
     all of them.
     """
     if max_occurrences < 1:
-        raise ValueError("max_occurrences must be positive")
+        raise ValueError(f"thresholds start at 1, not {max_occurrences}")
     met = counts.withColumn(
         "minimum_occurrences",
         F.explode(F.sequence(F.lit(1), F.least(F.col("token_count"), F.lit(max_occurrences)).cast("int"))),

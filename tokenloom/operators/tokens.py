@@ -119,7 +119,7 @@ def sentence_terms(
     column = {"lemma": "LEMMA", "form": "FORM"}
     unknown = sorted(set(bases) - set(column))
     if unknown:
-        raise ValueError(f"token_bases must contain only 'lemma' and/or 'form', got: {unknown}")
+        raise ValueError(f"grams are built on 'lemma' or 'form', not on {unknown}")
     passed = [name for name in sentences.columns if name not in ("tokens", "comments")]
     # Each step is a column of its own, so that no array is built twice.
     stages = sentences.withColumn("_targets", _surface(F.col("tokens"), include_punctuation=False))

@@ -65,7 +65,7 @@ def resolve_cluster_counts(n_clusters: int | str | list[int | str], tokens: Data
     """Cluster counts as integers; ``data_semclass`` stands for the number of labels in the data."""
     wanted = n_clusters if isinstance(n_clusters, (list, tuple)) else [n_clusters]
     if not wanted:
-        raise ValueError("n_clusters sequence must not be empty")
+        raise ValueError("a grid needs at least one cluster count")
     counts = []
     for value in wanted:
         if value == DATA_LABELS:
