@@ -189,6 +189,8 @@ def fingerprint_text(column: str = "simhash") -> Column:
 WIDE, MEET = 16, 4
 WIDE_RADIUS = 172
 MEET_BOUND = 56
+#: The same bound for the first of the four longs alone, which texts of likeness 0.8 pass almost surely.
+PART_BOUND = 22
 GRIDS, GRID_SEGMENTS = 96, 14
 _NAMES = [f"near{at}" for at in range(MEET)] + [f"wide{at}" for at in range(WIDE)]
 
@@ -281,27 +283,46 @@ def loose_copies(
         .select("*", F.explode(_grids(grids, segments)).alias("grid"))
         .select(
             "node",
+            F.col("near0").alias("part"),
             F.xxhash64("grid.number", *[F.col(f"near{at}").bitwiseAND(F.col(f"grid.m{at}")) for at in range(MEET)]).alias("cell"),
         )
     )
-    shared = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    least, most = F.min(F.struct("node", "part")).alias("least"), F.max("node").alias("most")
+    shared = cells.groupBy("cell").agg(least, most).where("least.node <> most")
     met = stored(cells.join(shared.select("cell", "least"), "cell"), "copies-cells")
 
-    def linked(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+    def closer(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes that pass the Manhattan bound and then the decision by bits."""
         close = (_distance("a", "b", "near", MEET, counts=True) <= MEET_BOUND) & (
             _distance("a", "b", "wide", WIDE) <= radius
         )
-        return a.alias("a").join(b.alias("b"), on & close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-    stars = met.where("node <> least").select("node", "least").distinct()
-    left = stars.join(nodes, "node")
-    first = stored(linked(left, nodes, F.col("a.least") == F.col("b.node")), "copies-stars")
-    marked = met.select("cell", "node").join(connected(first), "node", "left")
-    marked = marked.select("cell", "node", F.coalesce("component", "node").alias("component"))
+        left = pairs.join(nodes.select(F.col("node").alias("a"), F.struct(*_NAMES).alias("left")), "a")
+        both = left.join(nodes.select(F.col("node").alias("b"), F.struct(*_NAMES).alias("right")), "b")
+        named = both.select(F.struct(F.col("a").alias("node"), "left.*").alias("a"), F.struct(F.col("b").alias("node"), "right.*").alias("b"))
+        return named.where(close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    # the bound on a quarter of the counts sorts out chance meetings before any fingerprint is fetched
+    def maybe(left: str, right: str) -> Column:
+        return F.bit_count(F.col(left).bitwiseXOR(F.col(right))) <= PART_BOUND
+
+    stars = met.where((F.col("node") != F.col("least.node")) & maybe("part", "least.part"))
+    stars = stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+    first = stored(closer(stars), "copies-stars")
+    marked = met.select("cell", "node", "part").join(connected(first), "node", "left")
+    marked = stored(
+        marked.select("cell", "node", "part", F.coalesce("component", "node").alias("component")), "copies-marked"
+    )
     mixed = marked.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = stored(marked.join(mixed.select("cell"), "cell", "left_semi").join(nodes, "node"), "copies-rest")
-    apart = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    groups = connected(first.union(linked(rest, rest, apart).distinct()))
+    rest = marked.join(mixed.select("cell"), "cell", "left_semi")
+    apart = (
+        (F.col("a.cell") == F.col("b.cell"))
+        & (F.col("a.node") < F.col("b.node"))
+        & (F.col("a.component") != F.col("b.component"))
+        & maybe("a.part", "b.part")
+    )
+    pairs = rest.alias("a").join(rest.alias("b"), apart)
+    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    groups = connected(first.union(closer(pairs)))
     grouped = prints.select("row", "node").join(groups, "node", "left")
     return grouped.select("row", F.coalesce("component", "node").alias("copy_group"))
 
