@@ -18,6 +18,7 @@ neither emits nor compares all its pairs once it is connected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -182,17 +183,13 @@ def fingerprint_text(column: str = "simhash") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-# --- looser copies: wide fingerprints on a sampled grid
+# --- looser copies: an exact join of shingle sets
 
-#: Longs of the fingerprint that decides and of the one that meets; differing bits of 1024 that stand for a likeness of
-#: 0.8; Manhattan bound on the 256 bits of the other.
-WIDE, MEET = 16, 4
-WIDE_RADIUS = 172
-MEET_BOUND = 56
-#: The same bound for the first of the four longs alone, which texts of likeness 0.8 pass almost surely.
-PART_BOUND = 22
-GRIDS, GRID_SEGMENTS = 96, 14
-_NAMES = [f"near{at}" for at in range(MEET)] + [f"wide{at}" for at in range(WIDE)]
+#: Least likeness of near copies (numerator, denominator) and the words of a shingle.
+LIKENESS = (4, 5)
+COPY_SHINGLE = 5
+_BATCH_SHINGLES = 1_000_000
+_SETS = "shard int, nodes binary, sizes binary, counts binary, hashes binary, seen binary"
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -202,123 +199,179 @@ def _mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(31))
 
 
-_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
 
 
-def wide_fingerprint(words: list[bytes], shingle: int, longs: int) -> list[int]:
-    """Signed longs of a SimHash of 64 bits each over the distinct shingles; zeros without words."""
+def shingle_hashes(words: list[bytes], shingle: int, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles; fewer words than ``shingle`` are one shingle."""
     if not words:
-        return [0] * longs
+        return np.zeros(0, np.uint64)
+    known = _WordHashes() if known is None else known
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     count = max(len(words) - shingle, 0) + 1
-    digest = xxhash.xxh64_intdigest
-    rows = zip(*(words[at : at + count] for at in range(min(shingle, len(words)))), strict=True)
-    hashes = np.array(list({digest(b" ".join(row), SEED) for row in rows}), np.uint64)
-    steps = np.arange(longs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    places = np.arange(8 * longs) * 256
-    counts = np.zeros((8 * longs, 256))
-    for begin in range(0, len(hashes), _CHUNK):
-        mixed = _mixed(hashes[begin : begin + _CHUNK, None] + steps)
-        bytes_ = mixed.view(np.uint8).reshape(len(mixed), -1) + places
-        counts += np.bincount(bytes_.ravel(), minlength=counts.size).reshape(counts.shape)
-    ones = counts @ _BITS_OF_BYTE  # how often each bit is set, from how often each byte occurs
-    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").view(np.int64).tolist()
-
-
-def _wide_prints(documents: DataFrame) -> DataFrame:
-    """Each row as ``row``, with ``node``, a hash of its lower-cased words, and both wide fingerprints of its text."""
-    names = ["node", *_NAMES]
-
-    @F.pandas_udf(f"struct<{', '.join(f'{name}: bigint' for name in names)}>")
-    def hashed(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            words = text.encode("utf-8", "replace").lower().split()
-            node = np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64)
-            rows.append([int(node), *wide_fingerprint(words, 2, MEET), *wide_fingerprint(words, 5, WIDE)])
-        return pd.DataFrame(rows, columns=names, dtype="int64")
+    found = np.zeros(count, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(min(shingle, len(words))):
+            found = _mixed(found + hashes[at : at + count] + np.uint64(at + 1))
+    return np.unique(found)
 
-    packed = documents.select(F.struct(*[documents[name] for name in documents.columns]).alias("row"))
-    return packed.withColumn("prints", hashed(or_empty("row.text"))).select("row", "prints.*")
 
+def _copy_words(text: str) -> tuple[list[bytes], int]:
+    words = text.encode("utf-8", "replace").lower().split()
+    return words, int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64))
 
-def _distance(left: str, right: str, kind: str, longs: int, counts: bool = False) -> Column:
-    def at(side: str, place: int) -> Column:
-        value = F.col(f"{side}.{kind}{place}")
-        return segment_counts(value) if counts else value
 
-    return sum(F.bit_count(at(left, place).bitwiseXOR(at(right, place))) for place in range(longs))
+def _dealt(shards: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+    """A row per shard of elements that are ordered by shard and node: its nodes, their sizes and hash counts, its hashes."""
+    cuts, rows = np.flatnonzero(np.diff(shards, prepend=-1, append=-1)), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        first = np.concatenate([[0], np.flatnonzero(np.diff(nodes[a:b])) + 1])
+        counts = np.diff(first, append=b - a)
+        arrays = (nodes[a:b][first].astype("i8"), sizes[a:b][first].astype("u4"), counts.astype("u4"), hashes[a:b], seen[a:b].astype("u4"))
+        rows.append((int(shards[a]), *(array.tobytes() for array in arrays)))
+    return pd.DataFrame(rows, columns=["shard", "nodes", "sizes", "counts", "hashes", "seen"])
 
 
-def _grids(grids: int, segments: int, seed: int = 11) -> Column:
-    """Masks of the sampled segments of each grid, one long per part of the fingerprint."""
-    generator = np.random.default_rng(seed)
-    rows = []
-    for number in range(grids):
-        masks = [0] * MEET
-        for segment in generator.choice(32 * MEET, segments, replace=False).tolist():
-            masks[segment // 32] |= 3 << (2 * (segment % 32))
-        parts = [F.lit(_signed(mask)).alias(f"m{at}") for at, mask in enumerate(masks)]
-        rows.append(F.struct(F.lit(number).alias("number"), *parts))
-    return F.array(rows)
+def _elements(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Node, its size, hash and sightings (empty if not yet counted) of every element of a shard's rows."""
+
+    def joined(name: str, kind: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(blob, kind) for blob in frame[name]])
 
+    counts = joined("counts", "u4")
+    return np.repeat(joined("nodes", "i8"), counts), np.repeat(joined("sizes", "u4"), counts), joined("hashes", "u8"), joined("seen", "u4")
 
-def loose_copies(
-    documents: DataFrame, *, radius: int = WIDE_RADIUS, grids: int = GRIDS, segments: int = GRID_SEGMENTS
-) -> DataFrame:
-    """Each row as ``row`` with ``copy_group``, equal for near copies: about 0.8 or more of their five-word shingles.
 
-    Radius 4 of 64 bits means a likeness near 0.95, and no grid that must find every link reaches 0.8. So texts are
-    linked by the bits of a wide fingerprint of their five-word shingles, at a radius that stands for 0.8, and met on
-    grids of sampled segments of a second one, of two-word shingles, which near copies change less. Texts of likeness
-    0.8 meet on one of the grids with probability of about 0.95, closer ones almost surely. Equal texts are one node.
+def _copy_sets(texts: DataFrame, likeness: tuple[int, int], shingle: int) -> DataFrame:
+    """(node, size, shared, central, shingles, prefix) of each text that may have a near copy.
 
-    Within a cell each node is first compared with the cell's least; pairs are formed only between nodes that no
-    chain of such links joins. Null and empty texts are one group; repeated rows stay and are of one group.
+    ``size`` counts its distinct shingles and ``shingles`` lists the ``shared`` ones that other nodes hold too, rarest
+    first. Copies share at least ``likeness`` of either's shingles, so a text that shares fewer has none; and in one
+    order for all, two copies meet in their first ``size - ceil(likeness * size) + 1`` shingles, of which ``prefix``
+    are shared ones.
     """
-    prints = stored(_wide_prints(documents), "copies-prints")
-    nodes = stored(prints.groupBy("node").agg(*[F.first(name).alias(name) for name in _NAMES]), "copies-nodes")
-    near = [segment_counts(F.col(f"near{at}")).alias(f"near{at}") for at in range(MEET)]
-    cells = (
-        nodes.select("node", *near)
-        .select("*", F.explode(_grids(grids, segments)).alias("grid"))
-        .select(
-            "node",
-            F.col("near0").alias("part"),
-            F.xxhash64("grid.number", *[F.col(f"near{at}").bitwiseAND(F.col(f"grid.m{at}")) for at in range(MEET)]).alias("cell"),
-        )
+    above, below = likeness
+    bits = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length()
+    shift = np.uint64(64 - bits)
+
+    def shards(values: np.ndarray) -> np.ndarray:
+        return (values.astype(np.uint64) >> shift).astype(np.int64)
+
+    def packed(sets: dict[int, np.ndarray]) -> pd.DataFrame:
+        lengths = np.fromiter(map(len, sets.values()), np.int64, len(sets))
+        nodes, hashes = np.fromiter(sets, np.int64, len(sets)), np.concatenate(list(sets.values()))
+        order = np.argsort(shards(hashes), kind="stable")
+        hashes = hashes[order]
+        return _dealt(shards(hashes), np.repeat(nodes, lengths)[order], np.repeat(lengths, lengths)[order], hashes, np.zeros(0))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, sets, total = _WordHashes(), {}, 0
+        for frame in frames:
+            for text in frame["text"]:
+                words, node = _copy_words(text)
+                if not words or node in sets:
+                    continue
+                sets[node] = shingle_hashes(words, shingle, known)
+                total += len(sets[node])
+                if total >= _BATCH_SHINGLES:
+                    yield packed(sets)
+                    known, sets, total = _WordHashes(), {}, 0
+        if sets:
+            yield packed(sets)
+
+    def share(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, sizes, hashes, _ = _elements(frame)
+        order = np.lexsort((nodes, hashes))
+        nodes, sizes, hashes = nodes[order], sizes[order], hashes[order]
+        other = np.ones(len(nodes), bool)  # equal texts of several batches count once
+        other[1:] = (nodes[1:] != nodes[:-1]) | (hashes[1:] != hashes[:-1])
+        nodes, sizes, hashes = nodes[other], sizes[other], hashes[other]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        runs = np.diff(starts, append=len(hashes))
+        seen = np.repeat(runs, runs)
+        kept = seen > 1
+        nodes, sizes, hashes, seen = nodes[kept], sizes[kept], hashes[kept], seen[kept]
+        order = np.lexsort((nodes, shards(nodes)))
+        return _dealt(shards(nodes[order]), nodes[order], sizes[order], hashes[order], seen[order])
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, sizes, hashes, seen = _elements(frame)
+        order = np.lexsort((hashes, seen, nodes))
+        nodes, sizes, hashes, seen = nodes[order], sizes[order].astype(np.int64), hashes[order].view(np.int64), seen[order]
+        starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+        rows = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(nodes)], strict=True):
+            size, shared = int(sizes[a]), b - a
+            least = -(-above * size // below)
+            if shared >= least:
+                rows.append((nodes[a], size, shared, float(seen[a:b].sum() / size), hashes[a:b], shared - least + 1))
+        return pd.DataFrame(rows, columns=["node", "size", "shared", "central", "shingles", "prefix"])
+
+    shared = texts.mapInPandas(count, _SETS).groupBy("shard").applyInPandas(share, _SETS)
+    return shared.groupBy("shard").applyInPandas(
+        choose, "node bigint, size int, shared int, central double, shingles array<bigint>, prefix int"
     )
-    least, most = F.min(F.struct("node", "part")).alias("least"), F.max("node").alias("most")
-    shared = cells.groupBy("cell").agg(least, most).where("least.node <> most")
-    met = stored(cells.join(shared.select("cell", "least"), "cell"), "copies-cells")
 
-    def closer(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of nodes that pass the Manhattan bound and then the decision by bits."""
-        close = (_distance("a", "b", "near", MEET, counts=True) <= MEET_BOUND) & (
-            _distance("a", "b", "wide", WIDE) <= radius
-        )
-        left = pairs.join(nodes.select(F.col("node").alias("a"), F.struct(*_NAMES).alias("left")), "a")
-        both = left.join(nodes.select(F.col("node").alias("b"), F.struct(*_NAMES).alias("right")), "b")
-        named = both.select(F.struct(F.col("a").alias("node"), "left.*").alias("a"), F.struct(F.col("b").alias("node"), "right.*").alias("b"))
-        return named.where(close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-    # the bound on a quarter of the counts sorts out chance meetings before any fingerprint is fetched
+
+def loose_copies(documents: DataFrame, *, likeness: tuple[int, int] = LIKENESS, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """Each row as ``row`` with ``copy_group``, equal for texts that links of at least ``likeness`` join.
+
+    A link is a Jaccard likeness of the distinct ``shingle``-word shingles of at least ``likeness`` (numerator,
+    denominator), computed from all of them. Candidates are the pairs that share a shingle of their prefixes and pass
+    the bounds by size and place; neither loses a link. Equal texts are one node.
+
+    Within a cell (a shingle) each node is first compared with the most central one; pairs are formed only between
+    nodes that no chain of such links joins. Null and empty texts are one group; repeated rows stay and are of one group.
+    """
+    above, below = likeness
+
+    @F.pandas_udf("bigint")
+    def node_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_copy_words(text)[1] for text in texts], dtype="int64")
+
+    packed = documents.select(F.struct(*[documents[name] for name in documents.columns]).alias("row"))
+    prints = stored(packed.withColumn("node", node_of(or_empty("row.text"))), "copies-prints")
+    sets = stored(_copy_sets(prints.select(or_empty("row.text").alias("text")), likeness, shingle), "copies-sets")
+    placed = sets.select("node", "size", "central", "shared", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("at", "cell"))
+    # unshared shingles come first in the order
+    cells = placed.select("node", "size", "central", "cell", (F.col("at") + F.col("size") - F.col("shared")).alias("place"))
+    centre = F.max(F.struct("central", "node", "size", "place")).alias("centre")
+    shared = cells.groupBy("cell").agg(centre, F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    met = stored(cells.drop("central").join(shared.select("cell", "centre"), "cell"), "copies-cells")
+
+    def enough(common: Column, left: Column, right: Column) -> Column:
+        """Whether sets of these sizes with so many common members are copies, in whole numbers."""
+        return common * (above + below) >= (left + right) * above
+
     def maybe(left: str, right: str) -> Column:
-        return F.bit_count(F.col(left).bitwiseXOR(F.col(right))) <= PART_BOUND
+        """Bounds of a pair whose first common shingle this is, by sizes and by what follows it."""
+        sizes = [F.col(f"{side}.size").cast("bigint") for side in (left, right)]
+        follow = [size - F.col(f"{side}.place") for size, side in zip(sizes, (left, right), strict=True)]
+        return enough(F.least(*sizes), *sizes) & enough(F.least(*follow), *sizes)
 
-    stars = met.where((F.col("node") != F.col("least.node")) & maybe("part", "least.part"))
-    stars = stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+    def closer(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes that are copies by all their shingles."""
+        left = sets.select(F.col("node").alias("a"), F.col("size").cast("bigint").alias("size_a"), F.col("shingles").alias("left"))
+        right = sets.select(F.col("node").alias("b"), F.col("size").cast("bigint").alias("size_b"), F.col("shingles").alias("right"))
+        common = F.size(F.array_intersect("left", "right")).cast("bigint")
+        return pairs.join(left, "a").join(right, "b").where(enough(common, F.col("size_a"), F.col("size_b"))).select("a", "b")
+
+    own = F.struct("node", "size", "place").alias("own")
+    stars = met.select("centre", own).where((F.col("own.node") != F.col("centre.node")) & maybe("own", "centre"))
+    stars = stars.select(F.least("own.node", "centre.node").alias("a"), F.greatest("own.node", "centre.node").alias("b")).distinct()
     first = stored(closer(stars), "copies-stars")
-    marked = met.select("cell", "node", "part").join(connected(first), "node", "left")
-    marked = stored(
-        marked.select("cell", "node", "part", F.coalesce("component", "node").alias("component")), "copies-marked"
-    )
+    marked = met.drop("centre").join(connected(first), "node", "left")
+    marked = stored(marked.select("cell", "node", "size", "place", F.coalesce("component", "node").alias("component")), "copies-marked")
     mixed = marked.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = marked.join(mixed.select("cell"), "cell", "left_semi")
+    rest = stored(marked.join(mixed.select("cell"), "cell", "left_semi"), "copies-rest")
     apart = (
         (F.col("a.cell") == F.col("b.cell"))
         & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.component") != F.col("b.component"))
-        & maybe("a.part", "b.part")
+        & maybe("a", "b")
     )
     pairs = rest.alias("a").join(rest.alias("b"), apart)
     pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
