@@ -326,10 +326,22 @@ def main_text(page: str, model: dict[str, float]) -> str:
 
 
 def train_extractor(pages: DataFrame, *, max_pages: int = MAX_TRAINING_PAGES, variants: int = VARIANTS) -> dict[str, float]:
-    """Fit on at most ``max_pages`` pages, by hash order of page_id (repeated ids count once, by least html)."""
-    chosen = pages.select("page_id").where("page_id IS NOT NULL").distinct()
+    """Fit on at most ``max_pages`` pages that label themselves, by hash order of page_id.
+
+    Repeated ids count once, by the least hash of their labelled html.
+    """
+
+    @F.pandas_udf("boolean")
+    def labelled(htmls: pd.Series) -> pd.Series:
+        return pd.Series([bool(labelled_pages(html, 0, 0)) for html in htmls], dtype=bool)
+
+    known = pages.where("page_id IS NOT NULL").select("page_id", or_empty("html").alias("html"))
+    marked = known.withColumn("mark", F.xxhash64("html"))
+    # only pages that name an element are parsed, and each once
+    chosen = marked.where(F.col("html").rlike("(?i)<(article|main)")).where(labelled("html"))
+    chosen = chosen.groupBy("page_id").agg(F.min("mark").alias("mark"))
     chosen = chosen.orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
-    sample = pages.select("page_id", or_empty("html").alias("html")).join(F.broadcast(chosen), "page_id")
+    sample = marked.join(F.broadcast(chosen), ["page_id", "mark"])
     sample = sample.groupBy("page_id").agg(F.min("html").alias("html"))
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
