@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, pieces, quality, simhash, toxicity, warc_zip
+from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, pieces, quality, repair, simhash, toxicity, warc_zip
 from tokenloom.llm.common import table
 from tokenloom.session import shared_folder
 
@@ -80,6 +80,10 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_crf.extract_text(pages, html_crf.train_extractor(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_report(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
+    "op11_repair": op11_repair,
 }
 
 _CHAT_SQL = r'''
