@@ -106,8 +106,8 @@ def test_repaired_turns_alternate(spark):
     frame = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
     found = repair.repair(frame)
     rows = repair.repaired_turns(found).orderBy("at", "step").collect()
-    assert [(row.role, row.text) for row in rows] == [("user", "hello."), ("assistant", "q?")]
-    assert [row.edit for row in found.edits.orderBy("at").collect()] == ["D", "Ru", "Ra", "D", "D "]
+    assert [(row.role, row.text) for row in rows] == [("system", "s."), ("user", "hello."), ("assistant", "q?")]
+    assert [row.edit for row in found.edits.orderBy("at").collect()] == ["K", "Ru", "Ra", "D", "D "]
 
 
 def test_long_runs_take_binary_powers():
