@@ -123,8 +123,8 @@ def test_long_runs_take_binary_powers():
 def test_cheap_inserts(monkeypatch):
     monkeypatch.setattr(repair, "INSERT", 1)
     repair._power.cache_clear()
-    edits, ends = repair._unrolled((5, 5, 3), tuple(repair._final().tolist()))
-    assert edits[0] == ["IuK", "IuK", "K"] and repair._closing(ends[0]) == "Ia"
+    edits, ends = repair._unrolled((5, 3), tuple(repair._final().tolist()))
+    assert edits[0] == ["IuK", "K"] and repair._closing(ends[0]) == "Ia"
     repair._power.cache_clear()
 
 
