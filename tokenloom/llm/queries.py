@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, pieces, quality, repair, simhash, toxicity, warc_zip
+from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, pieces, prefix_trie, quality, repair, simhash, toxicity, warc_zip
 from tokenloom.llm.common import table
 from tokenloom.session import shared_folder
 
@@ -84,6 +84,10 @@ def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair_report(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.numbered_turns(table(spark, folder, "conversations"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_html": op10_html,
     "op11_repair": op11_repair,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _CHAT_SQL = r'''
