@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, pieces, prefix_trie, quality, repair, simhash, toxicity, warc_zip
+from tokenloom.llm import chat, decontaminate, fingerprints, html_crf, ngram_lm, pieces, prefix_trie, quality, repair, secrets, simhash, toxicity, warc_zip
 from tokenloom.llm.common import table
 from tokenloom.session import shared_folder
 
@@ -88,6 +88,10 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.numbered_turns(table(spark, folder, "conversations"))))
 
 
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
@@ -101,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op10_html": op10_html,
     "op11_repair": op11_repair,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_secrets": op13_secrets,
 }
 
 _CHAT_SQL = r'''
