@@ -9,14 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.vectors import edge_weight, l2_normalize, stack_rows, vector_mean
-from tokenloom.operators.evaluate import NOISE, vector_blocks
+from tokenloom.operators.evaluate import NOISE
+from tokenloom.operators.pairwise import PAIR_BLOCK_BYTES, distances, over_block_pairs
 from tokenloom.operators.skew import lookup_join, running_total
 from tokenloom.session import materialize
 
 QUADRATIC_ROWS = 50_000
 BLOCK_ROWS = 2_048
 ORDERINGS = 8
-NEIGHBOURS = "array<struct<distance:double,dst:bigint>>"
 
 
 def guard_quadratic(rows: int, what: str, *, max_rows: int = QUADRATIC_ROWS, allow: bool = False) -> None:
@@ -28,13 +28,6 @@ def guard_quadratic(rows: int, what: str, *, max_rows: int = QUADRATIC_ROWS, all
         )
 
 
-def _distances(here: np.ndarray, there: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        return np.maximum(1.0 - here @ there.T, 0.0)
-    squares = (here**2).sum(1)[:, None] - 2 * here @ there.T + (there**2).sum(1)[None, :]
-    return np.sqrt(np.maximum(squares, 0.0))
-
-
 def _smallest(distance: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
     """The ``k`` nearest other ids of each row, by distance and then id."""
     distance = np.where(ids[None, :] == own[:, None], np.inf, distance)
@@ -49,21 +42,6 @@ def _smallest(distance: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) ->
     return out
 
 
-def _nearest_in_block(ids: np.ndarray, matrix: np.ndarray, metric: str, k: int):
-    """Column function: the ``k`` nearest other ids of each row within one block of vectors."""
-
-    @F.pandas_udf(NEIGHBOURS)
-    def near(own: pd.Series, batch: pd.Series) -> pd.Series:
-        here, names = stack_rows(batch), own.to_numpy()
-        rows: list = []
-        for start in range(0, len(here), 256):
-            part = _distances(here[start : start + 256], matrix, metric)
-            rows += _smallest(part, ids, names[start : start + 256], k)
-        return pd.Series([[{"distance": d, "dst": i} for d, i in row] for row in rows])
-
-    return near
-
-
 def _side_code(planes: np.ndarray, center: np.ndarray):
     """Column function: Gray code of the plane sides a vector lies on, and its place along one more direction."""
 
@@ -88,24 +66,36 @@ def exact_neighbours(
     key: str,
     metric: str = "euclidean",
     embedding: str = "embedding",
-    max_rows: int = QUADRATIC_ROWS,
+    max_rows: int | None = None,
     allow_quadratic: bool = False,
+    block_bytes: int = PAIR_BLOCK_BYTES,
 ) -> DataFrame:
-    """Exact ``k`` nearest other rows: ``src, dst, distance``; guarded by ``max_rows``.
+    """Exact ``k`` nearest other rows: ``src, dst, distance``, at any number of rows.
 
-    The rows reach the tasks in blocks of bounded size. A task keeps the ``k`` best per row and block and emits
-    those only; several blocks are merged per row.
+    Blocks of rows meet in tasks; each pair of blocks gives the ``k`` best of its rows in both directions, and the
+    best of all blocks are kept. The time is quadratic; a caller who wants to refuse that gives ``max_rows``.
     """
-    guard_quadratic(vectors.count(), "exact neighbours", max_rows=max_rows, allow=allow_quadratic)
+    if max_rows is not None:
+        guard_quadratic(vectors.count(), "exact neighbours", max_rows=max_rows, allow=allow_quadratic)
     unit = l2_normalize(embedding) if metric == "cosine" else F.col(embedding).cast("array<double>")
-    points = vectors.select(F.col(key).cast("bigint").alias("src"), unit.alias("vector"))
-    best = None
-    for ids, matrix, _ in vector_blocks(points, "src", "vector"):
-        found = _nearest_in_block(ids, matrix, metric, k)(F.col("src"), F.col("vector"))
-        best = found if best is None else F.slice(F.array_sort(F.concat(best, found)), 1, k)
-    if best is None:
-        return vectors.sparkSession.createDataFrame([], "src bigint, dst bigint, distance double")
-    return points.select("src", F.inline(best)).select("src", "dst", "distance")
+    points = vectors.select(F.col(key).cast("bigint").alias("id"), unit.alias("vector"))
+
+    def nearest(one, other, same):
+        found = []
+        for here, there in ((one, other),) if same else ((one, other), (other, one)):
+            for start in range(0, len(here[0]), 256):
+                own = here[0][start : start + 256]
+                near = _smallest(distances(here[1][start : start + 256], there[1], metric), there[0], own, k)
+                found += [(int(src), dst, d) for src, row in zip(own, near, strict=True) for d, dst in row]
+        return pd.DataFrame(found, columns=["src", "dst", "distance"])
+
+    found = over_block_pairs(points, nearest, "src bigint, dst bigint, distance double", block_bytes=block_bytes)
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
+    return found.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def approximate_neighbours(
@@ -138,7 +128,7 @@ def approximate_neighbours(
             here, names = stack_rows(batch["vector"]), batch["src"].to_numpy()
             for start in range(0, len(here), block_rows):
                 part, own = here[start : start + block_rows], names[start : start + block_rows]
-                near = _smallest(_distances(part, part, metric), own, own, k)
+                near = _smallest(distances(part, part, metric), own, own, k)
                 yield pd.DataFrame(
                     [(int(src), dst, d) for src, row in zip(own, near, strict=True) for d, dst in row],
                     columns=["src", "dst", "distance"],
@@ -159,8 +149,7 @@ def approximate_neighbours(
         part = sorted_rows.mapInPandas(inside, "src bigint, dst bigint, distance double")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("src", "dst").agg(F.min("distance").alias("distance"))
-    rank = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
-    return merged.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+    return _best(merged, k)
 
 
 def neighbour_graph(
@@ -172,7 +161,7 @@ def neighbour_graph(
     embedding: str = "embedding",
     exact: bool = False,
     seed: int = 42,
-    max_rows: int = QUADRATIC_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Undirected neighbour graph ``src < dst, weight``; of doubled edges the largest weight stays.
 

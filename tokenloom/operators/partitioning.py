@@ -1,4 +1,4 @@
-"""Centroid clustering: k-means, mini-batch k-means, bisecting, cluster features, micro-cluster merging."""
+"""Centroid clustering: k-means, mini-batch k-means, bisecting, cluster features."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ from tokenloom.operators.evaluate import cluster_moments
 from tokenloom.session import materialize
 
 MAX_ITER = 100
-MICRO_CLUSTERS = 2_000
 CENTROIDS = "cluster bigint, n double, centroid array<double>"
 
 
@@ -241,87 +240,8 @@ def fit_cluster_features(
     )
 
 
-def _merge_bottom_up(means: np.ndarray, sizes: np.ndarray, k: int, linkage: str, metric: str) -> np.ndarray:
-    """Labels of weighted points after merging the closest pair down to ``k``."""
-    points = means
-    if metric == "cosine":
-        norms = np.linalg.norm(means, axis=1, keepdims=True)
-        points = np.divide(means, norms, out=np.zeros_like(means), where=norms > 0)
-    squares = np.maximum((points**2).sum(1)[:, None] - 2 * points @ points.T + (points**2).sum(1)[None, :], 0)
-    weights = sizes.astype(float).copy()
-    if linkage == "ward":
-        distance = squares * (weights[:, None] * weights[None, :] / (weights[:, None] + weights[None, :]))
-    else:
-        distance = squares / 2 if metric == "cosine" else np.sqrt(squares)
-    np.fill_diagonal(distance, np.inf)
-    owner = np.arange(len(points))
-    for _ in range(len(points) - k):
-        left, right = np.unravel_index(distance.argmin(), distance.shape)
-        left, right = min(left, right), max(left, right)
-        a, b = distance[left], distance[right]
-        if linkage == "ward":
-            rest = weights
-            total = weights[left] + weights[right] + rest
-            gap = distance[left, right]
-            merged = ((weights[left] + rest) * a + (weights[right] + rest) * b - rest * gap) / total
-        elif linkage == "single":
-            merged = np.minimum(a, b)
-        elif linkage == "complete":
-            merged = np.where(np.isinf(a) | np.isinf(b), np.inf, np.maximum(a, b))
-        elif linkage == "average":
-            merged = (weights[left] * a + weights[right] * b) / (weights[left] + weights[right])
-        else:
-            raise ValueError(f"unknown linkage: {linkage}")
-        merged = np.where(np.isinf(a) | np.isinf(b), np.inf, merged)
-        distance[left], distance[:, left] = merged, merged
-        distance[left, left] = np.inf
-        distance[right], distance[:, right] = np.inf, np.inf
-        weights[left] += weights[right]
-        owner[owner == right] = left
-    return np.unique(owner, return_inverse=True)[1]
-
-
-def fit_agglomerative(
-    vectors: DataFrame,
-    k: int,
-    *,
-    linkage: str = "ward",
-    metric: str = "euclidean",
-    micro_clusters: int = MICRO_CLUSTERS,
-    max_iter: int = MAX_ITER,
-    embedding: str = "embedding",
-    seed: int = 42,
-) -> DataFrame:
-    """Micro-cluster table ``micro, cluster, centroid``: k-means micro-clusters merged bottom-up to ``k``.
-
-    The merge sees ``micro_clusters`` of them (a parameter, not a function of the row count) and holds their
-    distances in the driver; rows take the label of their nearest micro-cluster.
-    """
-    rows = _check_size(vectors, k)
-    wanted = min(max(k, micro_clusters), rows)
-    centers = fit_kmeans(vectors, wanted, embedding=embedding, seed=seed, max_iter=max_iter)
-    sized = cluster_moments(nearest_centroid(vectors, centers, embedding=embedding), embedding=embedding)
-    frame = sized.select("cluster", "n", F.transform("vector_sum", lambda x: x / F.col("n")).alias("mean")).toPandas()
-    means = stack_rows(frame["mean"])
-    labels = _merge_bottom_up(means, frame["n"].to_numpy(), min(k, len(frame)), linkage, metric)
-    merged = [
-        (int(micro), int(label), [float(x) for x in mean])
-        for micro, label, mean in zip(frame["cluster"], labels, means, strict=True)
-    ]
-    return vectors.sparkSession.createDataFrame(merged, "micro bigint, cluster bigint, centroid array<double>")
-
-
-def assign_micro_clusters(rows: DataFrame, micro: DataFrame, *, embedding: str = "embedding") -> DataFrame:
-    """Rows with the merged cluster of their nearest micro-cluster."""
-    near = nearest_centroid(rows, micro, embedding=embedding, cluster="micro", output="_micro")
-    names = micro.select(F.col("micro").alias("_micro"), "cluster")
-    return near.drop("cluster").join(F.broadcast(names), "_micro").drop("_micro")
-
-
 __all__ = [
-    "assign_micro_clusters",
     "cluster_features",
-    "fit_agglomerative",
     "fit_bisecting",
     "fit_cluster_features",
     "fit_kmeans",

@@ -12,6 +12,7 @@ from tokenloom.functions.naming import with_run_names
 from tokenloom.operators.assign import assign_to_training_clusters, nearest_centroid
 from tokenloom.operators.evaluate import contingency, evaluate_clusters, hierarchy_alignment
 from tokenloom.operators.labels import infer_cluster_count
+from tokenloom.operators.linkage import agglomerate
 from tokenloom.operators.neighbours import (
     QUADRATIC_ROWS,
     communities,
@@ -20,8 +21,6 @@ from tokenloom.operators.neighbours import (
     neighbour_graph,
 )
 from tokenloom.operators.partitioning import (
-    assign_micro_clusters,
-    fit_agglomerative,
     fit_bisecting,
     fit_cluster_features,
     fit_kmeans,
@@ -152,15 +151,11 @@ def fit_predict(vectors: DataFrame, config: RunConfig, *, key: list[str], embedd
         centroids = _fit_centroids(rows, config, key, embedding)
         return nearest_centroid(rows, centroids, embedding=embedding).drop(embedding)
     if config.algorithm == "agglomerative":
-        micro = fit_agglomerative(
-            rows,
-            config.n_clusters,
-            linkage=config.linkage,
-            metric=config.metric,
-            embedding=embedding,
-            seed=config.random_state,
+        noded = materialize(_with_node(rows, key), "nodes")
+        found = agglomerate(
+            noded, config.n_clusters, key="node", linkage=config.linkage, metric=config.metric, embedding=embedding
         )
-        return assign_micro_clusters(rows, micro, embedding=embedding).drop(embedding)
+        return noded.select(*key, "node").join(found, "node").drop("node")
     noded = materialize(_with_node(rows, key), "nodes")
     if config.algorithm in DENSITY:
         found = density_clusters(

@@ -229,10 +229,31 @@ def cluster_feature_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("agglomerative_clusters")
 def agglomerative_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    k = _label_count(spark, folder)
-    rows = partitioning.prepared(embeddings(spark, folder))
-    micro = partitioning.fit_agglomerative(rows, k, micro_clusters=60)
-    return partitioning.assign_micro_clusters(rows, micro).select("vec_id", "cluster")
+    return _fit(spark, folder, algorithm="agglomerative", n_clusters=_label_count(spark, folder))
+
+
+# Prim's algorithm, one row per vector and step; the longest edges of the tree are left out, the rest are components.
+@query(
+    "single_linkage_clusters",
+    f"""WITH RECURSIVE {VECTORS}, u AS MATERIALIZED (SELECT vec_id, {UNIT} AS v FROM vt),
+ pairs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM u a, u b WHERE a.vec_id <> b.vec_id),
+ k AS (SELECT count(DISTINCT label) AS k FROM embeddings),
+ start AS (SELECT min(vec_id) AS s FROM u),
+ grown AS (SELECT b AS node, d, a AS via, 1 AS step, false AS taken, min(struct_pack(d := d, node := b)) OVER () AS pick FROM pairs, start WHERE a = s
+   UNION ALL
+   SELECT g.node, least(g.d, p.d), CASE WHEN p.d < g.d THEN p.a ELSE g.via END, g.step + 1, false,
+     min(struct_pack(d := least(g.d, p.d), node := g.node)) OVER ()
+   FROM grown g JOIN pairs p ON p.a = g.pick.node AND p.b = g.node),
+ tree AS (SELECT node AS a, via AS b, d FROM grown WHERE node = pick.node),
+ kept AS (SELECT a, b FROM tree ORDER BY d LIMIT (SELECT count(*) FROM u) - (SELECT k FROM k)),
+ links AS MATERIALIZED (SELECT a, b FROM kept UNION SELECT b, a FROM kept),
+ reach AS (SELECT vec_id AS node, vec_id AS root FROM u
+   UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node WHERE reach.root < links.b),
+ parts AS (SELECT node, min(root) AS part FROM reach GROUP BY node)
+ SELECT node AS vec_id, CAST(dense_rank() OVER (ORDER BY part) - 1 AS BIGINT) AS cluster FROM parts""",
+)
+def single_linkage_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _fit(spark, folder, algorithm="agglomerative", n_clusters=_label_count(spark, folder), linkage="single")
 
 
 _KNN = f"""WITH {VECTORS}, u AS (SELECT vec_id, {UNIT} AS v FROM vt),
