@@ -12,6 +12,7 @@ from tokenloom.functions.naming import with_run_names
 from tokenloom.operators.assign import assign_to_training_clusters, nearest_centroid
 from tokenloom.operators.evaluate import contingency, evaluate_clusters, hierarchy_alignment
 from tokenloom.operators.labels import infer_cluster_count
+from tokenloom.operators.density_tree import density_tree_clusters
 from tokenloom.operators.linkage import agglomerate
 from tokenloom.operators.neighbours import (
     QUADRATIC_ROWS,
@@ -51,6 +52,7 @@ class RunConfig:
     min_samples: int = 10
     min_cluster_size: int = 10
     cluster_selection_epsilon: float = 0.0
+    cluster_selection_method: str = "eom"
     allow_single_cluster: bool = False
     linkage: str = "ward"
     metric: str = "euclidean"
@@ -157,7 +159,19 @@ def fit_predict(vectors: DataFrame, config: RunConfig, *, key: list[str], embedd
         )
         return noded.select(*key, "node").join(found, "node").drop("node")
     noded = materialize(_with_node(rows, key), "nodes")
-    if config.algorithm in DENSITY:
+    if config.algorithm in DENSITY and not config.cluster_selection_epsilon:
+        found = density_tree_clusters(
+            noded,
+            key="node",
+            min_cluster_size=config.min_cluster_size,
+            min_samples=config.min_samples,
+            selection=config.cluster_selection_method,
+            allow_single_cluster=config.allow_single_cluster,
+            metric=config.metric,
+            embedding=embedding,
+            seed=config.random_state,
+        )
+    elif config.algorithm in DENSITY:
         found = density_clusters(
             noded,
             key="node",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.naming import output_prefix, with_run_names
 from tokenloom.functions.vectors import edge_weight, l2_normalize, squared_norm
-from tokenloom.operators import ambiguity, embed, evaluate, neighbours, partitioning, summary
+from tokenloom.operators import ambiguity, density_tree, embed, evaluate, linkage, neighbours, partitioning, summary
 from tokenloom.operators import labels as label_ops
 from tokenloom.operators.assign import assign_to_training_clusters, nearest_centroid
 from tokenloom.plans import experiments, suite, text_queries
@@ -285,6 +285,40 @@ def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("density_tree_clusters")
+def density_tree_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _fit(spark, folder, algorithm="hdbscan", min_cluster_size=10, min_samples=5)
+
+
+@query("density_leaf_clusters")
+def density_leaf_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _fit(spark, folder, algorithm="hdbscan", min_cluster_size=10, min_samples=5, cluster_selection_method="leaf")
+
+
+# The forest of all mutual reachability distances: its number of edges, their sum and the longest, by Prim's algorithm.
+@query(
+    "reachability_forest",
+    f"""WITH RECURSIVE {VECTORS}, u AS MATERIALIZED (SELECT vec_id, {UNIT} AS v FROM vt),
+ pairs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM u a, u b WHERE a.vec_id <> b.vec_id),
+ core AS (SELECT a AS id, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM pairs) AS q WHERE r = 4),
+ reach AS MATERIALIZED (SELECT a, b, greatest(d, ca.core, cb.core) AS d FROM pairs JOIN core ca ON ca.id = a JOIN core cb ON cb.id = b),
+ start AS (SELECT min(vec_id) AS s FROM u),
+ grown AS (SELECT b AS node, d, 1 AS step, min(struct_pack(d := d, node := b)) OVER () AS pick FROM reach, start WHERE a = s
+   UNION ALL
+   SELECT g.node, least(g.d, p.d), g.step + 1, min(struct_pack(d := least(g.d, p.d), node := g.node)) OVER ()
+   FROM grown g JOIN reach p ON p.a = g.pick.node AND p.b = g.node)
+ SELECT count(*) AS n_edges, {sql_round('sum(d)', 4)} AS total, {sql_round('max(d)')} AS longest FROM grown WHERE node = pick.node""",
+)
+def reachability_forest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = partitioning.prepared(embeddings(spark, folder))
+    edges = density_tree.reachability(
+        vectors, key="vec_id", min_samples=5, metric="euclidean", embedding="embedding", exact=True, seed=0
+    )
+    return linkage.spanning_edges(edges).agg(
+        F.count("*").alias("n_edges"), rounded(F.sum("d"), 4).alias("total"), rounded(F.max("d")).alias("longest")
+    )
+
+
 @query("exact_neighbours", f"{_KNN} SELECT src, dst, {sql_round('d')} AS distance FROM ranked WHERE r <= 5")
 def exact_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     near = neighbours.exact_neighbours(embeddings(spark, folder), 5, key="vec_id", metric="cosine")
