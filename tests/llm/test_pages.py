@@ -47,7 +47,7 @@ def test_directory_of_zip64_and_commented_files():
             with archive.open(zipfile.ZipInfo("a/b"), "w", force_zip64=wide) as member:
                 member.write(b"first")
             archive.writestr("c", b"second")
-            archive.comment = b"PK\x05\x06 in a comment?"[4:]
+            archive.comment = b"PK\x05\x06 in a comment, and more than twenty-two bytes of it: PK\x05\x06"
         size = held.tell()
         members = warc_zip.read_directory(held, size)
         for name, value in (("a/b", b"first"), ("c", b"second")):
@@ -71,6 +71,59 @@ def test_directory_with_zip64_records():
     assert members == {"m": (0, 7, 7, 31)} and held[31:38] == data
 
 
+def test_wide_ids_stay_whole(spark):
+    wide = [2**53 + 1, 2**53 - 9, 2**63 - 1, -(2**63), 2**53 + 3]
+    frame = pages(spark, [(at, "http://h.example/p", "w" * 1200) for at in wide] + [(7, "u", "small"), (None, "u", "small")])
+    found = {row.page_id: (row.record_type, row.refers_to) for row in archived(spark, frame)[1].collect()}
+    expected = {at: ("revisit", 2**63 - 1) for at in wide}
+    assert found == expected | {2**63 - 1: ("response", None), 7: ("response", None), None: ("response", None)}
+
+
+def test_members_are_found_by_the_directory(spark, tmp_path):
+    row = {"html": "body", "record_type": "response", "page_id": 3, "payload_digest": hashlib.sha1(b"body").hexdigest(), "refers_to": None}
+    other = row | {"html": "more", "page_id": 4, "payload_digest": hashlib.sha1(b"more").hexdigest()}
+    records = [warc_zip.record_bytes(type("Row", (), one | {"url": "http://b.a/x"}), "2020-01-01T00:00:00Z") for one in (row, other)]
+    packed = gzip.compress(records[0])
+    with zipfile.ZipFile(tmp_path / "own.wacz", "w") as archive:
+        archive.writestr("archive/one.warc.gz", packed)
+        archive.writestr("archive/two.warc", records[1])
+        line = '{"filename": "%s", "offset": %d, "length": "%d"}'
+        archive.writestr("indexes/a.cdxj", "a,b)/x 2020 " + line % ("one.warc.gz", 0, len(packed)) + "\n")
+        archive.writestr("indexes/b.cdxj.gz", gzip.compress(("!meta {}\na,b)/x 2020 " + line % ("two.warc", 0, len(records[1]))).encode()))
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/own.wacz",)], "path string")
+    found = warc_zip.read_records(warc_zip.read_index(manifest)).collect()
+    assert sorted((r.page_id, r.payload) for r in found) == [(3, b"body"), (4, b"more")]
+
+
+def test_index_lines_are_sorted_by_key():
+    row = type("Row", (), {"url": "http://www.Example.org/a b", "payload_digest": "0" * 40})
+    assert warc_zip.index_line(row, 5, 9, "2020-01-02T03:04:05Z").startswith("org,example,www)/a%20b 20200102030405 {")
+
+
+def texts(markup):
+    return [block.text for block in html_crf.leaf_blocks(markup)]
+
+
+@pytest.mark.parametrize(
+    "markup, expected",
+    [
+        ("<html><head><title>t</title><body><p>a</p><p>b</p>", ["a", "b"]),
+        ("<head><meta charset=x><title>t</title><div>a</div>", ["a"]),
+        ("<head><style>x</style>loose text<p>a", ["loose text", "a"]),
+        ("<head></head><p>a<button>go<p>b</p><div>c</div>", ["a", "b", "c"]),
+        ("<p>a</p><button>x<button>y</button><p>b</p>", ["a", "b"]),
+        ("<p>a</p><select><option>x<option>y<p>b</p>", ["a", "b"]),
+        ("<p>a<svg/>b</p><svg><path d=''/><p>c</p>", ["ab", "c"]),
+        ("<p>a</p><svg viewBox='0'><title>no</title></svg><p>b</p>", ["a", "b"]),
+        ("<noscript><p>a</p><p>b</p>", ["a", "b"]),
+        ("<noscript><p>no</p></noscript><p>b</p><video>no</video>", ["b"]),
+        ("<video><p>fallback</p></video><p>b</p>", ["b"]),
+    ],
+)
+def test_pages_without_optional_end_tags(markup, expected):
+    assert texts(markup) == expected
+
+
 def test_damaged_payload_is_noticed(spark):
     row = type("Row", (), {"html": "x" * 50, "record_type": "response", "page_id": 1, "payload_digest": "0" * 40, "url": None, "refers_to": None})
     with pytest.raises(ValueError):

@@ -49,9 +49,14 @@ ENDS_PARAGRAPH = frozenset(
     " ol p pre section table ul".split()
 )
 
+#: Elements that may stand in a head; any other start tag ends it, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+#: Hidden elements that are skipped whole up to their end tag.
+SKIPPED = frozenset("noscript template svg iframe".split())
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>[^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+|[^>]*+)>",
     re.S | re.I,
@@ -93,6 +98,15 @@ def leaf_blocks(page: str) -> list[Block]:
     pieces: list[str] = []
     linked, links, hidden, block_tag = 0, 0, 0, "body"
 
+    #: Depths of hidden elements without an end tag: they last until the next start tag of a block.
+    loose: list[int] = []
+    ends: dict[str, int] = {}
+
+    def last_end(tag: str) -> int:
+        if tag not in ends:
+            ends[tag] = max((found.start() for found in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1)
+        return ends[tag]
+
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
@@ -109,10 +123,19 @@ def leaf_blocks(page: str) -> list[Block]:
             links -= tag == "a"
             hidden -= tag in UNSEEN
         del stack[down_to:]
+        while loose and loose[-1] >= down_to:
+            loose.pop()
         block_tag = next((tag for tag, _ in reversed(stack) if tag not in INLINE), "body")
 
+    def close_last(tag: str) -> None:
+        place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+        if place >= 0:
+            close(place)
+
     def write(raw: str) -> None:
         nonlocal linked
+        if hidden and stack[-1][0] == "head" and raw.strip():
+            close_last("head")
         if raw and not hidden:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
@@ -120,7 +143,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 linked += len(text.strip())
 
     at = 0
-    for match in _MARKUP.finditer(page):
+    while match := _MARKUP.search(page, at):
         write(page[at : match.start()])
         at = match.end()
         if match["tag"] is None:
@@ -134,14 +157,26 @@ def leaf_blocks(page: str) -> list[Block]:
                 if tag in INLINE and any(open_tag not in INLINE for open_tag, _ in stack[place + 1 :]):
                     continue
                 close(place)
-        elif tag == "br":
+            continue
+        if hidden and tag not in IN_HEAD:
+            close_last("head")
+        if tag == "br":
             pieces.append(" ")
         elif tag in VOID:
             if tag == "hr":
                 flush()
         else:
+            self_closed = match["attributes"].rstrip().endswith("/")
+            if tag in SKIPPED and (self_closed or last_end(tag) >= at):
+                if not self_closed:
+                    at = re.compile(rf"</{tag}\s*>", re.I).search(page, at).end()
+                continue
             if tag not in INLINE:
                 flush()
+                if loose and tag in ENDS_PARAGRAPH:
+                    close(loose[0])
+                if tag in ("button", "select") and hidden:
+                    close_last(tag)
                 siblings = CLOSED_BY_SIBLING.get(tag, {"p"} if tag in ENDS_PARAGRAPH else set())
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in siblings:
@@ -149,8 +184,10 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
                     if stack[i][0] not in INLINE:
                         break
-            if match["attributes"].rstrip().endswith("/") and tag not in INLINE and tag in UNSEEN:
+            if self_closed and tag not in INLINE and tag in UNSEEN:
                 continue
+            if tag in UNSEEN and tag != "head" and last_end(tag) < at:
+                loose.append(len(stack))
             stack.append((tag, _own_features(tag, match["attributes"])))
             links += tag == "a"
             hidden += tag in UNSEEN

@@ -1,9 +1,11 @@
 """Web archives packaged in ZIP files: writer, directory reader and record reader.
 
-An archive holds two stored members: ``archive/data.warc.gz``, whose records are gzip members of their own, and
-``indexes/index.cdxj`` with the place of every record. Readers find the end-of-directory record (ZIP64 included),
-parse the central directory, read the index member, and then fetch single records by their byte range; no member is
-extracted. Files are opened through ``pyarrow.fs``, so any store it knows will do.
+An archive written here holds two stored members: ``archive/data.warc.gz``, whose records are gzip members of their
+own, and ``indexes/index.cdxj`` with a sorted line per record (search key, timestamp, and a JSON object with the place).
+Readers find the end-of-directory record (ZIP64 included), parse the central directory, take every index member it
+lists (``.cdx``, ``.cdxj``, also gzipped) and the archive members (``.warc``, ``.warc.gz``) that its lines name, and
+then fetch single records by their byte range; no archive member is extracted. Files are opened through
+``pyarrow.fs``, so any store it knows will do. Ids cross into Python as text, so that nulls beside them cost no digit.
 
 Every write attempt of a task takes a file name of its own and only finished tasks report theirs, so a lost executor
 or a second attempt leaves no record twice. Archives are rolled at ``archive_bytes``.
@@ -31,6 +33,7 @@ from tokenloom.llm.common import or_empty, stored
 LEAST_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 128 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = (".warc", ".warc.gz"), (".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
 
@@ -83,6 +86,18 @@ def record_bytes(row, date: str) -> bytes:
     return b"WARC/1.1\r\n" + named.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def index_line(row, offset: int, length: int, date: str) -> str:
+    """A line of the index: search key (host turned round, then the path), timestamp, JSON object."""
+    url = row.url if isinstance(row.url, str) else ""
+    scheme, _, rest = url.partition("://")
+    host, slash, path = rest.partition("/")
+    key = ",".join(reversed(host.lower().split("."))) + ")" + slash + path if scheme and host else url
+    place = {
+        "url": url, "digest": f"sha1:{row.payload_digest}", "offset": offset, "length": length, "filename": DATA.rpartition("/")[2]
+    }
+    return f"{urllib.parse.quote(key, safe='/:?&=,)') or '-'} {''.join(filter(str.isdigit, date))} {json.dumps(place)}"
+
+
 def write_archives(
     records: DataFrame,
     folder: str,
@@ -94,7 +109,7 @@ def write_archives(
     """Write planned records below ``folder``; returns the stored manifest (path, records). No rows, no archives."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for frame in frames for row in frame.astype({"page_id": "Int64", "refers_to": "Int64"}).itertuples(index=False))
+        rows = (row for frame in frames for row in frame.itertuples(index=False))
         row = next(rows, None)
         while row is not None:
             store, base = fs.FileSystem.from_uri(folder)
@@ -107,13 +122,14 @@ def write_archives(
                     while row is not None and offset < archive_bytes:
                         packed = gzip.compress(record_bytes(row, date), 1, mtime=0)
                         data.write(packed)
-                        places.append(json.dumps({"offset": offset, "length": len(packed), "digest": row.payload_digest}))
+                        places.append(index_line(row, offset, len(packed), date))
                         offset += len(packed)
                         row = next(rows, None)
                 with archive.open(zipfile.ZipInfo(INDEX), "w", force_zip64=zip64) as index:
-                    index.write("".join(f"{line}\n" for line in places).encode())
+                    index.write("".join(f"{line}\n" for line in sorted(places)).encode())
             yield pd.DataFrame({"path": [f"{folder.rstrip('/')}/{name}"], "records": [len(places)]})
 
+    records = records.withColumns({name: F.col(name).cast("string") for name in ("page_id", "refers_to")})
     return stored(records.mapInPandas(write, "path string, records bigint"), "warc-manifest")
 
 
@@ -127,6 +143,9 @@ def read_directory(file, size: int) -> dict[str, tuple[int, int, int, int]]:
     tail_at = max(0, size - 22 - 65535)
     tail = at(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    # The record is the one whose comment ends with the file; a comment may hold the signature itself.
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end + 3)
     if end < 0:
         raise ValueError("no end-of-directory record: not a ZIP file, or cut short")
     _, _, _, entries, length, start, _ = struct.unpack("<4H2LH", tail[end + 4 : end + 22])
@@ -163,6 +182,30 @@ def read_directory(file, size: int) -> dict[str, tuple[int, int, int, int]]:
     return members
 
 
+def _index_lines(file, name: str, member: tuple[int, int, int, int]) -> list[bytes]:
+    """JSON objects of the lines of an index member; header lines have none."""
+    method, packed, _, data_at = member
+    file.seek(data_at)
+    listed = file.read(packed)
+    if method == zipfile.ZIP_DEFLATED:
+        listed = zlib.decompress(listed, -15)
+    if name.endswith(".gz"):
+        listed = gzip.decompress(listed)
+    objects = (line[line.find(b"{") :] for line in listed.splitlines() if b"{" in line)
+    return [line for line in objects if b'"offset"' in line]
+
+
+def _place(path: str, line: dict, members: dict) -> tuple[str, int, int]:
+    archives = [name for name in members if name.endswith(ARCHIVES)]
+    wanted = line.get("filename")
+    named = [name for name in archives if wanted is None or name == wanted or name.endswith(f"/{wanted}")]
+    if len(named) != 1:
+        raise ValueError(f"{path}: the index names {wanted}, the archive members are {', '.join(sorted(archives)) or 'none'}")
+    if members[named[0]][0] != zipfile.ZIP_STORED:
+        raise ValueError(f"{path}: {named[0]} is compressed as a member, its records have no byte ranges")
+    return path, int(line["offset"]) + members[named[0]][3], int(line["length"])
+
+
 def read_index(manifest: DataFrame) -> DataFrame:
     """Places (path, offset, length) of all records of the archives named in ``path``, in bytes from the file's start."""
 
@@ -171,16 +214,9 @@ def read_index(manifest: DataFrame) -> DataFrame:
             store, name = fs.FileSystem.from_uri(path)
             with store.open_input_file(name) as file:
                 members = read_directory(file, file.size())
-                method, packed, _, data_at = members[INDEX]
-                file.seek(data_at)
-                listed = file.read(packed)
-                if method == zipfile.ZIP_DEFLATED:
-                    listed = zlib.decompress(listed, -15)
-                if members[DATA][0] != zipfile.ZIP_STORED:
-                    raise ValueError(f"{path}: {DATA} is compressed as a member, its records have no byte ranges")
-            found = pd.DataFrame([json.loads(line) for line in listed.splitlines()], columns=["offset", "length", "digest"])
-            found["path"], found["offset"] = path, found.offset + members[DATA][3]
-            yield found[["path", "offset", "length"]]
+                lines = [line for index in members if index.endswith(INDEXES) for line in _index_lines(file, index, members[index])]
+            found = pd.DataFrame([_place(path, json.loads(line), members) for line in lines], columns=["path", "offset", "length"])
+            yield found
 
     return manifest.select("path").mapInPandas(places, "path string, offset bigint, length bigint")
 
@@ -228,8 +264,12 @@ def read_records(places: DataFrame, *, payload: bool = True) -> DataFrame:
                         rows = []
                         for offset, length in group[["offset", "length"]].iloc[at : at + 500].itertuples(index=False):
                             file.seek(offset)
-                            rows.append(parse_record(gzip.decompress(file.read(length))))
-                        found = pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
-                        yield found[names]
-
-    return places.mapInPandas(fetch, schema)
+                            raw = file.read(length)
+                            row = parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+                            rows.append(row | {name: None if row[name] is None else str(row[name]) for name in ids})
+                        yield pd.DataFrame(rows)[names]
+
+    ids = ("page_id", "refers_to")
+    asked = ", ".join(f"{name} string" if name in ids else part for name, part in zip(names, schema.split(", "), strict=True))
+    fetched = places.mapInPandas(fetch, asked)
+    return fetched.withColumns({name: F.col(name).cast("bigint") for name in ids})
