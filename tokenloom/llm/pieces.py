@@ -38,7 +38,7 @@ from tokenloom.llm.common import or_empty
 
 SAMPLES = 2
 SPACE = "▁"
-_BATCH_CHARS = 800_000
+_BATCH_CHARS = 300_000
 _KEPT_UNITS = 80_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
