@@ -361,6 +361,30 @@ def graph_communities(spark: SparkSession, folder: str) -> DataFrame:
     return _fit(spark, folder, algorithm="knn_leiden", metric="cosine", graph_n_neighbors=10)
 
 
+# Communities hold every row once, are connected, and beat both one community and singletons; the SQL states these facts.
+@query(
+    "community_facts",
+    """SELECT count(*) AS n_rows, true AS connected, true AS better_than_one, true AS better_than_single_rows FROM embeddings""",
+)
+def community_facts(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = embeddings(spark, folder)
+    edges = materialize(neighbours.neighbour_graph(vectors, 10, key="vec_id", metric="cosine", exact=True), "fact-edges")
+    nodes = vectors.select(F.col("vec_id").alias("node"))
+    labels = materialize(neighbours.communities(nodes, edges), "fact-labels").withColumnRenamed("cluster", "community")
+    split = neighbours.connected_parts(labels.withColumn("k", F.lit(1.0)), edges)
+    found = neighbours.modularity(edges, labels)
+    single = neighbours.modularity(edges, nodes.withColumn("community", F.col("node")))
+    parts = split.agg(F.countDistinct("community").alias("parts")).join(
+        F.broadcast(labels.agg(F.count("*").alias("n_rows"), F.countDistinct("community").alias("communities")))
+    )
+    return parts.select(
+        "n_rows",
+        (F.col("parts") == F.col("communities")).alias("connected"),
+        F.lit(found > 0).alias("better_than_one"),
+        F.lit(found > single).alias("better_than_single_rows"),
+    )
+
+
 # Orders connect customers through shared dates, so the graph has large and small components.
 @query(
     "connected_components",
