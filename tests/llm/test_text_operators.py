@@ -83,55 +83,60 @@ def test_contamination_of_empty_tables(spark):
 # --- language model
 
 
-def test_language_model_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_against_brute_force(spark, monkeypatch, order):
     monkeypatch.setattr(ngram_lm, "_BATCH_TOKENS", 300)
     chance = random.Random(2)
     words = ["the"] * 30 + [f"w{at}" for at in range(60)] + ["Été"]
     rows = [(at, " ".join(chance.choices(words, k=chance.choice((0, 1, 10, 60))))) for at in range(150)]
-    rows += [(400, None), (401, "unseen words only"), (402, "THE\tthe")]
-    found = {row.doc_id: row for row in ngram_lm.held_out_scores(documents(spark, rows)).collect()}
+    rows += [(400, None), (401, "unseen words only"), (402, "THE\tthe"), (403, rows[3][1]), (403, "w1 " * 2000)]
+    found = ngram_lm.held_out_scores(documents(spark, rows), order=order).collect()
+    assert len(found) == len(rows)
 
     def tokens(text):
         return [*(text or "").encode().lower().split(), "end"]
 
+    def grams(text, size):
+        padded = ["start"] * (size - 1) + text
+        return [tuple(padded[at : at + size]) for at in range(len(text))]
+
     held = {at: zlib.crc32(str(at).encode()) % 5 == 1 for at, _ in rows}
     train = [tokens(text) for at, text in rows if not held[at]]
     single = collections.Counter(itertools.chain(*train))
-    pairs = collections.Counter(pair for text in train for pair in zip(["start", *text[:-1]], text, strict=True))
     total, size = sum(single.values()), len(single)
-
-    def cuts(counts):
-        return [0, *ngram_lm.discounts([sum(value == at for value in counts) for at in (1, 2, 3, 4)])]
-
-    second = collections.Counter(word for _, word in pairs)
-    cut, low_cut = cuts(pairs.values()), cuts(second.values())
-    contexts = collections.defaultdict(lambda: [0, 0, 0, 0])
-    for (before, _), count in pairs.items():
-        contexts[before][0] += count
-        contexts[before][min(count, 3)] += 1
-    rest = sum(low_cut[min(count, 3)] for count in second.values()) / len(pairs)
-
-    def lower(word):
-        count = second.get(word, 0)
-        return (count - low_cut[min(count, 3)] if count else 0) / len(pairs) + rest / (size + 1)
-
-    def chance_of(before, word):
-        if before not in contexts:
-            return lower(word)
-        every, *n = contexts[before]
-        count = pairs.get((before, word), 0)
-        kept = sum(cut[at + 1] * n[at] for at in range(3)) / every
-        return (count - cut[min(count, 3)] if count else 0) / every + kept * lower(word)
-
-    assert sum(chance_of("start", word) for word in single) == pytest.approx(1 - rest / (size + 1) * sum(
-        cut[at + 1] * contexts["start"][at + 1] for at in range(3)) / contexts["start"][0])
+    counts = {order: collections.Counter(gram for text in train for gram in grams(text, order))}
+    for at in range(order - 1, 0, -1):
+        counts[at] = collections.Counter(gram[1:] for gram in counts[at + 1])
+    cut, contexts = {}, {}
+    for at, table in counts.items():
+        cut[at] = [0, *ngram_lm.discounts([sum(value == n for value in table.values()) for n in (1, 2, 3, 4)])]
+        contexts[at] = collections.defaultdict(lambda: [0, 0, 0, 0])
+        for gram, count in table.items():
+            contexts[at][gram[:-1]][0] += count
+            contexts[at][gram[:-1]][min(count, 3)] += 1
+
+    def chance_of(gram):
+        at = len(gram)
+        lower = chance_of(gram[1:]) if at > 1 else 1 / (size + 1)
+        if gram[:-1] not in contexts[at]:
+            return lower
+        every, *n = contexts[at][gram[:-1]]
+        count = counts[at].get(gram, 0)
+        kept = sum(cut[at][k + 1] * n[k] for k in range(3)) / every
+        return (count - cut[at][min(count, 3)] if count else 0) / every + kept * lower
+
+    for context in [("start",) * (order - 1), (b"the",) * (order - 1), (b"w1",) * (order - 1)]:
+        assert sum(chance_of((*context, word)) for word in [*single, "unknown"]) == pytest.approx(1)
+    texts = collections.defaultdict(list)
     for at, text in rows:
-        mine, row = tokens(text), found[at]
-        score = sum(math.log10(chance_of(a, b)) for a, b in zip(["start", *mine[:-1]], mine, strict=True))
+        mine = tokens(text)
+        score = sum(math.log10(chance_of(gram)) for gram in grams(mine, order))
         base = sum(math.log10((single.get(word, 0) + 0.5) / (total + 0.5 * (size + 1))) for word in mine)
-        assert (row.held_out, row.n_tokens, row.train_tokens) == (held[at], len(mine), total)
-        assert row.n_known == sum(word in single for word in mine)
-        assert row.score == pytest.approx(score, rel=1e-5) and row.base_score == pytest.approx(base)
+        texts[at].append((len(mine), sum(word in single for word in mine), base, score))
+    for row in found:
+        assert (row.held_out, row.train_tokens) == (held[row.doc_id], total)
+        mine = (row.n_tokens, row.n_known, row.base_score, row.score)
+        assert any(mine == pytest.approx(other, rel=1e-5) for other in texts[row.doc_id])
 
 
 def test_language_model_without_training(spark):

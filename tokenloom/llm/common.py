@@ -34,6 +34,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def mixed(value: np.ndarray) -> np.ndarray:
+    """A well-spread 64-bit hash of 64-bit numbers; no two numbers share one."""
+    with np.errstate(over="ignore"):
+        value = (value ^ (value >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        value = (value ^ (value >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return value ^ (value >> np.uint64(31))
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(or_empty(F.col(doc_id).cast("string"))), F.lit(modulus))

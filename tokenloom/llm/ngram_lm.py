@@ -1,17 +1,23 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted arrays.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark and scored from memory-mapped sorted arrays.
 
 Words are hashed to 64 bits; the sorted hashes of a shard (a range of the hash space) are one array, and a word's id is
-its place in all of them. Per word the model stores its count, its lower-order probability and its back-off weight;
-per bigram the sorted pair of ids and the log probability. Shards are files below the cluster's shared folder, written
-by the tasks that counted them under a name of the attempt, and named to the readers by the rows those tasks return.
-Workers map the files into memory and look up the distinct, sorted keys of a batch.
+its place in all of them. N-grams of the highest order are counted as they occur, those of each lower order by how many
+distinct words precede them, so each order is counted from the distinct n-grams of the one above. Per order the model
+stores sorted hashes of its n-grams with their log probabilities, and sorted hashes of their contexts with the log
+weights of the lower order. Shards are files below the cluster's shared folder, written by the tasks that counted them
+under a name of the attempt, and named to the readers by the rows those tasks return. Workers map the files into memory
+and look up the distinct, sorted n-grams of a batch.
 
-Tasks aggregate before anything is shuffled, and shuffle sorted arrays rather than rows. Contexts that may hold more
-than a shard's share of the tokens (there are at most as many as shards) are spread by their following word instead.
+Tasks aggregate before anything is shuffled, and shuffle sorted, compressed arrays rather than rows. The number of shards
+follows from the bytes of the training texts, so that a shard's size does not grow with them. N-grams lie in the shard
+of their context. A context that may hold more than a shard's share consists of words that do; n-grams of such contexts
+are spread by all their words, and the statistics of the contexts are summed in a shuffle of their own.
+
+Counts are exact. Hashes of up to two words differ for different n-grams; longer ones may meet in one of 2**64 hashes.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased; every text ends in an end token, which is counted,
-and begins with a start mark, which is a context only. A null text is empty: its end token is all it has. An unseen word
-gets the unknown share of the lower order. An empty training set gives every token the uniform probability 1.
+and begins with start marks, which occur in contexts only. A null text is empty: its end token is all it has. An unseen
+word gets the unknown share of the lowest order. An empty training set gives every token the uniform probability 1.
 """
 
 from __future__ import annotations
@@ -24,26 +30,34 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import or_empty, remainder, stored
+from tokenloom.llm.common import mixed, or_empty, remainder, stored
 from tokenloom.session import shared_folder
 
 MODULUS, HELD_OUT = 5, 1
+ORDER = 3
 _START, _END = b" start", b" end"
 _BATCH_TOKENS = 1_000_000
+_SHARD_BYTES = 16_000_000  # of training text per shard
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def save(folder: str, array: np.ndarray) -> str:
     """Write an array's bytes to a file of its own; returns the path."""
+    return _write(folder, np.ascontiguousarray(array).tobytes())
+
+
+def _write(folder: str, data: bytes) -> str:
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     name = f"{base}/{uuid.uuid4().hex}"
     with store.open_output_stream(name) as out:
-        out.write(np.ascontiguousarray(array).tobytes())
+        out.write(data)
     return f"{folder}/{name.rsplit('/', 1)[1]}"
 
 
@@ -56,26 +70,34 @@ def load(path: str, kind: str) -> np.ndarray:
         return np.frombuffer(file.read(), dtype=kind)
 
 
+def _packed(array: np.ndarray) -> bytes:
+    """An array's bytes, compressed, behind their number."""
+    data = np.ascontiguousarray(array).tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(data[8:], size, asbytes=True), kind) if size else np.zeros(0, kind)
+
+
 @dataclass
 class Shards:
-    """Arrays of one kind, one file per shard; ``starts`` are the first ids (or keys) of the shards and the end."""
+    """Arrays of one kind, one file per shard; ``starts`` are the first ids of the shards and the end."""
 
     kind: str
     paths: list[str | None] = field(default_factory=list)
     starts: np.ndarray | None = None
 
-    def parts(self, ordered: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
-        cuts = np.searchsorted(ordered, self.starts)
-        for at, path in enumerate(self.paths):
-            if path is not None and cuts[at] < cuts[at + 1]:
-                yield at, slice(cuts[at], cuts[at + 1]), load(path, self.kind)
-
     def take(self, ids: np.ndarray) -> np.ndarray:
         """Entries by id; ids need no order."""
         distinct, back = np.unique(ids, return_inverse=True)
         found = np.zeros(len(distinct), self.kind)
-        for at, where, values in self.parts(distinct):
-            found[where] = values[distinct[where] - self.starts[at]]
+        cuts = np.searchsorted(distinct, self.starts)
+        for at, path in enumerate(self.paths):
+            where = slice(cuts[at], cuts[at + 1])
+            if path is not None and cuts[at] < cuts[at + 1]:
+                found[where] = load(path, self.kind)[distinct[where] - self.starts[at]]
         return found[back]
 
 
@@ -85,24 +107,38 @@ def _search(keys: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place, (keys[place] == ordered) if len(keys) else np.zeros(len(ordered), bool)
 
 
+@dataclass
+class Table:
+    """Values (f4) of sorted hashes, shard by shard."""
+
+    keys: dict[int, str] = field(default_factory=dict)
+    values: dict[int, str] = field(default_factory=dict)
+
+    def find(self, shards: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, NaN where it is not stored."""
+        order = np.lexsort((keys, shards))
+        shards, found = shards[order], np.full(len(keys), np.nan)
+        cuts = np.flatnonzero(np.diff(shards, prepend=-1, append=-1)) if len(shards) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = int(shards[a])
+            if at in self.keys:
+                place, known = _search(load(self.keys[at], "u8"), keys[order[a:b]])
+                found[order[a:b][known]] = load(self.values[at], "f4")[place[known]]
+        return found
+
+
 @dataclass
 class Model:
+    order: int
     bits: int
     words: Shards  # sorted hashes
     firsts: np.ndarray  # first id of each shard, and their number at the end
     counts: Shards
     tokens: int
-    texts: int
-    hot: np.ndarray  # sorted ids of the contexts that are spread by the following word
-    lower: Shards | None = None
-    backoff: Shards | None = None
-    hot_backoff: np.ndarray | None = None
-    pairs: Shards | None = None
-    pair_scores: list[str | None] | None = None
-    turned: Shards | None = None
-    turned_scores: list[str | None] | None = None
+    hot: np.ndarray  # sorted ids of the words of which contexts may be too large for a shard
+    grams: dict[int, Table] = field(default_factory=dict)  # by order
+    contexts: dict[int, Table] = field(default_factory=dict)  # by order of the n-grams they begin
     unknown: float = 0.0
-    discounts: tuple | None = None  # of pairs, of the lower order, and the number of distinct pairs
 
     @property
     def size(self) -> int:
@@ -120,6 +156,44 @@ class Model:
                 found[where] = np.where(known, self.firsts[at] + place, self.size + 1)
         return found
 
+    def places(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Shard of each n-gram, given by its columns of ids, and shard of its context.
+
+        The upper half of the shard numbers is for contexts that are spread.
+        """
+        before = _hashed(columns[:-1])
+        spread = np.ones(len(columns[-1]), bool)
+        for column in columns[:-1]:
+            place = np.minimum(np.searchsorted(self.hot, column), len(self.hot) - 1)
+            spread &= self.hot[place] == column
+        shift, half = np.uint64(64 - self.bits), spread.astype(np.int64) << self.bits
+        of_context = half + (before >> shift).astype(np.int64)
+        return np.where(spread, half + (_hashed(columns) >> shift).astype(np.int64), of_context), of_context
+
+
+def _hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of the words of each n-gram; of up to two words (32 bits each) no two are equal."""
+    if not columns:
+        return np.zeros(1, np.uint64)
+    first, *rest = (column.astype(np.uint64) for column in columns)
+    if not rest:
+        return mixed(first)
+    value = mixed(first << np.uint64(32) | rest[0])
+    for column in rest[1:]:
+        with np.errstate(over="ignore"):
+            value = mixed(value + (column + np.uint64(1)) * _PRIME)
+    return value
+
+
+def _grams(ids: np.ndarray, start: int, order: int) -> list[np.ndarray]:
+    """Columns of ids, oldest first, of the n-gram that ends in each token; ``ids`` holds one start mark per text."""
+    at = np.flatnonzero(ids != start)
+    columns = [ids[at]]
+    for back in range(1, order):
+        before = ids[np.maximum(at - back, 0)]
+        columns.append(np.where(columns[-1] == start, start, before) if back > 1 else before)
+    return [column.astype(np.uint32) for column in columns[::-1]]
+
 
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
@@ -168,28 +242,6 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
         yield made
 
 
-def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> list[tuple]:
-    """Rows (kind, shard, keys, counts) of sorted keys whose ``shards`` ascend."""
-    cuts = np.flatnonzero(np.diff(shards, prepend=-1, append=-1))
-    return [
-        (kind, int(shards[a]), keys[a:b].astype("u8").tobytes(), counts[a:b].astype("u4").tobytes())
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True)
-    ]
-
-
-_BLOB = "kind int, shard int, keys binary, counts binary"
-
-
-def _merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of all blobs of a shard, with summed counts."""
-    keys = np.concatenate([np.frombuffer(blob, "u8") for blob in frame["keys"]])
-    counts = np.concatenate([np.frombuffer(blob, "u4") for blob in frame["counts"]])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
-    return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
-
-
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == at).sum()) for at in (1, 2, 3, 4)]
 
@@ -207,225 +259,263 @@ def discounts(n: list[int]) -> np.ndarray:
 def _discounted(counts: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return cut[np.minimum(counts, 3).astype(np.int64) - 1]
 
+_BLOB = "shard int, keys binary, counts binary"
+_BLOB_COLUMNS = ["shard", "keys", "counts"]
+
+
+def _blobs(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Rows (shard, keys, counts) of entries whose ``shards`` ascend; entries are along the last axis."""
+    cuts = np.flatnonzero(np.diff(shards, prepend=-1, append=-1)) if len(shards) else []
+    return [(int(shards[a]), _packed(keys[..., a:b]), _packed(counts[..., a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams in order, with their summed counts (each counts once if none are given)."""
+    pairs = [columns[at].astype(np.uint64) << np.uint64(32) | columns[at + 1] for at in range(0, len(columns) - 1, 2)]
+    pairs += [columns[-1]] if len(columns) % 2 else []
+    order = np.lexsort(pairs[::-1]) if len(pairs) > 1 else np.argsort(pairs[0], kind="stable")
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for pair in pairs:
+        ordered = pair[order]
+        fresh[1:] |= ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(fresh)
+    if counts is None:
+        sums = np.diff(first, append=len(order))
+    else:
+        sums = np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    chosen = order[first]
+    return [column[chosen] for column in columns], sums
+
+
+def _gram_blobs(model: Model, columns: list[np.ndarray], counts: np.ndarray) -> pd.DataFrame:
+    shards, _ = model.places(columns)
+    order = np.argsort(shards, kind="stable")
+    keys = np.stack([column[order] for column in columns]).astype("u4")
+    return pd.DataFrame(_blobs(shards[order], keys, counts[order].astype("u8")), columns=_BLOB_COLUMNS)
 
-def train(training: DataFrame, *, bits: int | None = None) -> Model | None:
-    """Count and smooth the model of ``training`` (text). None if it has no rows."""
+
+def _kinds(counts: np.ndarray, groups: np.ndarray, size: int) -> list[np.ndarray]:
+    """Per group, its total and how many of its counts are 1, 2, and 3 or more."""
+    level = np.minimum(counts, 3)
+    total = np.bincount(groups, weights=counts, minlength=size).astype(np.int64)
+    return [total, *(np.bincount(groups[level == at], minlength=size) for at in (1, 2, 3))]
+
+
+_WORD_SCHEMA = "shard int, n bigint, total bigint, words string, counts string, hot array<bigint>"
+_GRAM_SCHEMA = "shard int, n bigint, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, many bigint, keys string, counts string"
+
+
+def train(training: DataFrame, *, order: int = ORDER, bits: int | None = None) -> Model | None:
+    """Count and smooth the model of ``training`` (text), n-grams of up to ``order`` words. None if it has no rows.
+
+    There are 2**bits shards; by default one for every ``_SHARD_BYTES`` of text, and as many as shuffle partitions.
+    """
+    if order < 2:
+        raise ValueError("the order must be at least 2")
     spark = training.sparkSession
-    bits = bits or int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()
+    texts = training.select(F.lit(0).alias("key"), or_empty("text").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0]
+    if size is None:
+        return None
+    if bits is None:
+        bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length(), (size // _SHARD_BYTES).bit_length())
     shards = 1 << bits
+    # a word takes two bytes at least, so no more than ``shards`` words are hot
+    hot_from = max(1, size // (2 * shards))
     folder = f"{shared_folder(spark).rstrip('/')}/tokenloom/lm-{uuid.uuid4().hex}"
-    texts = training.select(F.lit(0).alias("key"), or_empty("text").alias("text"))
 
     def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for hashes, flat, _, rows in _batches(frames):
+        for hashes, flat, _, _ in _batches(frames):
             counts = np.bincount(flat[flat >= 0], minlength=len(hashes))
-            made = _blobs(0, hashes, counts, (hashes >> np.uint64(64 - bits)).astype(np.int64))
-            yield pd.DataFrame(made + [(1, -1, b"", np.array([len(rows)], "u4").tobytes())], columns=["kind", "shard", "keys", "counts"])
+            yield pd.DataFrame(_blobs((hashes >> np.uint64(64 - bits)).astype(np.int64), hashes, counts.astype("u8")), columns=_BLOB_COLUMNS)
 
     def merge_words(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(frame["shard"].iloc[0])
-        if shard < 0:
-            total = sum(int(np.frombuffer(blob, "u4")[0]) for blob in frame["counts"])
-            return pd.DataFrame([(shard, 0, total, "", "", [], [])], columns=_WORD_COLUMNS)
-        keys, counts = _merged(frame)
-        top = np.argsort(-counts, kind="stable")[:shards]
-        row = (shard, len(keys), int(counts.sum()), save(folder, keys), save(folder, counts.astype("i8")), top.tolist(), counts[top].tolist())
-        return pd.DataFrame([row], columns=_WORD_COLUMNS)
+        keys = np.concatenate([_unpacked(blob, "u8") for blob in frame["keys"]])
+        (keys,), counts = _distinct([keys], np.concatenate([_unpacked(blob, "u8") for blob in frame["counts"]]))
+        row = (
+            int(frame["shard"].iloc[0]), len(keys), int(counts.sum()), save(folder, keys), save(folder, counts.astype("i8")),
+            np.flatnonzero(counts >= hot_from).tolist(),
+        )
+        return pd.DataFrame([row], columns=["shard", "n", "total", "words", "counts", "hot"])
 
     counted = texts.mapInPandas(count_words, _BLOB).groupBy("shard").applyInPandas(merge_words, _WORD_SCHEMA)
     found = {row.shard: row for row in stored(counted, "lm-words").collect()}
-    if not found:
-        return None
-    number_of_texts = found.pop(-1).total
     sizes = [found[at].n if at in found else 0 for at in range(shards)]
     firsts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    tokens = sum(row.total for row in found.values())
     if firsts[-1] >= (1 << 32) - 2:
         raise ValueError("a model holds fewer than 2**32 words")
-    hot = [
-        int(firsts[row.shard] + place)
-        for row in found.values()
-        for place, count in zip(row.top, row.top_counts, strict=True)
-        if count * shards >= tokens
-    ]
+    hot = [int(firsts[row.shard] + place) for row in found.values() for place in row.hot]
     model = Model(
+        order,
         bits,
         Shards("u8", [found[at].words if at in found else None for at in range(shards)]),
         firsts,
         Shards("i8", [found[at].counts if at in found else None for at in range(shards)], firsts),
-        tokens,
-        number_of_texts,
+        sum(row.total for row in found.values()),
         np.array(sorted([*hot, firsts[-1]]), np.int64),
     )
-    _count_pairs(texts, model, folder)
+
+    def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for hashes, flat, _, _ in _batches(frames):
+            ids = np.append(model.ids(hashes), model.size)[flat]
+            yield _gram_blobs(model, *_distinct(_grams(ids, model.size, order)))
+
+    listed = {order: _merge(texts.mapInPandas(count_grams, _BLOB), folder, order)}
+    for at in range(order - 1, 0, -1):
+        listed[at] = _merge(_shorter(listed[at + 1], model, at + 1), folder, at)
+    for at in range(1, order + 1):
+        _smooth(model, listed[at], at, folder)
     return model
 
 
-_WORD_COLUMNS = ["shard", "n", "total", "words", "counts", "top", "top_counts"]
-_WORD_SCHEMA = "shard int, n bigint, total bigint, words string, counts string, top array<bigint>, top_counts array<bigint>"
-_PAIR_COLUMNS = ["kind", "shard", "n", "counts_of_counts", "keys_path", "counts_path", "word", "n1", "n2", "n3", "following"]
-_PAIR_SCHEMA = (
-    "kind int, shard int, n bigint, counts_of_counts array<bigint>, keys_path string, counts_path string,"
-    " word array<bigint>, n1 array<bigint>, n2 array<bigint>, n3 array<bigint>,"
-    " following array<struct<shard: int, ids: binary, counts: binary>>"
-)
+def _merge(blobs: DataFrame, folder: str, order: int) -> DataFrame:
+    """One row per shard of the distinct n-grams of an order: their number, total, counts of counts, and files."""
 
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpacked(blob, "u4").reshape(order, -1) for blob in frame["keys"]]
+        columns = [np.concatenate([part[at] for part in parts]) for at in range(order)]
+        del parts
+        columns, counts = _distinct(columns, np.concatenate([_unpacked(blob, "u8") for blob in frame["counts"]]))
+        row = (
+            int(frame["shard"].iloc[0]), len(counts), int(counts.sum()), *_counts_of_counts(counts), int((counts > 2).sum()),
+            _write(folder, _packed(np.stack(columns).astype("u4"))), _write(folder, _packed(counts.astype("u8"))),
+        )
+        return pd.DataFrame([row], columns=["shard", "n", "total", "n1", "n2", "n3", "n4", "many", "keys", "counts"])
 
-def _kinds(counts: np.ndarray, groups: np.ndarray, size: int) -> list[np.ndarray]:
-    """Per group, how many of its counts are 1, 2, and 3 or more."""
-    level = np.minimum(counts, 3)
-    return [np.bincount(groups[level == at], minlength=size) for at in (1, 2, 3)]
+    return stored(blobs.groupBy("shard").applyInPandas(merge, _GRAM_SCHEMA), f"lm-grams-{order}")
 
 
-def _count_pairs(texts: DataFrame, model: Model, folder: str) -> None:
-    firsts, hot, start = model.firsts, model.hot, model.size
+def _read(row, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    keys, counts = (_unpacked(load(path, "u1").tobytes(), kind) for path, kind in ((row.keys, "u4"), (row.counts, "u8")))
+    return list(keys.reshape(order, -1)), counts.astype(np.int64)
 
-    def shard_of(ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(firsts, ids, side="right") - 1
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for hashes, flat, _, _ in _batches(frames):
-            ids = np.append(model.ids(hashes), start)[flat]
-            before, after = ids[:-1], ids[1:]
-            kept = after != start
-            before, after = before[kept].astype(np.uint64), after[kept].astype(np.uint64)
-            spread = np.isin(before, hot)
-            rows = []
-            for kind, high, low in ((0, before[~spread], after[~spread]), (1, after[spread], before[spread])):
-                keys, counts = np.unique(high << np.uint64(32) | low, return_counts=True)
-                rows += _blobs(kind, keys, counts, shard_of((keys >> np.uint64(32)).astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["kind", "shard", "keys", "counts"])
+def _spread_rows(listed: DataFrame) -> DataFrame:
+    """The files' names over as many tasks as there are shards."""
+    return listed.select("shard", "keys", "counts").repartition(max(listed.count(), 1), "shard")
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        kind, shard = int(frame["kind"].iloc[0]), int(frame["shard"].iloc[0])
-        keys, counts = _merged(frame)
-        high, low = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        word, n = np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3
-        if kind:  # parts of the spread contexts' statistics
-            word, groups = np.unique(low, return_inverse=True)
-            n = _kinds(counts, groups, len(word))
-        ids, distinct = np.unique(high if kind else low, return_counts=True)
-        following = [
-            {"shard": at, "ids": keys_, "counts": counts_}
-            for _, at, keys_, counts_ in _blobs(0, ids, distinct, shard_of(ids))
-        ]
-        row = (kind, shard, len(keys), _counts_of_counts(counts), save(folder, keys), save(folder, counts.astype("u4")), word, *n, following)
-        return pd.DataFrame([row], columns=_PAIR_COLUMNS)
-
-    counted = texts.mapInPandas(count, _BLOB).groupBy("kind", "shard").applyInPandas(merge, _PAIR_SCHEMA)
-    counted = stored(counted, "lm-pairs")
-    rows = counted.drop("following").collect()
-    cut = discounts([sum(row.counts_of_counts[at] for row in rows) for at in range(4)])
-    distinct_pairs = sum(row.n for row in rows)
-
-    # --- lower order: in how many distinct pairs each word comes second
-
-    def merge_following(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(frame["shard"].iloc[0])
-        dense = np.zeros(int(firsts[shard + 1] - firsts[shard]), np.int64)
-        for ids, counts in zip(frame["ids"], frame["counts"], strict=True):
-            dense[np.frombuffer(ids, "u8").astype(np.int64) - firsts[shard]] += np.frombuffer(counts, "u4")
-        return pd.DataFrame(
-            [(shard, save(folder, dense.astype("i8")), _counts_of_counts(dense), int((dense > 2).sum()))],
-            columns=["shard", "path", "counts_of_counts", "many"],
-        )
 
-    following = counted.select(F.explode("following").alias("f")).select("f.*")
-    following = following.groupBy("shard").applyInPandas(
-        merge_following, "shard int, path string, counts_of_counts array<bigint>, many bigint"
-    )
-    seconds = {row["shard"]: row for row in stored(following, "lm-following").collect()}
-    n_following = [sum(row.counts_of_counts[at] for row in seconds.values()) for at in range(4)]
-    low_cut = discounts(n_following)
-    many = sum(row.many for row in seconds.values())
-    kept_back = float(low_cut @ [n_following[0], n_following[1], many])
-    model.unknown = kept_back / distinct_pairs / (model.size + 1)
-    spread_n: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(3))
-    for row in rows:
-        for word, *n in zip(row.word, row.n1, row.n2, row.n3, strict=True):
-            spread_n[word] += n
-    hot_counts = model.counts.take(hot[hot < start])
-    totals = dict(zip(hot[hot < start].tolist(), hot_counts.tolist(), strict=True)) | {start: model.texts}
-    model.hot_backoff = np.array([cut @ spread_n[word] / max(totals[word], 1) for word in hot.tolist()])
-    model.lower = Shards("i8", [seconds[at].path if at in seconds else None for at in range(1 << model.bits)], firsts)
-    unknown = model.unknown
-
-    def lower_of(ids: np.ndarray) -> np.ndarray:
-        pairs = model.lower.take(ids)
-        seen = pairs > 0
-        found = np.full(len(ids), unknown)
-        found[seen] += (pairs[seen] - _discounted(pairs[seen], low_cut)) / distinct_pairs
-        return found
+def _shorter(listed: DataFrame, model: Model, order: int) -> DataFrame:
+    """N-grams without their first word, counted once for each distinct n-gram."""
+
+    def shorten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in (row for frame in frames for row in frame.itertuples(index=False)):
+            columns, _ = _read(row, order)
+            yield _gram_blobs(model, *_distinct(columns[1:]))
+
+    return _spread_rows(listed).mapInPandas(shorten, _BLOB)
+
+
+def _by_context(columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the contexts, an n-gram of each, each n-gram's context as a place there, and `_kinds`."""
+    keys, first, groups = np.unique(_hashed(columns[:-1]), return_index=True, return_inverse=True)
+    return keys, first, groups, np.stack(_kinds(counts, groups, len(keys)))
+
+
+def _smooth(model: Model, listed: DataFrame, order: int, folder: str) -> None:
+    """Add the tables of an order to the model; those of the lower orders are there."""
+    spark = listed.sparkSession
+    rows = listed.collect()
+    cut = discounts([sum(row[f"n{at}"] for row in rows) for at in (1, 2, 3, 4)])
+    half = 1 << model.bits
+    statistics: dict[int, tuple[str, str]] = {}
+    if order == 1:
+        total = sum(row.total for row in rows)
+        weight = float(cut @ [sum(row[name] for row in rows) for name in ("n1", "n2", "many")]) / total
+        model.unknown = weight / (model.size + 1)
+    else:
+
+        def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for row in (row for frame in frames for row in frame.itertuples(index=False)):
+                columns, counts = _read(row, order)
+                keys, first, _, kinds = _by_context(columns, counts)
+                _, places = model.places([column[first] for column in columns])
+                by_shard = np.argsort(places, kind="stable")
+                yield pd.DataFrame(_blobs(places[by_shard], keys[by_shard], kinds[:, by_shard].astype("i8")), columns=_BLOB_COLUMNS)
+
+        def summed(frame: pd.DataFrame) -> pd.DataFrame:
+            keys = np.concatenate([_unpacked(blob, "u8") for blob in frame["keys"]])
+            kinds = np.concatenate([_unpacked(blob, "i8").reshape(4, -1) for blob in frame["counts"]], axis=1)
+            keys, groups = np.unique(keys, return_inverse=True)
+            every = np.stack([np.bincount(groups, weights=kind, minlength=len(keys)) for kind in kinds]).astype("i8")
+            weights = np.log10(cut @ every[1:] / every[0]).astype("f4")
+            row = (int(frame["shard"].iloc[0]), save(folder, keys), save(folder, every[0]), save(folder, weights))
+            return pd.DataFrame([row], columns=["shard", "keys", "totals", "weights"])
+
+        # contexts of the lower half lie in one shard each, together with all their n-grams
+        spread = listed.where(F.col("shard") >= half)
+        spread = _spread_rows(spread).mapInPandas(partial, _BLOB).groupBy("shard")
+        spread = stored(spread.applyInPandas(summed, "shard int, keys string, totals string, weights string"), f"lm-spread-{order}").collect()
+        statistics = {row.shard: (row.keys, row.totals) for row in spread}
+        model.contexts[order] = Table({row.shard: row.keys for row in spread}, {row.shard: row.weights for row in spread})
+
+    def of_spread(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals and weights of n-grams whose contexts are spread."""
+        if order == 1:
+            return np.full(len(columns[0]), total), np.full(len(columns[0]), weight)
+        keys, first, groups = np.unique(_hashed(columns[:-1]), return_index=True, return_inverse=True)
+        _, places = model.places([column[first] for column in columns])
+        totals = np.zeros(len(keys))
+        for at in np.unique(places).tolist():
+            stored_keys, stored_totals = statistics[at]
+            place, _ = _search(load(stored_keys, "u8"), keys[places == at])
+            totals[places == at] = load(stored_totals, "i8")[place]
+        return totals[groups], np.power(10.0, model.contexts[order].find(places, keys))[groups]
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
-            keys, counts = load(row.keys_path, "u8"), load(row.counts_path, "u4").astype(np.int64)
-            high, low = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            path = ""
-            if row.kind:
-                context = np.searchsorted(hot, low)
-                total, weight = hot_totals[context], hot_weights[context]
+            columns, counts = _read(row, order)
+            contexts = weights = ""
+            if row.shard >= half:
+                totals, share = of_spread(columns)
+            else:
+                keys, _, groups, kinds = _by_context(columns, counts)
+                by_context = cut @ kinds[1:] / kinds[0]
+                totals, share = kinds[0][groups], by_context[groups]
+                contexts, weights = save(folder, keys), save(folder, np.log10(by_context).astype("f4"))
+            if order == 1:
+                below = np.full(len(counts), 1.0 / (model.size + 1))
             else:
-                size = int(firsts[row.shard + 1] - firsts[row.shard])
-                groups = high - firsts[row.shard]
-                sums = np.bincount(groups, weights=counts, minlength=size)
-                weights = np.where(sums > 0, cut @ np.array(_kinds(counts, groups, size)) / np.maximum(sums, 1), 1.0)
-                total, weight = sums[groups], weights[groups]
-                path = save(folder, weights.astype("f4"))
-            second = high if row.kind else low
-            chance = (counts - _discounted(counts, cut)) / total + weight * lower_of(second)
-            yield pd.DataFrame([(row.kind, row.shard, save(folder, np.log10(chance).astype("f4")), path)], columns=["kind", "shard", "scores", "backoff"])
-
-    hot_totals = np.array([totals[word] for word in hot.tolist()], np.float64)
-    hot_weights = model.hot_backoff
-    listed = counted.select("kind", "shard", "keys_path", "counts_path").repartition(len(rows), "kind", "shard")
-    finished = listed.mapInPandas(finish, "kind int, shard int, scores string, backoff string")
-    made = {(row.kind, row.shard): row for row in stored(finished, "lm-scores").collect()}
-    keys = {(row.kind, row.shard): row.keys_path for row in rows}
-    every = range(1 << model.bits)
-
-    def path(kind: int, at: int, name: str) -> str | None:
-        return getattr(made[kind, at], name) if (kind, at) in made else None
-
-    edges = firsts.astype(np.uint64) << np.uint64(32)
-    model.pairs = Shards("u8", [keys.get((0, at)) for at in every], edges)
-    model.turned = Shards("u8", [keys.get((1, at)) for at in every], edges)
-    model.pair_scores, model.turned_scores = [path(0, at, "scores") for at in every], [path(1, at, "scores") for at in every]
-    model.backoff = Shards("f4", [path(0, at, "backoff") for at in every], firsts)
-    model.discounts = (cut, low_cut, distinct_pairs)
-
-
-def _pair_scores(model: Model, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Log10 probability of each distinct pair of ids."""
-    cut, low_cut, distinct_pairs = model.discounts
-    spread = np.isin(before, model.hot)
-    found = np.full(len(before), np.nan)
-    for where, high, low, table, scores in (
-        (~spread, before, after, model.pairs, model.pair_scores),
-        (spread, after, before, model.turned, model.turned_scores),
-    ):
-        keys = high[where].astype(np.uint64) << np.uint64(32) | low[where].astype(np.uint64)
-        order = np.argsort(keys)
-        values = np.full(len(keys), np.nan)
-        for at, part, stored_keys in table.parts(keys[order]):
-            place, known = _search(stored_keys, keys[order[part]])
-            got = load(scores[at], "f4")[place[known]] if known.any() else np.zeros(0)
-            values[order[part][known]] = got
-        found[where] = values
-    unseen = np.isnan(found)
-    if unseen.any():
-        second, first = after[unseen], before[unseen]
-        pairs = np.where(second < model.size, model.lower.take(np.minimum(second, model.size)), 0)
-        lower = np.full(len(second), model.unknown)
-        lower[pairs > 0] += (pairs[pairs > 0] - _discounted(pairs[pairs > 0], low_cut)) / distinct_pairs
-        weight = np.ones(len(first))
-        inside = first < model.size
-        weight[inside] = model.backoff.take(first[inside])
-        weight[weight == 0] = 1.0  # a word that is no context anywhere
-        place = np.minimum(np.searchsorted(model.hot, first), len(model.hot) - 1)
-        is_hot = model.hot[place] == first
-        weight[is_hot] = model.hot_backoff[place[is_hot]]
-        found[unseen] = np.log10(weight * lower)
+                shorter = columns[1:]
+                below = np.power(10.0, model.grams[order - 1].find(model.places(shorter)[0], _hashed(shorter)))
+            chance = (counts - _discounted(counts, cut)) / totals + share * below
+            keys = _hashed(columns)
+            by_key = np.argsort(keys)
+            made = (row.shard, save(folder, keys[by_key]), save(folder, np.log10(chance[by_key]).astype("f4")), contexts, weights)
+            yield pd.DataFrame([made], columns=["shard", "keys", "scores", "contexts", "weights"])
+
+    schema = "shard int, keys string, scores string, contexts string, weights string"
+    done = stored(_spread_rows(listed).mapInPandas(finish, schema), f"lm-scores-{order}").collect()
+    model.grams[order] = Table({row.shard: row.keys for row in done}, {row.shard: row.scores for row in done})
+    if order > 1:
+        own = [row for row in done if row.contexts]
+        model.contexts[order].keys.update({row.shard: row.contexts for row in own})
+        model.contexts[order].values.update({row.shard: row.weights for row in own})
+    _remove([path for row in rows for path in (row.keys, row.counts)])
+
+
+def _remove(paths: list[str]) -> None:
+    for path in paths:
+        store, name = fs.FileSystem.from_uri(path)
+        store.delete_file(name)
+
+
+def log_scores(model: Model, columns: list[np.ndarray]) -> np.ndarray:
+    """Log10 probability of the last word of each n-gram (columns of ids, as long as the model's order)."""
+    found, carried = np.zeros(len(columns[-1])), np.zeros(len(columns[-1]))
+    left = np.arange(len(found))
+    for order in range(model.order, 0, -1):
+        part = [column[left] for column in columns[model.order - order :]]
+        shards, of_context = model.places(part)
+        value = model.grams[order].find(shards, _hashed(part))
+        hit = ~np.isnan(value)
+        found[left[hit]] = carried[left[hit]] + value[hit]
+        left = left[~hit]
+        if order > 1 and len(left):
+            weight = model.contexts[order].find(of_context[~hit], _hashed([column[~hit] for column in part[:-1]]))
+            carried[left] += np.where(np.isnan(weight), 0.0, weight)  # a context that was not seen leaves all to the next order
+    found[left] = carried[left] + math.log10(model.unknown)
     return found
 
 
@@ -434,7 +524,7 @@ def score(documents: DataFrame, model: Model | None, *, id_column: str = "doc_id
     schema = f"{id_column} bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = model  # paths, sizes and the few spread contexts; the arrays stay in their files
+        known = model  # paths, sizes and the hot words; the arrays stay in their files
         for hashes, flat, owner, rows in _batches(frames):
             count = len(rows)
             token = flat >= 0
@@ -451,22 +541,22 @@ def score(documents: DataFrame, model: Model | None, *, id_column: str = "doc_id
             base = np.log10((counts + 0.5) / (known.tokens + 0.5 * (known.size + 1)))
             out["n_known"] = np.bincount(owner[token], weights=inside[flat[token]], minlength=count).astype(np.int64)
             out["base_score"] = np.bincount(owner[token], weights=base[flat[token]], minlength=count)
-            ids = np.append(by_word, known.size)[flat]
-            kept = token[1:]
-            pairs = ids[:-1][kept].astype(np.uint64) << np.uint64(32) | ids[1:][kept].astype(np.uint64)
-            distinct, back = np.unique(pairs, return_inverse=True)
-            before, after = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            out["score"] = np.bincount(owner[1:][kept], weights=_pair_scores(known, before, after)[back], minlength=count)
+            columns = _grams(np.append(by_word, known.size)[flat], known.size, known.order)
+            _, first, back = np.unique(_hashed(columns), return_index=True, return_inverse=True)
+            scores = log_scores(known, [column[first] for column in columns])
+            out["score"] = np.bincount(owner[token], weights=scores[back], minlength=count)
             yield out
 
     texts = documents.select(F.col(id_column).cast("string").alias(id_column), or_empty("text").alias("text"))
     return texts.mapInPandas(scored, schema)
 
 
-def held_out_scores(documents: DataFrame, *, modulus: int = MODULUS, held_out: int = HELD_OUT) -> DataFrame:
+def held_out_scores(
+    documents: DataFrame, *, order: int = ORDER, modulus: int = MODULUS, held_out: int = HELD_OUT
+) -> DataFrame:
     """Score all documents with a model of those outside the held-out fold."""
     fold = remainder("doc_id", modulus) == held_out
-    model = train(documents.where(~fold).select("text"))
+    model = train(documents.where(~fold).select("text"), order=order)
     tokens = model.tokens if model else 0
     return score(documents, model).select(
         "doc_id",
