@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import or_empty
+from tokenloom.llm.common import mixed, or_empty
 
 SAMPLES = 2
 SPACE = "▁"
@@ -50,20 +51,12 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _mixed(value: np.ndarray) -> np.ndarray:
-    """A well-spread 64-bit hash of 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        value = (value ^ (value >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        value = (value ^ (value >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return value ^ (value >> np.uint64(31))
-
-
 def _uniform(key: np.ndarray, turn: int, place=0, step=0) -> np.ndarray:
     """Numbers in (0, 1) that depend on the key, the turn, the unit's place in the text and the step in the unit only."""
     with np.errstate(over="ignore"):
         number = (np.asarray(place, np.uint64) << np.uint64(24)) + np.asarray(step, np.uint64)
-        mixed = _mixed(key + (number + np.uint64(turn) * np.uint64(0xD1342543DE82EF95)) * _PRIME)
-    return ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        value = mixed(key + (number + np.uint64(turn) * np.uint64(0xD1342543DE82EF95)) * _PRIME)
+    return ((value >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
 class Vocabulary:
@@ -79,12 +72,11 @@ class Vocabulary:
         weight = 1.0 / (np.maximum(rank, 0) + 2.7)
         self.log_prob = np.log(weight / weight.sum())
         self.byte_log_prob = float(self.log_prob.min())
-        self.surface = [model.id_to_piece(at) for at in range(count)]
-        self.is_bytes = [model.is_byte(at) for at in range(count)]
-        self.known: dict[str, tuple[list[int], bool]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         joined = set()
         for at in range(count):
-            piece = self.surface[at]
+            piece = model.id_to_piece(at)
             if model.is_byte(at):
                 self.bytes[int(piece[3:5], 16)] = at
             elif not (model.is_control(at) or model.is_unknown(at) or model.is_unused(at)):
@@ -100,6 +92,8 @@ class Vocabulary:
         prefixes.update(whole)
         self.keys = np.array(sorted(prefixes), np.uint64)
         self.ids = np.array([prefixes[int(key)] for key in self.keys], np.int64)
+        # where the keys of each value of the leading bits begin
+        self.begins = np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
         alone = "" if "\n" in joined else "\n"
         # no piece reaches over these borders, so the pieces of a text are those of its units
         self.units = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|\n|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -109,37 +103,38 @@ class Vocabulary:
         with np.errstate(over="ignore"):
             return (value + code + np.uint64(1)) * _PRIME
 
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Place in ``keys`` of each value, or a place of another key if it is not there."""
+        last = len(self.keys) - 1
+        place = np.minimum(self.begins[(values >> np.uint64(44)).astype(np.int32)], last)
+        later = np.flatnonzero(self.keys[place] < values)
+        place[later] = np.minimum(np.searchsorted(self.keys, values[later]), last)
+        return place
+
     def split(self, text: str) -> list[str]:
         return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode_units(self, units: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """The model's own pieces of each unit, and whether they decode to it.
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """The model's own pieces of each distinct unit, as the bytes of their ids.
 
-        Units are read off behind a line feed, over which no piece reaches. What was found is kept for later batches,
-        up to ``_KEPT_UNITS`` units.
+        Units are read off behind a line feed, over which no piece reaches. What was found is kept for later batches:
+        units met since the young half was last full, and those of the half before it.
         """
-        known = self.known
-        fresh = [unit for unit in units if unit not in known]
-        if len(known) + len(fresh) > _KEPT_UNITS:
-            known.clear()
-            fresh = units
+        young, old = self.young, self.old
+        missing = [unit for unit in units if unit not in young]
+        fresh = [unit for unit in missing if unit not in old]
+        young.update((unit, old[unit]) for unit in missing if unit in old)
         lead = len(self.processor.encode("\n"))
         made = self.processor.encode(["\n" + unit.replace(SPACE, " ") for unit in fresh], num_threads=1) if fresh else []
-        made = [ids[lead:] for ids in made]
-        known.update(zip(fresh, zip(made, self.decodes(fresh, made), strict=True), strict=True))
-        found = [known[unit] for unit in units]
-        return [ids for ids, _ in found], [same for _, same in found]
-
-    def decodes(self, units: list[str], encoded: list[list[int]]) -> list[bool]:
-        """Whether each unit is what its pieces spell; units with byte pieces are left to the model's decoder."""
-        surface, bytes_ = self.surface, self.is_bytes
-        plain = ["".join(map(surface.__getitem__, ids)) == unit for unit, ids in zip(units, encoded, strict=True)]
-        odd = [at for at, same in enumerate(plain) if not same and any(map(bytes_.__getitem__, encoded[at]))]
-        lead = self.processor.encode("\n")
-        decoded = self.processor.decode([lead + encoded[at] for at in odd]) if odd else []
-        for at, text in zip(odd, decoded, strict=True):
-            plain[at] = text[1:] == units[at].replace(SPACE, " ")
-        return plain
+        young.update((unit, array("i", ids[lead:]).tobytes()) for unit, ids in zip(fresh, made, strict=True))
+        found = [young[unit] for unit in units]
+        if len(young) > _KEPT_UNITS // 2:
+            self.young, self.old = {}, young
+        return found
+
+    def decodes(self, parts: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether the model decodes each text's pieces to that very text."""
+        return [found == text for found, text in zip(self.processor.decode([part.tolist() for part in parts]), texts, strict=True)] if parts else []
 
 
 class Lattice:
@@ -158,7 +153,7 @@ class Lattice:
         while len(at):
             reach += 1
             value = vocabulary._extend(value, codes[at + reach - 1].astype(np.uint64))
-            place = np.minimum(np.searchsorted(vocabulary.keys, value), len(vocabulary.keys) - 1)
+            place = vocabulary.find(value)
             known = vocabulary.keys[place] == value
             ids = np.where(known, vocabulary.ids[place], -1)
             if reach == 1:
@@ -363,7 +358,8 @@ _SCHEMA = f"doc_id bigint, n_chars bigint, ids array<int>, round_trip boolean, s
 def encode_and_sample(documents: DataFrame, *, k: int = SAMPLES, model_path: str | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, n_chars, ids, round_trip, samples) of every whole text.
 
-    ``ids`` is the model's encoding, ``round_trip`` tells whether decoding it gives the text again. The vocabulary file
+    ``ids`` is the model's encoding, ``round_trip`` tells whether it and every sample decode to the text again (a text that
+    holds the space mark does not). The vocabulary file
     is read once and travels with the job. Rows with a null doc_id share one row key.
     """
     with open(model_path or default_model(), "rb") as file:
@@ -398,12 +394,12 @@ def _batch(vocabulary: Vocabulary, ids: pa.Array, texts: list[str], k: int, seed
     units = np.fromiter(map(local.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
     first = np.concatenate([[0], np.cumsum([len(part) for part in split])]).astype(np.int64)
     names = list(local)
-    encoded, faithful = vocabulary.encode_units(names)
-    pieces = [list(chain.from_iterable(map(encoded.__getitem__, units[a:b].tolist()))) for a, b in zip(first[:-1], first[1:], strict=True)]
-    faithful = np.array(faithful, bool)
-    unfaithful = np.concatenate([[0], np.cumsum(~faithful[units])]) if len(units) else np.zeros(len(units) + 1, np.int64)
-    exact = unfaithful[first[1:]] == unfaithful[first[:-1]]
-    keys = _mixed(np.array([xxhash.xxh64_intdigest(str(key).encode(), seed) for key in ids.to_pylist()], np.uint64))
+    encoded = vocabulary.encode_units(names)
+    pieces = [
+        np.frombuffer(b"".join(map(encoded.__getitem__, units[a:b].tolist())), np.int32) for a, b in zip(first[:-1], first[1:], strict=True)
+    ]
+    exact = vocabulary.decodes(pieces, texts)
+    keys = mixed(np.array([xxhash.xxh64_intdigest(str(key).encode(), seed) for key in ids.to_pylist()], np.uint64))
     lattice = Lattice(vocabulary, names)
     arcs, numbers, counts = [], [], []
     for *samples, threshold in sample(lattice, units, first, keys, k):
@@ -412,6 +408,9 @@ def _batch(vocabulary: Vocabulary, ids: pa.Array, texts: list[str], k: int, seed
             arcs.append(_spell(vocabulary, lattice.ids[chosen]))
             inclusion = -np.expm1(-np.exp(min(log_prob - threshold, 50.0))) if np.isfinite(threshold) else 1.0
             numbers.append((log_prob, value, inclusion))
+    owners = np.repeat(np.arange(len(texts)), counts)
+    drawn_exact = np.array(vocabulary.decodes(arcs, [texts[at] for at in owners.tolist()]), bool)
+    exact = np.array(exact, bool) & (np.bincount(owners[~drawn_exact], minlength=len(texts)) == 0)
     table = np.array(numbers).reshape(-1, 3)
     drawn = pa.StructArray.from_arrays(
         [_lists(arcs), *(pa.array(table[:, at]) for at in range(3))], ["ids", "log_prob", "value", "inclusion"]
@@ -421,8 +420,8 @@ def _batch(vocabulary: Vocabulary, ids: pa.Array, texts: list[str], k: int, seed
         [
             ids,
             pa.array([len(text) for text in texts], pa.int64()),
-            _lists([np.array(part, np.int64) for part in pieces]),
-            pa.array([bool(same) and SPACE not in text for same, text in zip(exact, texts, strict=True)], pa.bool_()),
+            _lists(pieces),
+            pa.array(exact, pa.bool_()),
             pa.ListArray.from_arrays(offsets, drawn),
         ],
         ["doc_id", "n_chars", "ids", "round_trip", "samples"],
