@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import mixed, or_empty, remainder, stored
+from tokenloom.llm.common import mixed, or_empty, remainder, short_lived_shuffles, stored
 from tokenloom.session import shared_folder
 
 MODULUS, HELD_OUT = 5, 1
@@ -563,7 +563,8 @@ def held_out_scores(
 ) -> DataFrame:
     """Score all documents with a model of those outside the held-out fold."""
     fold = remainder("doc_id", modulus) == held_out
-    model = train(documents.where(~fold).select("text"), order=order)
+    with short_lived_shuffles(documents.sparkSession):
+        model = train(documents.where(~fold).select("text"), order=order)
     tokens = model.tokens if model else 0
     return score(documents, model).select(
         "doc_id",
