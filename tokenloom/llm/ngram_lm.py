@@ -44,6 +44,7 @@ ORDER = 3
 _START, _END = b" start", b" end"
 _BATCH_TOKENS = 1_000_000
 _SHARD_BYTES = 16_000_000  # of training text per shard
+_WAVES = 4  # in which the highest order is finished, so that what a wave has read can be removed before the next
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,6 +146,7 @@ class Model:
     hot: np.ndarray  # sorted ids of the words of which contexts may be too large for a shard
     grams: dict[int, Table] = field(default_factory=dict)  # by order
     contexts: dict[int, Table] = field(default_factory=dict)  # by order of the n-grams they begin
+    once: dict[int, float] = field(default_factory=dict)  # log weight of contexts of one occurrence, which are not stored
     unknown: float = 0.0
 
     @property
@@ -426,6 +428,7 @@ def _smooth(model: Model, listed: DataFrame, order: int, folder: str) -> None:
     rows = listed.collect()
     cut = discounts([sum(row[f"n{at}"] for row in rows) for at in (1, 2, 3, 4)])
     half = 1 << model.bits
+    model.once[order] = math.log10(cut[0])
     statistics: dict[int, tuple[str, str]] = {}
     if order == 1:
         total = sum(row.total for row in rows)
@@ -480,7 +483,8 @@ def _smooth(model: Model, listed: DataFrame, order: int, folder: str) -> None:
                 keys, _, groups, kinds = _by_context(columns, counts)
                 by_context = cut @ kinds[1:] / kinds[0]
                 totals, share = kinds[0][groups], by_context[groups]
-                contexts, weights = save(folder, keys), save(folder, np.log10(by_context).astype("f4"))
+                kept = kinds[0] > 1
+                contexts, weights = save(folder, keys[kept]), save(folder, np.log10(by_context[kept]).astype("f4"))
             if order == 1:
                 below = np.full(len(counts), 1.0 / (model.size + 1))
             else:
@@ -493,13 +497,16 @@ def _smooth(model: Model, listed: DataFrame, order: int, folder: str) -> None:
             yield pd.DataFrame([made], columns=["shard", "keys", "scores", "contexts", "weights"])
 
     schema = "shard int, keys string, scores string, contexts string, weights string"
-    done = stored(_spread_rows(listed).mapInPandas(finish, schema), f"lm-scores-{order}").collect()
+    waves, done = _WAVES if order == model.order else 1, []
+    for wave in range(waves):
+        part = _spread_rows(listed.where(F.col("shard") % waves == wave))
+        done += stored(part.mapInPandas(finish, schema), f"lm-scores-{order}").collect()
+        _remove([path for row in rows if row.shard % waves == wave for path in (row.keys, row.counts)])
     model.grams[order] = Table({row.shard: row.keys for row in done}, {row.shard: row.scores for row in done})
     if order > 1:
         own = [row for row in done if row.contexts]
         model.contexts[order].keys.update({row.shard: row.contexts for row in own})
         model.contexts[order].values.update({row.shard: row.weights for row in own})
-    _remove([path for row in rows for path in (row.keys, row.counts)])
 
 
 def _remove(paths: list[str]) -> None:
@@ -508,6 +515,19 @@ def _remove(paths: list[str]) -> None:
         store.delete_file(name)
 
 
+def _weights(model: Model, order: int, shards: np.ndarray, context: list[np.ndarray]) -> np.ndarray:
+    """Log weight that each context leaves to the next lower order; a context that was not seen leaves all.
+
+    Contexts of one occurrence all have the same weight and are known by their n-gram of the lower order.
+    """
+    found = model.contexts[order].find(shards, _hashed(context))
+    rare = np.flatnonzero(np.isnan(found))
+    part = [column[rare] for column in context]
+    seen = ~np.isnan(model.grams[order - 1].find(model.places(part)[0], _hashed(part)))
+    found[rare] = np.where(seen, model.once[order], 0.0)
+    return found
+
+
 def log_scores(model: Model, columns: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of the last word of each n-gram (columns of ids, as long as the model's order)."""
     found, carried = np.zeros(len(columns[-1])), np.zeros(len(columns[-1]))
@@ -520,8 +540,7 @@ def log_scores(model: Model, columns: list[np.ndarray]) -> np.ndarray:
         found[left[hit]] = carried[left[hit]] + value[hit]
         left = left[~hit]
         if order > 1 and len(left):
-            weight = model.contexts[order].find(of_context[~hit], _hashed([column[~hit] for column in part[:-1]]))
-            carried[left] += np.where(np.isnan(weight), 0.0, weight)  # a context that was not seen leaves all to the next order
+            carried[left] += _weights(model, order, of_context[~hit], [column[~hit] for column in part[:-1]])
     found[left] = carried[left] + math.log10(model.unknown)
     return found
 
