@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +34,24 @@ def is_word(token: Column | str) -> Column:
     return _col(token).rlike(WORD_TEST)
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """The characters whose full case folding is not their lower case, by the standard's table that ``str.casefold`` holds.
+
+    The capital sigma is among them, as its lower case depends on what follows it.
+    """
+    every = (chr(at) for at in range(sys.maxunicode + 1) if not 0xD800 <= at < 0xE000)
+    return {char: char.casefold() for char in every if char.casefold() != char.lower()} | {"Σ": "σ"}
+
+
 def casefold(text: Column | str) -> Column:
-    """Caseless form: lower case plus the two foldings that matter for words (sharp s, final sigma)."""
-    return F.translate(F.replace(F.lower(_col(text)), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    """Caseless form by full case folding. Most texts need lower case only; the others are folded in one pass."""
+    text, folds = _col(text), _folds()
+    odd = "".join(f"\\x{{{ord(char):X}}}" for char in folds)
+    table = F.str_to_map(F.lit("\t".join(f"{char}={fold}" for char, fold in folds.items())), F.lit("\t"), F.lit("="))
+    parts = F.regexp_extract_all(text, F.lit(f"[{odd}]|[^{odd}]+"), F.lit(0))
+    folded = F.array_join(F.transform(parts, lambda part: F.coalesce(table[part], F.lower(part))), "")
+    return F.when(text.rlike(f"[{odd}]"), folded).otherwise(F.lower(text))
 
 
 def lower_all(terms: Column) -> Column:

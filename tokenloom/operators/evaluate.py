@@ -15,11 +15,12 @@ from tokenloom.functions.labels import MISSING_LABELS, has_valid_label, require_
 from tokenloom.functions.naming import metric_note
 from tokenloom.functions.order import first_seen
 from tokenloom.functions.vectors import squared_norm, stack_rows, vector_mean, vector_sum
+from tokenloom.operators.pairwise import PAIR_BLOCK_BYTES, Block, distances, over_block_pairs
 from tokenloom.operators.skew import lookup_join
+from tokenloom.session import materialize
 
 EXACT = -1
 NOISE = -1
-SILHOUETTE_ROWS = 10_000
 BLOCK_BYTES = 64 * 1024 * 1024
 EXTERNAL_METRICS = [
     "adjusted_rand",
@@ -328,61 +329,63 @@ def silhouette(
     key: list[str],
     cluster: str = "cluster",
     embedding: str = "embedding",
-    max_samples: int = SILHOUETTE_ROWS,
+    max_samples: int | None = None,
     seed: int = 42,
+    block_bytes: int = PAIR_BLOCK_BYTES,
 ) -> DataFrame:
-    """One row with the euclidean silhouette over a seeded sample of at most ``max_samples`` non-noise rows.
+    """One row with the euclidean silhouette over all non-noise rows, or over a seeded sample if the caller sets ``max_samples``.
 
-    The sample (bounded by ``max_samples``) is broadcast once; every sampled row then reduces its distances to
-    per-cluster means inside its Arrow batch, so no pair of rows is ever emitted.
+    Rows are laid out by cluster, packed into blocks, and each pair of blocks gives distance sums per (row, cluster of
+    the other block), so neither pairs of rows nor vectors leave a task. The time is quadratic in the rows; memory is two
+    blocks a task. Fewer than two clusters, or as many as rows, give NaN; a row alone in its cluster counts as 0. A
+    sample holds the rows of the smallest hashes of ``key``; rows of equal key stay together.
     """
     spark = rows.sparkSession
-    sample = (
-        rows.filter(F.col(cluster) != NOISE)
-        .select(
-            F.xxhash64(F.lit(seed), *key).alias("_at"),
-            *[F.col(name).alias(f"_{name}") for name in key],
-            F.col(cluster).cast("bigint").alias("cluster"),
-            F.col(embedding).cast("array<double>").alias("vector"),
-        )
-        .orderBy("_at", *[f"_{name}" for name in key])
-        .limit(max_samples)
-        .toPandas()
+    place = F.struct(F.xxhash64(F.lit(seed), *key).alias("hash"), *key)
+    kept = rows.filter(F.col(cluster) != NOISE).select(
+        place.alias("_place"), F.col(cluster).cast("bigint").alias("own"), F.col(embedding).cast("array<double>").alias("vector")
     )
-    labels, codes = np.unique(sample["cluster"].to_numpy(), return_inverse=True)
-    if len(labels) < 2 or len(labels) >= len(sample):
+    if max_samples is not None:
+        edge = kept.select("_place").orderBy("_place").limit(max_samples).agg(F.max("_place").alias("_edge"))  # one row
+        kept = kept.join(F.broadcast(edge), F.col("_place") <= F.col("_edge"))
+    laid = kept.repartitionByRange("own", "_place").sortWithinPartitions("own").select("own", "vector")
+    points = materialize(laid.withColumn("id", F.monotonically_increasing_id()), "silhouette-rows")
+    sizes = points.groupBy(F.col("own").alias("size_of")).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.count("*"), F.sum("n")).first()
+    if total[0] < 2 or total[0] >= total[1]:
         return spark.range(1).select(F.lit(NAN).alias("silhouette"))
-    matrix = stack_rows(sample["vector"])
-    sizes = np.bincount(codes).astype(float)
-    shared = spark.sparkContext.broadcast((matrix, codes, sizes))
-
-    @F.pandas_udf("double")
-    def width(places: pd.Series) -> pd.Series:
-        points, owners, counts = shared.value
-        at = places.to_numpy()
-        indicator = np.zeros((len(owners), len(counts)))
-        indicator[np.arange(len(owners)), owners] = 1.0
-        out = np.zeros(len(at))
-        for start in range(0, len(at), 256):
-            part = at[start : start + 256]
-            here = points[part]
-            squares = (here**2).sum(1)[:, None] - 2 * here @ points.T + (points**2).sum(1)[None, :]
-            distance = np.sqrt(np.maximum(squares, 0.0))
-            distance[np.arange(len(part)), part] = 0.0
-            sums = distance @ indicator
-            mine = owners[part]
-            own = sums[np.arange(len(part)), mine] / np.maximum(counts[mine] - 1, 1)
-            means = sums / counts
-            means[np.arange(len(part)), mine] = np.inf
-            nearest = means.min(1)
-            top = np.maximum(own, nearest)
-            value = np.divide(nearest - own, top, out=np.zeros(len(part)), where=top > 0)
-            out[start : start + 256] = np.where(counts[mine] > 1, value, 0.0)
-        return pd.Series(out)
-
-    slices = max(1, min(len(sample) // 256, spark.sparkContext.defaultParallelism))
-    places = spark.range(0, len(sample), 1, slices)
-    return places.agg(F.avg(width("id")).alias("silhouette"))
+    sums = over_block_pairs(
+        points, _distance_sums, "id bigint, own bigint, other bigint, total double", extra={"own": "int64"}, block_bytes=block_bytes
+    )
+    sums = sums.groupBy("id", "own", "other").agg(F.sum("total").alias("total"))
+    sized = lookup_join(sums, sizes, {"other": "size_of"}, weight="n", spread_by=["id"], lookup_rows=total[0])
+    mine = F.col("own") == F.col("other")
+    per_row = sized.groupBy("id").agg(
+        F.max(F.when(mine, F.col("n"))).alias("n"),
+        F.max(F.when(mine, F.col("total") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("within"),
+        F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("nearest"),
+    )
+    top = F.greatest("within", "nearest")
+    width = F.when((F.col("n") > 1) & (top > 0), (F.col("nearest") - F.col("within")) / top).otherwise(0.0)
+    return per_row.agg(F.avg(width).alias("silhouette"))
+
+
+def _distance_sums(one: Block, other: Block, same: bool) -> pd.DataFrame:
+    """Sums of distances from each row of either block to the rows of each cluster in the other block."""
+    found = []
+    for (ids, here, mine), (_, there, theirs) in [(one, other)] if same else [(one, other), (other, one)]:
+        names, codes = np.unique(theirs["own"], return_inverse=True)
+        member = (codes[:, None] == np.arange(len(names))).astype(float)
+        step = max(1, PAIR_BLOCK_BYTES // len(there))
+        for start in range(0, len(here), step):
+            gaps = distances(here[start : start + step], there, "euclidean")
+            if same:
+                at = np.arange(len(gaps))
+                gaps[at, start + at] = 0.0
+            columns = {"id": ids[start : start + step], "own": mine["own"][start : start + step]}
+            table = pd.DataFrame({name: np.repeat(values, len(names)) for name, values in columns.items()})
+            found.append(table.assign(other=np.tile(names, len(gaps)), total=(gaps @ member).ravel()))
+    return pd.concat(found, ignore_index=True)
 
 
 def silhouette_squared(rows: DataFrame, *, cluster: str = "cluster", embedding: str = "embedding") -> float:
@@ -414,7 +417,7 @@ def internal_scores(
     key: list[str],
     cluster: str = "cluster",
     embedding: str = "embedding",
-    max_silhouette_samples: int = SILHOUETTE_ROWS,
+    max_silhouette_samples: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Long score rows of one run: silhouette, Calinski-Harabasz, Davies-Bouldin, cluster and noise counts."""
@@ -449,7 +452,7 @@ def evaluate_clusters(
     gold: str = "SEMCLASS",
     cluster: str = "cluster",
     embedding: str = "embedding",
-    max_silhouette_samples: int = SILHOUETTE_ROWS,
+    max_silhouette_samples: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """All scores of one run as rows ``metric_index, metric, value``."""
