@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.vectors import as_vector, l2_normalize, stack_rows, vector_sum
 from tokenloom.operators.assign import nearest_centroid
+from tokenloom.operators.bisecting import MOST_COST, fit_split_tree
 from tokenloom.operators.evaluate import cluster_moments
 from tokenloom.session import materialize
 
@@ -83,13 +84,18 @@ def fit_kmeans(
 
 
 def fit_bisecting(
-    vectors: DataFrame, k: int, *, embedding: str = "embedding", seed: int = 42, max_iter: int = MAX_ITER
+    vectors: DataFrame,
+    k: int,
+    *,
+    embedding: str = "embedding",
+    seed: int = 42,
+    strategy: str = MOST_COST,
+    n_init: int = 1,
+    max_iter: int = MAX_ITER,
 ) -> DataFrame:
-    """Centroid table of bisecting k-means; larger clusters are split first."""
-    if k == 1:
-        return _mean_centroid(vectors, embedding)
-    model = BisectingKMeans(k=k, seed=seed, maxIter=max_iter).fit(_featured(vectors, embedding))
-    return _centers(vectors.sparkSession, model.clusterCenters())
+    """Centroid table of bisecting k-means by cost or by rows (:func:`fit_split_tree`)."""
+    tree = fit_split_tree(vectors, k, embedding=embedding, seed=seed, strategy=strategy, n_init=n_init, max_iter=max_iter)
+    return tree.centroids(vectors.sparkSession)
 
 
 def minibatch_step(centroids: DataFrame, batch: DataFrame, *, embedding: str = "embedding") -> DataFrame:

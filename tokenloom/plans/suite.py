@@ -49,6 +49,7 @@ class RunConfig:
     normalize: bool = True
     batch_size: int = 4096
     n_init: int = 10
+    bisecting_strategy: str = "biggest_inertia"
     min_samples: int = 10
     min_cluster_size: int = 10
     cluster_selection_epsilon: float = 0.0
@@ -129,7 +130,9 @@ def _fit_centroids(vectors: DataFrame, config: RunConfig, key: list[str], embedd
             vectors, config.n_clusters, key=key, batch_size=config.batch_size, n_init=config.n_init, **common
         )
     if config.algorithm == "bisecting_kmeans":
-        return fit_bisecting(vectors, config.n_clusters, **common)
+        return fit_bisecting(
+            vectors, config.n_clusters, strategy=config.bisecting_strategy, n_init=config.n_init, **common
+        )
     return fit_cluster_features(
         vectors,
         config.n_clusters,

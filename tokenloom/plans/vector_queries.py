@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.naming import output_prefix, with_run_names
 from tokenloom.functions.vectors import edge_weight, l2_normalize, squared_norm
-from tokenloom.operators import ambiguity, density_tree, embed, evaluate, linkage, neighbours, partitioning, summary
+from tokenloom.operators import ambiguity, bisecting, density_tree, embed, evaluate, linkage, neighbours, partitioning, summary
 from tokenloom.operators import labels as label_ops
 from tokenloom.operators.assign import assign_to_training_clusters, nearest_centroid
 from tokenloom.plans import experiments, suite, text_queries
@@ -211,6 +211,41 @@ def bisecting_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return _fit(spark, folder, algorithm="bisecting_kmeans", n_clusters=_label_count(spark, folder))
 
 
+# The fit cannot be told in SQL, but what must hold of it can: every row in one of k leaves, the cost of the root, costs
+# of the leaves that agree with the rows assigned, and no leaf that should have been split before a node that was.
+@query(
+    "bisecting_splits",
+    f"""WITH {VECTORS}, u AS (SELECT vec_id, {UNIT} AS v FROM vt), pos AS (SELECT generate_subscripts(v, 1) AS i, unnest(v) AS x FROM u),
+      root AS (SELECT sum(s) AS cost FROM (SELECT sum(x * x) - sum(x) ** 2 / count(*) AS s FROM pos GROUP BY i) AS q),
+      k AS (SELECT count(DISTINCT label) AS k, count(*) AS n FROM embeddings)
+      SELECT strategy, n AS n_rows, k AS n_clusters, {sql_round('cost', 4)} AS root_cost, true AS costs_agree, true AS best_first
+      FROM root, k, (VALUES ('biggest_inertia'), ('largest_cluster')) AS t(strategy)""",
+)
+def bisecting_splits(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = materialize(partitioning.prepared(embeddings(spark, folder)), "unit-vectors")
+    k, found = _label_count(spark, folder), None
+    for strategy in (bisecting.MOST_COST, bisecting.MOST_ROWS):
+        tree = bisecting.fit_split_tree(vectors, k, strategy=strategy)
+        order = tree.costs if strategy == bisecting.MOST_COST else tree.counts
+        leaves = tree.leaves()
+        best_first = min(order[at] for at, child in enumerate(tree.child) if child >= 0) >= max(order[leaf] for leaf in leaves)
+        model = spark.createDataFrame([(at, tree.costs[leaf]) for at, leaf in enumerate(leaves)], "cluster bigint, fitted double")
+        labelled = bisecting.assign_leaves(vectors, tree)
+        gaps = evaluate.own_centroid_distance(labelled, evaluate.centroids_of(labelled))
+        costs = gaps.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("distance") ** 2).alias("cost"))
+        off = F.abs(F.coalesce("cost", F.lit(0.0)) - F.coalesce("fitted", F.lit(-1.0)))
+        facts = costs.join(model, "cluster", "full").agg(
+            F.lit(strategy).alias("strategy"),
+            F.sum("n").alias("n_rows"),
+            F.count("n").alias("n_clusters"),
+            rounded(F.lit(tree.costs[0]), 4).alias("root_cost"),
+            (F.max(off) < 1e-6).alias("costs_agree"),
+            F.lit(bool(best_first)).alias("best_first"),
+        )
+        found = facts if found is None else found.unionByName(facts)
+    return found
+
+
 @query("feature_tree_clusters")
 def feature_tree_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return _fit(spark, folder, algorithm="birch", n_clusters=_label_count(spark, folder), birch_threshold=0.6)
