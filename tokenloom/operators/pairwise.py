@@ -1,7 +1,7 @@
 """Work on all pairs of a vector table in blocks of bounded size, inside tasks.
 
-Tasks pack their rows into blocks within ``block_bytes``; the blocks (one small row of metadata each) are numbered, and
-each block travels to the tasks of its block pairs. A task holds two blocks at a time whatever the size of the table,
+Tasks pack their rows into blocks within ``block_bytes``; the blocks (one small row of metadata each) are numbered, small
+ones together, and each travels to the tasks of its block pairs. A task holds two numbers' blocks at a time whatever the size of the table,
 and nothing passes through the driver. Each unordered pair of blocks is worked on once, for both directions. The work is
 quadratic in the rows, as exact search over any metric is.
 """
@@ -34,7 +34,10 @@ def distances(here: np.ndarray, there: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _packed(points: DataFrame, extra: dict[str, str], block_bytes: int) -> DataFrame:
-    """Blocks (number, ids, vectors, width, one binary column per extra), numbered from 0, each row in one block."""
+    """Blocks (block, number, ids, vectors, width, one binary column per extra), each row in one of them.
+
+    Blocks of one number, counted from 0, hold less than twice ``block_bytes`` together, however many tasks packed them.
+    """
     names = list(extra)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,8 +64,12 @@ def _packed(points: DataFrame, extra: dict[str, str], block_bytes: int) -> DataF
     schema = "ids binary, vectors binary, width int" + "".join(f", {name} binary" for name in names)
     blocks = points.select("id", "vector", *names).mapInPandas(pack, schema)
     blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    numbers = running_total(blocks.select("block"), F.lit(1).cast("bigint"), ["block"], total="number")
-    return materialize(blocks.join(numbers, "block").drop("block"), "numbered-blocks")
+    # tasks of few rows leave small blocks; neighbours share a number as long as they begin within one block's size
+    sizes = blocks.select("block", F.length("vectors").cast("bigint").alias("size"))
+    step = max(block_bytes, sizes.agg(F.max("size")).first()[0] or 0)  # one row may be wider than a block; no number is left out
+    begins = running_total(sizes, F.col("size"), ["block"], total="begin")
+    numbers = begins.select("block", F.floor(F.col("begin") / step).alias("number"))
+    return materialize(blocks.join(numbers, "block"), "numbered-blocks")
 
 
 def over_block_pairs(
@@ -89,10 +96,13 @@ def over_block_pairs(
     right = renamed.withColumns({"b": number, "a": F.explode(F.sequence(F.lit(0).cast("bigint"), number))})
 
     def unpack(frame: pd.DataFrame, side: str = "") -> Block:
-        row = frame.iloc[0]
-        matrix = np.frombuffer(row[f"{side}vectors"], dtype=np.float64).reshape(-1, int(row[f"{side}width"]))
-        more = {name: np.frombuffer(row[f"{side}{name}"], dtype=kind) for name, kind in extra.items()}
-        return np.frombuffer(row[f"{side}ids"], dtype=np.int64), matrix, more
+        frame = frame.sort_values(f"{side}block")
+
+        def joined(name: str, kind: str) -> np.ndarray:
+            return np.frombuffer(b"".join(frame[side + name]), dtype=kind)
+
+        matrix = joined("vectors", "float64").reshape(-1, int(frame[f"{side}width"].iloc[0]))
+        return joined("ids", "int64"), matrix, {name: joined(name, kind) for name, kind in extra.items()}
 
     def pair(key: tuple, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         return work(unpack(one), unpack(other, "other_"), key[0] == key[1])
