@@ -28,3 +28,19 @@ def test_online_kmeans_counts_every_row_once(spark, tmp_path):
     assert sorted(round(r["centroid"][0], 6) for r in centers) == [0.0, 10.0]
     assigned = streams.stream_assignments(points, streams.read_centroids(spark, f"{state}/versions"))
     assert assigned.groupBy("cluster").count().count() == 2
+
+
+def test_table_of_one_file_and_of_parts_stream_alike(spark, tmp_path):
+    rows = spark.range(40).select("id", F.lit("a b").alias("text"))
+    parts = tmp_path / "parts"
+    rows.repartition(3).write.parquet(str(parts / "documents.parquet"))
+    rows.write.parquet(str(parts / "other.parquet"))
+    one = tmp_path / "one"
+    one.mkdir()
+    rows.coalesce(1).write.parquet(str(tmp_path / "single"))
+    next((tmp_path / "single").glob("part-*.parquet")).rename(one / "documents.parquet")
+    for folder in (parts, one):
+        stream = streams.stream_named_table(spark, str(folder), "documents", rows.schema)
+        out = str(tmp_path / f"out-{folder.name}")
+        streams.write_stream(stream, out, f"{out}-log").awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(40))

@@ -19,6 +19,14 @@ def stream_table(spark: SparkSession, path: str, schema: StructType | str, *, fi
     return spark.readStream.format(file_format).schema(schema).options(**options).load(path)
 
 
+def stream_named_table(spark: SparkSession, folder: str, name: str, schema: StructType | str) -> DataFrame:
+    """Streaming scan of the table ``name`` of a folder, whether it is one file or a folder of parts.
+
+    The path is a pattern that only this name fits: a plain path to one file is refused as a stream.
+    """
+    return stream_table(spark, f"{folder.rstrip('/')}/{name}.parque[t]", schema)
+
+
 def stream_contexts(
     records: DataFrame,
     *,
