@@ -146,3 +146,20 @@ def test_running_total_and_lookup_join_with_a_hot_key(spark):
     assert inner.count() == sum(counts.values())
     small = lookup_join(rows, lookup, {"key": "key"}, weight="n", how="inner", lookup_rows=lookup.count())
     assert small.count() == sum(counts.values())
+
+
+def test_sentences_and_chunks_are_numbered_in_one_pass(spark, monkeypatch):
+    from tokenloom.operators import contexts, skew
+
+    stored = []
+    keep = skew.materialize
+    monkeypatch.setattr(skew, "materialize", lambda df, name="table", **how: stored.append(df.columns) or keep(df, name, **how))
+    token = "struct<ID:string,FORM:string,LEMMA:string,UPOS:string,SEMCLASS:string>"
+    words = lambda n, kind: [("1", f"w{i}", f"l{i}", kind, "wide") for i in range(n)]
+    given = [(3, words(5, "X")), (1, words(2, "PUNCT")), (2, []), (0, words(3, "X"))]
+    sentences = spark.createDataFrame(given, f"at bigint, tokens array<{token}>")
+    found = contexts.chunk_sentences(sentences, order=["at"], max_context_tokens=2, max_context_word_tokens=2)
+    rows = sorted((r["document_index"], r["chunk_index"], r["tokens"], r["target_indices"], r["lemmas"]) for r in found.collect())
+    assert [row[:2] for row in rows] == [(0, 0), (0, 1), (2, 2), (2, 3), (2, 4)]
+    assert rows[1] == (0, 1, ["w2"], [0], ["l2"]) and rows[3] == (2, 3, ["w2", "w3"], [0, 1], ["l2", "l3"])
+    assert len(stored) == 1 and "_kept" not in stored[0]

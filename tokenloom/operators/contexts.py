@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.labels import is_punctuation, require_columns
 from tokenloom.functions.text import is_word, tokenize
-from tokenloom.operators.skew import running_total
+from tokenloom.operators.skew import running_total, running_totals
 
 MAX_CONTEXT_TOKENS = 192
 MAX_CONTEXT_WORDS = 128
@@ -108,45 +108,42 @@ def chunk_sentences(
     )
     target = lambda token: ~is_punctuation(token["UPOS"]) & is_word(token["FORM"])
     # A block of comments alone is no sentence here, so it takes no number.
-    words = sentences.filter(F.size("tokens") > 0).select(*order, kept.alias("_kept"))
-    numbered = running_total(words, F.lit(1).cast("bigint"), order, total="document_index", stop_at=max_sentences)
+    flagged = sentences.filter(F.size("tokens") > 0).select(*order, kept.alias("_kept")).select(
+        *order,
+        F.transform("_kept", lambda token: token["FORM"]).alias("_tokens"),
+        F.transform("_kept", lambda token: token["LEMMA"]).alias("_lemmas"),
+        F.transform("_kept", target).alias("_flags"),
+    )
+    starts = _chunk_starts(F.col("_flags"), max_tokens=max_context_tokens, max_targets=max_context_word_tokens)
+    chunks = F.filter(
+        F.transform(
+            F.arrays_zip(
+                _cut("_tokens").alias("tokens"), _cut("_lemmas").alias("lemmas"), _cut("_flags").alias("flags")
+            ),
+            lambda chunk: F.struct(
+                chunk["tokens"].alias("tokens"),
+                _target_indices(chunk["flags"]).alias("target_indices"),
+                chunk["lemmas"].alias("lemmas"),
+            ),
+        ),
+        lambda chunk: F.size(chunk["target_indices"]) > 0,
+    )
+    # Sentences and chunks are numbered by one pass over the sentences, which carry their chunks and nothing else.
+    cut = lambda rows: rows.withColumn("_starts", starts).select(*order, chunks.alias("_chunks"))
+    both = F.struct(F.lit(1).cast("bigint").alias("sentences"), F.size("_chunks").cast("bigint").alias("chunks"))
+    numbered = running_totals(
+        flagged, both, order, totals=["document_index", "_before"], stop_at=max_sentences, prepare=cut
+    )
     if max_sentences is not None:
         numbered = numbered.filter(F.col("document_index") < max_sentences)
-    chunks = (
-        numbered.withColumns(
-            {
-                "_tokens": F.transform("_kept", lambda token: token["FORM"]),
-                "_lemmas": F.transform("_kept", lambda token: token["LEMMA"]),
-                "_flags": F.transform("_kept", target),
-            }
-        )
-        .withColumn(
-            "_starts",
-            _chunk_starts(
-                F.col("_flags"), max_tokens=max_context_tokens, max_targets=max_context_word_tokens
-            ),
-        )
-        .select(
-            "document_index",
-            F.posexplode(
-                F.arrays_zip(
-                    _cut("_tokens").alias("tokens"),
-                    _cut("_lemmas").alias("lemmas"),
-                    _cut("_flags").alias("flags"),
-                )
-            ).alias("_place", "chunk"),
-        )
-        .select(
-            "document_index",
-            "_place",
-            F.col("chunk.tokens").alias("tokens"),
-            _target_indices(F.col("chunk.flags")).alias("target_indices"),
-            F.col("chunk.lemmas").alias("lemmas"),
-        )
-        .filter(F.size("target_indices") > 0)
+    placed = numbered.select("document_index", "_before", F.posexplode("_chunks").alias("_place", "chunk"))
+    return placed.select(
+        "document_index",
+        "chunk.tokens",
+        "chunk.target_indices",
+        "chunk.lemmas",
+        (F.col("_before") + F.col("_place")).alias("chunk_index"),
     )
-    place = ["document_index", "_place"]
-    return running_total(chunks, F.lit(1).cast("bigint"), place, total="chunk_index").drop("_place")
 
 
 def first_documents(documents: DataFrame, order: list[str], max_documents: int) -> DataFrame:
