@@ -170,3 +170,38 @@ def test_seeded_order_is_stable_and_whole(spark):
     one = [r["id"] for r in seeded_order(rows, ["id"], seed=1).collect()]
     two = [r["id"] for r in seeded_order(rows.repartition(7), ["id"], seed=1).collect()]
     assert one == two and sorted(one) == list(range(100)) and one != list(range(100))
+
+
+def test_annotated_file_in_compressed_parts_reads_back(spark, tmp_path):
+    rows = [(s, i, str(i + 1), f"w{s}-{i}") for s in range(40) for i in range(s % 5 + 1)]
+    tokens = spark.createDataFrame(rows, "sentence_index int, token_index int, ID string, FORM string")
+    path = str(tmp_path / "annotated")
+    write_annotated(tokens, path, order=["sentence_index"], compression="gzip")
+    parts = list((tmp_path / "annotated").glob("part-*"))
+    assert parts and all(part.name.endswith(".txt.gz") for part in parts)
+    read = read_sentences(spark, [("all", path)], n_columns=13, line_ending="lf")
+    forms = [[token["FORM"] for token in r["tokens"]] for r in read.orderBy("source_file", "sentence_index").collect()]
+    assert forms == [[f"w{s}-{i}" for i in range(s % 5 + 1)] for s in range(40)]
+
+
+def test_annotated_tokens_travel_as_one_line(spark):
+    from tokenloom.sources.annotated import annotated_lines
+
+    tokens = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "sentence_index int, token_index int, FORM string")
+    found = annotated_lines(tokens, order=["sentence_index"])
+    assert found.first()["block"].split("\n") == ["1\ta" + "\t_" * 11, "2\tb" + "\t_" * 11]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(_row" in plan and "_line" in plan
+
+
+def test_assembled_sentences_gather_what_the_report_reads(spark, tmp_path):
+    from tokenloom.plans.catalog import QUERIES
+
+    rows = [(1, "en", "web", "A b, c.\nd e", 11)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string, n_chars int").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    found = QUERIES["assembled_sentences"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 5, "A b , c ."), (1, 1, 2, "d e")]
+    gathered = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LEMMA" not in gathered and "SEMCLASS" not in gathered
