@@ -324,3 +324,24 @@ def test_index_does_not_depend_on_the_origin(spark):
     moved = rows.withColumn("embedding", F.transform("embedding", lambda x: x + 1e6))
     near = evaluate.calinski_harabasz(rows).first()[0]
     assert evaluate.calinski_harabasz(moved).first()[0] == pytest.approx(near, rel=1e-3)
+
+
+def test_density_query_asks_for_exact_neighbours(spark, tmp_path, monkeypatch):
+    from tokenloom.plans import vector_queries
+
+    def refused(*_, **__):
+        raise AssertionError("approximate neighbours differ from the SQL counterpart on large tables")
+
+    monkeypatch.setattr(neighbours, "approximate_neighbours", refused)
+    monkeypatch.setattr(neighbours, "QUADRATIC_ROWS", 10)
+    monkeypatch.setattr(suite, "QUADRATIC_ROWS", 10)
+    points = np.random.default_rng(5).normal(size=(60, 4))
+    points[:30, 0] += 30
+    points[30:, 1] += 30
+    rows = [(i, 0, [float(x) for x in point]) for i, point in enumerate(points)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").write.parquet(
+        str(tmp_path / "embeddings.parquet")
+    )
+    found = {r["vec_id"]: r["cluster"] for r in vector_queries.density_clusters(spark, str(tmp_path)).collect()}
+    assert len({found[i] for i in range(30)}) == 1 and len({found[i] for i in range(30, 60)}) == 1
+    assert found[0] != found[59]
