@@ -31,7 +31,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near copies."""
+    """Keep the document of the smallest id of each group of near copies: SimHash links first, then exact likeness."""
     return simhash.keep_one(docs)
 
 

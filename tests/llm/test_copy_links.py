@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from test_near_copies import shingles
 
 from tokenloom.llm import simhash
@@ -53,3 +54,18 @@ def test_copies_are_those_of_brute_force(spark):
     assert {frozenset(x) for x in groups.values()} == {
         frozenset(one for one in range(len(texts)) if part >> one & 1) for part in parts.values()
     }
+
+
+def test_stage_joins_what_the_fingerprints_link(spark):
+    chance = random.Random(5)
+    phrase, tails = chance.choices(WORDS, k=11), [chance.choices(WORDS, k=25) for _ in range(3)]
+    rows = [(at, " ".join(phrase * 60 + tail)) for at, tail in enumerate(tails)]  # repeats weigh in a fingerprint only
+    words = chance.choices(WORDS, k=200)
+    rows += [(10, " ".join(words)), (11, " ".join(words[:100] + chance.choices(WORDS, k=8) + words[108:]))]
+    rows += [(20, " ".join(chance.choices(WORDS, k=200)))]
+    documents = spark.createDataFrame([(*row, "clash") for row in rows], "doc_id bigint, text string, simhash string")
+    prints = [simhash.fingerprint(text) & ((1 << 64) - 1) for _, text in rows]
+    assert max((prints[0] ^ prints[at]).bit_count() for at in (1, 2)) <= 4 < (prints[3] ^ prints[4]).bit_count()
+    assert len(shingles(rows[0][1]) & shingles(rows[1][1])) < 0.8 * len(shingles(rows[0][1]))
+    kept = corpus_pipeline.keep_one_copy(spark, documents, "")
+    assert kept.columns == documents.columns and sorted(row.doc_id for row in kept.collect()) == [0, 10, 20]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import or_empty, stored
+from tokenloom.llm.common import or_empty, short_lived_shuffles, stored
 
 RADIUS = 4
 SHINGLE = 4
@@ -156,6 +156,18 @@ def connected(links: DataFrame) -> DataFrame:
     return named.union(edges.select(F.col("b"), F.col("b"))).distinct()
 
 
+def fingerprint_components(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(simhash, component) of distinct fingerprints; a component is joined by links of at most ``radius`` differing bits."""
+    chains = stored(_near_chains(nodes, radius), "simhash-chains")
+    first = connected(chains).withColumnRenamed("node", "simhash")
+    marked = nodes.join(first, "simhash", "left").select(
+        "simhash", F.coalesce("component", "simhash").alias("component")
+    )
+    links = _range_join(stored(marked, "simhash-marked"), radius)
+    roots = connected(chains.union(links)).withColumnRenamed("node", "simhash")
+    return nodes.join(roots, "simhash", "left").select("simhash", F.coalesce("component", "simhash").alias("component"))
+
+
 def near_copies(documents: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, simhash, component_id) per document; components are linked by at most ``radius`` differing bits.
 
@@ -164,16 +176,7 @@ def near_copies(documents: DataFrame, *, radius: int = RADIUS, shingle: int = SH
     """
     prints = stored(with_fingerprint(documents.select("doc_id", "text"), shingle=shingle).drop("text"), "simhash")
     nodes = stored(prints.groupBy("simhash").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    chains = stored(_near_chains(nodes, radius), "simhash-chains")
-    first = connected(chains).withColumnRenamed("node", "simhash")
-    marked = nodes.join(first, "simhash", "left").select(
-        "simhash", F.coalesce("component", "simhash").alias("component")
-    )
-    links = _range_join(stored(marked, "simhash-marked"), radius)
-    roots = connected(chains.union(links)).withColumnRenamed("node", "simhash")
-    rooted = nodes.join(roots, "simhash", "left").select(
-        "simhash", "least_id", F.coalesce("component", "simhash").alias("component")
-    )
+    rooted = nodes.join(fingerprint_components(nodes, radius), "simhash")
     ids = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = rooted.join(ids, "component").select("simhash", "component_id")
     return prints.join(classes, "simhash", "left")
@@ -317,7 +320,32 @@ def _copy_sets(texts: DataFrame, likeness: tuple[int, int], shingle: int) -> Dat
 
 
 def loose_copies(documents: DataFrame, *, likeness: tuple[int, int] = LIKENESS, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """Each row as ``row`` with ``copy_group``, equal for texts that links of at least ``likeness`` join.
+    """Each row as ``row`` with ``copy_group``, equal for texts that links of at least ``likeness`` join."""
+    return _copy_groups(documents, None, likeness, shingle)
+
+
+def _fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) from the least node of each component of fingerprints to its other nodes."""
+    nodes = stored(prints.select("simhash", "node").distinct(), "copies-simhash")
+    components = stored(fingerprint_components(nodes.select("simhash").distinct(), radius), "copies-components")
+    placed = nodes.join(components, "simhash").select("component", "node").distinct()
+    least = placed.groupBy("component").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return placed.join(least, "component").select("a", F.col("node").alias("b")).where("a <> b")
+
+
+def simhash_copies(
+    documents: DataFrame, *, radius: int = RADIUS, likeness: tuple[int, int] = LIKENESS, shingle: int = COPY_SHINGLE
+) -> DataFrame:
+    """Each row as ``row`` with ``copy_group``: the components of :func:`near_copies`, joined further by likeness.
+
+    The fingerprints link first, at ``radius`` bits as in :func:`near_copies`. The exact join of :func:`loose_copies`
+    follows, for copies whose fingerprints lie further apart, and compares no texts that the fingerprints have joined.
+    """
+    return _copy_groups(documents, radius, likeness, shingle)
+
+
+def _copy_groups(documents: DataFrame, radius: int | None, likeness: tuple[int, int], shingle: int) -> DataFrame:
+    """Groups of rows by likeness and, with ``radius``, by fingerprint too.
 
     A link is a Jaccard likeness of the distinct ``shingle``-word shingles of at least ``likeness`` (numerator,
     denominator), computed from all of them. Candidates are the pairs that share a shingle of their prefixes and pass
@@ -333,7 +361,9 @@ def loose_copies(documents: DataFrame, *, likeness: tuple[int, int] = LIKENESS,
         return pd.Series([_copy_words(text)[1] for text in texts], dtype="int64")
 
     packed = documents.select(F.struct(*[documents[name] for name in documents.columns]).alias("row"))
-    prints = stored(packed.withColumn("node", node_of(or_empty("row.text"))), "copies-prints")
+    packed = packed.withColumn("node", node_of(or_empty("row.text")))
+    prints = stored(packed if radius is None else with_fingerprint(packed, text="row.text"), "copies-prints")
+    joined = None if radius is None else stored(_fingerprint_links(prints, radius), "copies-fingerprints")
     sets = stored(_copy_sets(prints.select(or_empty("row.text").alias("text")), likeness, shingle), "copies-sets")
     placed = sets.select("node", "size", "central", "shared", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("at", "cell"))
     # unshared shingles come first in the order
@@ -362,7 +392,7 @@ def loose_copies(documents: DataFrame, *, likeness: tuple[int, int] = LIKENESS,
     own = F.struct("node", "size", "place").alias("own")
     stars = met.select("centre", own).where((F.col("own.node") != F.col("centre.node")) & maybe("own", "centre"))
     stars = stars.select(F.least("own.node", "centre.node").alias("a"), F.greatest("own.node", "centre.node").alias("b")).distinct()
-    first = stored(closer(stars), "copies-stars")
+    first = stored(closer(stars) if joined is None else closer(stars).union(joined), "copies-stars")
     marked = met.drop("centre").join(connected(first), "node", "left")
     marked = stored(marked.select("cell", "node", "size", "place", F.coalesce("component", "node").alias("component")), "copies-marked")
     mixed = marked.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
@@ -382,7 +412,8 @@ def loose_copies(documents: DataFrame, *, likeness: tuple[int, int] = LIKENESS,
 
 def keep_one(documents: DataFrame, **settings) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id (null only where a group has no ids)."""
-    grouped = stored(loose_copies(documents, **settings), "copies-grouped")
+    with short_lived_shuffles(documents.sparkSession):
+        grouped = stored(simhash_copies(documents, **settings), "copies-grouped")
     least = grouped.groupBy("copy_group").agg(F.min("row.doc_id").alias("least"))
     kept = grouped.join(least, "copy_group").where(F.col("row.doc_id").eqNullSafe(F.col("least")))
     return kept.dropDuplicates(["copy_group"]).select("row.*")
