@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -44,6 +45,13 @@ def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(setting, before)
 
 
+def release_memory() -> None:
+    """Give the pages of freed arrays back to the system, which the C library otherwise keeps for the life of a worker."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

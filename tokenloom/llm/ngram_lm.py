@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import mixed, or_empty, remainder, short_lived_shuffles, stored
+from tokenloom.llm.common import mixed, or_empty, release_memory, remainder, short_lived_shuffles, stored
 from tokenloom.session import shared_folder
 
 MODULUS, HELD_OUT = 5, 1
@@ -225,6 +225,7 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
         flat = np.concatenate(parts)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
         order = np.argsort(hashes)
+        local.default_factory = None  # a dict that refers to itself would wait for the collector, batch after batch
         turn = np.empty(len(order) + 1, np.int32)
         turn[order] = np.arange(len(order))
         turn[-1] = -1
@@ -245,10 +246,13 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
                 local, keys, parts, total = empty()  # the words are let go before the batch is worked on
                 yield made
                 del made
+                release_memory()
     if parts:
         made = packed(local, keys, parts)
         local, keys, parts, total = empty()
         yield made
+        del made
+    release_memory()
 
 
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
@@ -346,6 +350,8 @@ def train(training: DataFrame, *, order: int = ORDER, bits: int | None = None) -
             int(frame["shard"].iloc[0]), len(keys), int(counts.sum()), save(folder, keys), save(folder, counts.astype("i8")),
             np.flatnonzero(counts >= hot_from).tolist(),
         )
+        del keys, counts
+        release_memory()
         return pd.DataFrame([row], columns=["shard", "n", "total", "words", "counts", "hot"])
 
     counted = texts.mapInPandas(count_words, _BLOB).groupBy("shard").applyInPandas(merge_words, _WORD_SCHEMA)
@@ -390,6 +396,8 @@ def _merge(blobs: DataFrame, folder: str, order: int) -> DataFrame:
             int(frame["shard"].iloc[0]), len(counts), int(counts.sum()), *_counts_of_counts(counts), int((counts > 2).sum()),
             _write(folder, _packed(np.stack(columns).astype("u4"))), _write(folder, _packed(counts.astype("u8"))),
         )
+        del columns, counts
+        release_memory()
         return pd.DataFrame([row], columns=["shard", "n", "total", "n1", "n2", "n3", "n4", "many", "keys", "counts"])
 
     return stored(blobs.groupBy("shard").applyInPandas(merge, _GRAM_SCHEMA), f"lm-grams-{order}")
@@ -411,7 +419,10 @@ def _shorter(listed: DataFrame, model: Model, order: int) -> DataFrame:
     def shorten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
             columns, _ = _read(row, order)
-            yield _gram_blobs(model, *_distinct(columns[1:]))
+            made = _gram_blobs(model, *_distinct(columns[1:]))
+            del columns
+            release_memory()
+            yield made
 
     return _spread_rows(listed).mapInPandas(shorten, _BLOB)
 
@@ -494,6 +505,8 @@ def _smooth(model: Model, listed: DataFrame, order: int, folder: str) -> None:
             keys = _hashed(columns)
             by_key = np.argsort(keys)
             made = (row.shard, save(folder, keys[by_key]), save(folder, np.log10(chance[by_key]).astype("f4")), contexts, weights)
+            del columns, counts, totals, share, below, chance, keys, by_key
+            release_memory()
             yield pd.DataFrame([made], columns=["shard", "keys", "scores", "contexts", "weights"])
 
     schema = "shard int, keys string, scores string, contexts string, weights string"

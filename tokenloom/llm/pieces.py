@@ -394,6 +394,7 @@ def _batch(vocabulary: Vocabulary, ids: pa.Array, texts: list[str], k: int, seed
     units = np.fromiter(map(local.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
     first = np.concatenate([[0], np.cumsum([len(part) for part in split])]).astype(np.int64)
     names = list(local)
+    local.default_factory = None  # a dict that refers to itself would wait for the collector, batch after batch
     encoded = vocabulary.encode_units(names)
     pieces = [
         np.frombuffer(b"".join(map(encoded.__getitem__, units[a:b].tolist())), np.int32) for a, b in zip(first[:-1], first[1:], strict=True)
