@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.session import materialize
+from tokenloom.session import materialize, short_lived_shuffles  # noqa: F401
 
 #: ASCII white space, as a regular expression class.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -27,24 +26,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
-@contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Let Spark remove the shuffle files of every query built inside as soon as that query has ended.
-
-    For chains of stored tables: once a table is written, nothing reads the shuffles that made it. Others keep theirs.
-    """
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
-
-
 def release_memory() -> None:
     """Give the pages of freed arrays back to the system, which the C library otherwise keeps for the life of a worker."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
