@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from tokenloom.operators.pairwise import over_block_pairs
+from tokenloom.operators.pairwise import distances, least_trees, over_block_pairs
 
 SCHEMA = "id bigint, vector array<double>"
 
@@ -41,3 +41,20 @@ def test_rows_wider_than_a_block_and_no_rows(spark):
     schema = "one array<bigint>, other array<bigint>, same boolean"
     assert len(pairs(over_block_pairs(rows, listing(), schema, block_bytes=16))) == 10
     assert over_block_pairs(rows.limit(0), listing(), schema).count() == 0
+
+
+def test_least_trees_hold_the_tree_of_all_pairs_and_little_else(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(0, 3, (90, 3)).astype(float)  # copies and many equal distances
+    floors = rng.integers(0, 2, 90).astype(float)
+    apart = np.maximum(distances(vectors, vectors, "euclidean"), np.maximum(floors[:, None], floors[None]))
+    wanted, part = set(), list(range(90))
+    for d, a, b in sorted((apart[a, b], a, b) for a in range(90) for b in range(a + 1, 90)):
+        if part[a] != part[b]:
+            wanted.add((a, b))
+            part = [part[a] if at == part[b] else at for at in part]
+    rows = spark.createDataFrame([(at, v.tolist(), float(f)) for at, (v, f) in enumerate(zip(vectors, floors, strict=True))], f"{SCHEMA}, core double")
+    found = least_trees(rows.repartition(3), metric="euclidean", floor="core", block_bytes=20 * 24).collect()
+    assert wanted <= {(row["a"], row["b"]) for row in found}
+    assert all(row["d"] == apart[row["a"], row["b"]] for row in found)
+    assert len(found) < 90 * 10  # of 4,005 pairs
