@@ -44,6 +44,7 @@ ORDER = 3
 _START, _END = b" start", b" end"
 _BATCH_TOKENS = 1_000_000
 _SHARD_BYTES = 16_000_000  # of training text per shard
+_LEAST_BITS = 5  # 32 shards, so that little text still keeps the cores of a machine busy
 _WAVES = 4  # in which the highest order is finished, so that what a wave has read can be removed before the next
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -322,7 +323,7 @@ _GRAM_SCHEMA = "shard int, n bigint, total bigint, n1 bigint, n2 bigint, n3 bigi
 def train(training: DataFrame, *, order: int = ORDER, bits: int | None = None) -> Model | None:
     """Count and smooth the model of ``training`` (text), n-grams of up to ``order`` words. None if it has no rows.
 
-    There are 2**bits shards; by default one for every ``_SHARD_BYTES`` of text, and as many as shuffle partitions.
+    There are 2**bits shards; by default one for every ``_SHARD_BYTES`` of text, 2**_LEAST_BITS at least.
     """
     if order < 2:
         raise ValueError("the order must be at least 2")
@@ -332,7 +333,8 @@ def train(training: DataFrame, *, order: int = ORDER, bits: int | None = None) -
     if size is None:
         return None
     if bits is None:
-        bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length(), (size // _SHARD_BYTES).bit_length())
+        # each shard sends arrays to all others, so their number must not follow the number of partitions
+        bits = max(_LEAST_BITS, (size // _SHARD_BYTES).bit_length())
     shards = 1 << bits
     # a word takes two bytes at least, so no more than ``shards`` words are hot
     hot_from = max(1, size // (2 * shards))
