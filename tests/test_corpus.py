@@ -202,3 +202,21 @@ def test_projection(spark):
     assert merged.count() == 14
     with pytest.raises(ValueError):
         embed.merge_vectors({"a": rows, "b": rows.drop("embedding")}, key=["id"])
+
+
+def test_embedding_does_not_depend_on_batches(spark):
+    """Rows without targets, targets out of order and batches of any size give the same vectors."""
+    rows = [(0, ["abcde", "x", "fghij"], [2, 0]), (1, ["y"], []), (2, ["abcde"], [0])]
+    contexts = spark.createDataFrame(rows, "doc int, tokens array<string>, target_indices array<int>")
+    found = [
+        {
+            (r["doc"], r["word_index"]): r["embedding"]
+            for r in embed.embed_contexts(contexts, embed.hash_embedder(), passed=["doc"], batch_size=size).collect()
+        }
+        for size in (1, 64)
+    ]
+    assert found[0] == found[1]
+    assert set(found[0]) == {(0, 0), (0, 2), (2, 0)} and found[0][0, 0] == found[0][2, 0] != found[0][0, 2]
+    lost = contexts.withColumn("tokens", F.transform("tokens", lambda _: F.lit("")))
+    with pytest.raises(Exception, match="no pieces left for target token '' at word index"):
+        embed.embed_contexts(lost, embed.hash_embedder(), passed=["doc"]).collect()
