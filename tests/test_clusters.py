@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,3 +346,23 @@ def test_density_query_asks_for_exact_neighbours(spark, tmp_path, monkeypatch):
     found = {r["vec_id"]: r["cluster"] for r in vector_queries.density_clusters(spark, str(tmp_path)).collect()}
     assert len({found[i] for i in range(30)}) == 1 and len({found[i] for i in range(30, 60)}) == 1
     assert found[0] != found[59]
+
+
+def test_blocks_run_on_from_batch_to_batch():
+    """Sorted rows that arrive in several batches are not cut where a batch ends."""
+    for rows in (1, 10, 14, 15, 19, 20, 47):
+        batches = [pd.DataFrame({"src": range(a, min(a + 7, rows)), "vector": [[float(a)]] * (min(a + 7, rows) - a)}) for a in range(0, rows, 7)]
+        names = [own.tolist() for _, own in neighbours._blocks(iter(batches), 10)]
+        assert sum(names, []) == list(range(rows))
+        assert all(5 <= len(own) < 15 for own in names) or rows < 5
+
+
+def test_neighbour_search_has_few_partitions(spark, monkeypatch):
+    """Partition bounds come from keys sent to the driver, so their number may not follow the blocks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    found, ranged = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *keys: found.append(n) or ranged(self, n, *keys))
+    rows = spark.range(2_000).select("id", F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    neighbours.approximate_neighbours(rows, 3, key="id", block_rows=8, orderings=1)
+    assert found and max(found) <= spark.sparkContext.defaultParallelism
