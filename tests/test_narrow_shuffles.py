@@ -3,7 +3,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from tokenloom.operators import collocate, skew
+from tokenloom.operators import collocate, occurrences, skew
 
 def corpus(spark):
     lines = [(i, ["a", "b", f"r{i}", "a", "b", "c"][: 3 + i % 4]) for i in range(60)]
@@ -46,3 +46,29 @@ def test_lookup_keys_travel_once(spark):
         found = skew.lookup_join(facts, lookup, {"word": "word"}, weight="n", how=how)
         assert same(found, facts.join(lookup, "word", how))
         assert "_key_word" not in plan(found)
+
+
+def parts(spark):
+    tokens = [(run, place, at, f"L{at % 2}", (at + number) % 3) for number, run in enumerate(("r1", "r2", "r3")) for place in range(4) for at in range(5) if (place + at) % 4]
+    schema = "run_id string, line int, token_index int, SEMCLASS string, cluster bigint"
+    annotated = spark.createDataFrame(tokens, schema).withColumns({"FORM": F.lit("F"), "LEMMA": F.lit("l")})
+    found = [("lemma", 2, "x y", place, place * 10 + at, [(at,), (at + 1,)], at) for place in range(4) for at in range(4)]
+    schema = "token_basis string, ngram_size int, ngram string, line int, occurrence_id bigint, part_tokens array<struct<token_index:int>>, start int"
+    return spark.createDataFrame(found, schema), annotated, spark.createDataFrame([("r1",), ("r2",), ("r4",)], "run_id string")
+
+
+def test_matched_parts_only(spark):
+    found, annotated, runs = parts(spark)
+    settings = {"sentence_key": ["line"], "by": ["run_id"], "runs": runs}
+    whole = occurrences.matched_parts(found, annotated, **settings)
+    assert {row["run_id"] for row in whole.select("run_id").distinct().collect()} == {"r1", "r2", "r4"}
+    assert same(occurrences.matched_parts(found, annotated, **settings, unmatched=False), whole.filter("matched"))
+
+
+def test_exact_metrics_need_no_words(spark):
+    found, annotated, runs = parts(spark)
+    matched = occurrences.matched_parts(found, annotated, sentence_key=["line"], by=["run_id"], runs=runs)
+    settings = {"sentence_key": ["line"], "by": ["run_id"]}
+    narrow = occurrences.exact_metrics(occurrences.occurrence_matches(matched, **settings, carried=()), by=["run_id"])
+    assert same(narrow, occurrences.exact_metrics(occurrences.occurrence_matches(matched, **settings), by=["run_id"]))
+    assert "LEMMA" not in plan(narrow)
