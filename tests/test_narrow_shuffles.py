@@ -4,6 +4,12 @@ import io
 from pyspark.sql import functions as F
 
 from tokenloom.operators import collocate, occurrences, skew
+from tokenloom.plans import experiments
+from tokenloom.sources.tables import run_table
+from tokenloom.functions.naming import with_run_names
+
+TOKEN = "array<struct<ID:string,FORM:string,LEMMA:string,UPOS:string,SEMCLASS:string,token_index:int>>"
+
 
 def corpus(spark):
     lines = [(i, ["a", "b", f"r{i}", "a", "b", "c"][: 3 + i % 4]) for i in range(60)]
@@ -72,3 +78,19 @@ def test_exact_metrics_need_no_words(spark):
     narrow = occurrences.exact_metrics(occurrences.occurrence_matches(matched, **settings, carried=()), by=["run_id"])
     assert same(narrow, occurrences.exact_metrics(occurrences.occurrence_matches(matched, **settings), by=["run_id"]))
     assert "LEMMA" not in plan(narrow)
+
+
+def test_cluster_experiment_stores_no_occurrences(spark, monkeypatch):
+    words = [[(str(at + 1), form, form, "X", "A", at) for at, form in enumerate(["a", "b", "c"])] for _ in range(6)]
+    rows = [("train", "f", index, tokens) for index, tokens in enumerate(words)]
+    sentences = spark.createDataFrame(rows, f"split string, source_file string, sentence_index bigint, tokens {TOKEN}")
+    sentences = sentences.withColumn("metadata", F.create_map().cast("map<string,string>"))
+    annotated = sentences.select(F.lit("run_1").alias("run_id"), "split", "source_file", "sentence_index", F.inline("tokens"))
+    annotated = annotated.withColumn("cluster", F.col("token_index").cast("bigint"))
+    runs = with_run_names(run_table(spark, [{"algorithm": "kmeans", "n_clusters": 3}]))
+    stored, store = [], experiments.materialize
+    monkeypatch.setattr(experiments, "materialize", lambda df, name="table", **more: stored.append(name) or store(df, name, **more))
+    found = experiments.collocation_cluster_experiment(sentences, annotated, runs, min_freq=5)
+    assert "occurrences" not in stored
+    assert found["overview"].first()["collocation_count"] == 1
+    assert found["occurrences"].select("context_text").first()[0] == "a b c" and found["occurrences"].count() == 18

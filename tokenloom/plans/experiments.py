@@ -80,15 +80,11 @@ def collocation_cluster_experiment(
         "collocations",
     )
     chosen = collocate.select_for_clusters(tables, sort_by=sort_by)
-    found = materialize(
-        occurrences.occurrences(
-            documents, tables, sentence_key=sentence_key, ngram_sizes=ngram_sizes, selected_rows=tables.count()
-        ),
-        "occurrences",
-    )
+    selected = {"sentence_key": sentence_key, "ngram_sizes": ngram_sizes, "selected_rows": tables.count()}
+    # The table needs the places of the tokens only; context texts and token structs would travel with every occurrence.
     table = occurrences.collocation_cluster_table(
         chosen,
-        found,
+        occurrences.occurrences(occurrences.token_places(documents, sentence_key), tables, **selected),
         annotated,
         sentence_key=sentence_key,
         by=by,
@@ -98,7 +94,7 @@ def collocation_cluster_experiment(
     )
     return {
         "collocations": table,
-        "occurrences": found,
+        "occurrences": occurrences.occurrences(documents, tables, **selected),
         "overview": occurrences.collocation_overview(table, runs),
     }
 
