@@ -1,9 +1,10 @@
 import contextlib
 import io
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tokenloom.operators import collocate, occurrences, skew
+from tokenloom.operators import collocate, embed, occurrences, skew
 from tokenloom.plans import experiments
 from tokenloom.sources.tables import run_table
 from tokenloom.functions.naming import with_run_names
@@ -94,3 +95,12 @@ def test_cluster_experiment_stores_no_occurrences(spark, monkeypatch):
     assert "occurrences" not in stored
     assert found["overview"].first()["collocation_count"] == 1
     assert found["occurrences"].select("context_text").first()[0] == "a b c" and found["occurrences"].count() == 18
+
+
+def test_features_are_written_small(spark, tmp_path):
+    words = [[float((at * 7919 + i * 104729) % 10007) for i in range(16)] for at in range(200)]
+    rows = spark.createDataFrame([(at, words[at * at % 200]) for at in range(5000)], "id bigint, embedding array<float>").coalesce(1)
+    found = embed.write_features(rows, str(tmp_path / "features"), expected_rows=5000)
+    assert same(found, rows)
+    codecs = {pq.ParquetFile(file).metadata.row_group(0).column(0).compression for file in (tmp_path / "features").glob("*.parquet")}
+    assert codecs == {"ZSTD"}
